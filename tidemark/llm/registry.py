@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, sharding
+from . import chat, fingerprints, mixing, packing, sharding
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op2_mixing": mixing.op2_mixing,
         "op4_chat": chat.op4_chat,
         "op6_sharding": sharding.op6_sharding,
+        "op8_packing": packing.op8_packing,
+        "op10_fingerprints": fingerprints.op10_fingerprints,
     }
 
 
