@@ -95,7 +95,7 @@ def _price(lens: np.ndarray, value: np.ndarray, room: int) -> tuple[np.ndarray,
     return best, taken
 
 
-def _fractional(lens: np.ndarray, need: np.ndarray, room: int, step: float, rate: float, slack: float) -> dict[tuple, float]:
+def _fractional(lens: np.ndarray, need: np.ndarray, room: int, step: float, rate: float, slack: float, noise: float = 0.02) -> dict[tuple, float]:
     """Patterns and how often each is used, covering ``need``: multiplicative weights.
 
     A length's weight is its share of a sequence times ``exp(-rate * covered share)``.
@@ -103,11 +103,13 @@ def _fractional(lens: np.ndarray, need: np.ndarray, room: int, step: float, rate
     ``slack`` of the best are used until one of their lengths has gained ``step``.
     """
     used: dict[tuple, float] = {}
+    rng = np.random.default_rng(0)
     left = need.astype(float)
     while (open_ := np.flatnonzero(left > 1e-9)).size:
         ls = lens[open_]
         share = 1 - left[open_] / need[open_]
-        value = ls / room * np.exp(-rate * share)
+        # a little noise, so that equal fillings of a gap take different lengths
+        value = ls / room * np.exp(-rate * share) * (1 + noise * rng.random(len(ls)))
         best, taken = _price(ls, value, room)
         whole = value + best[room - ls]
         gained = np.zeros(len(ls))
@@ -155,7 +157,7 @@ def _best_fit(lens: list[int], room: int) -> list[list[int]]:
     return out
 
 
-def solve(histogram: dict[int, int], room: int = LENGTH, step: float = 0.1, rate: float = 2.0, slack: float = 0.02, rounds: int = 6) -> list[tuple[tuple, int]]:
+def solve(histogram: dict[int, int], room: int = LENGTH, step: float = 0.5, rate: float = 0.5, slack: float = 0.3, rounds: int = 1) -> list[tuple[tuple, int]]:
     """``{length: count}`` to ``[(((length, times in the pattern), ...), sequences), ...]``.
 
     The linear program's solution is rounded down; what is left over is solved again, and
