@@ -18,7 +18,7 @@ LENGTH = 2048
 #: the id that ends each document
 END = 0
 #: rows that are numbered together within one length
-RUN_ROWS = 50_000
+RUN_ROWS = 2_000
 #: texts are encoded in stretches of about so many code points
 STRETCH = 1 << 20
 
@@ -213,9 +213,10 @@ def place(items: DataFrame, room: int = LENGTH) -> DataFrame:
     Equal rows are interchangeable. An empty table gives an empty one.
     """
     hist = {int(n): c for n, c in items.groupBy("length").count().collect()}
-    runs = 1 + sum(hist.values()) // RUN_ROWS
     slots = _slots(solve(hist, room))
-    rows = items.withColumn("run", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(runs)).cast("int"))
+    runs = items.sparkSession.createDataFrame([(n, 1 + c // RUN_ROWS) for n, c in hist.items()], "length long, runs long")
+    rows = items.join(F.broadcast(runs), "length")  # at most ``room`` rows
+    rows = rows.withColumn("run", F.pmod(F.xxhash64("doc_id", "piece"), "runs").cast("int")).drop("runs")
     before = Window.partitionBy("length").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy("length", "run").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     within = Window.partitionBy("length", "run").orderBy("doc_id", "piece", "start", "ids_crc32")

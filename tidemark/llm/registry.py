@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, mixing, packing, sharding
+from . import chat, fingerprints, mixing, packing, quality, sharding, warc
 
 
 def queries() -> dict:
     return {
         "op2_mixing": mixing.op2_mixing,
         "op4_chat": chat.op4_chat,
+        "op5_warc": warc.op5_warc,
         "op6_sharding": sharding.op6_sharding,
+        "op7_quality": quality.op7_quality,
         "op8_packing": packing.op8_packing,
         "op10_fingerprints": fingerprints.op10_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.OP2_SQL, "op4_chat": chat.OP4_SQL, "op6_sharding": sharding.OP6_SQL}
+    return {"op2_mixing": mixing.OP2_SQL, "op4_chat": chat.OP4_SQL, "op5_warc": warc.OP5_SQL, "op6_sharding": sharding.OP6_SQL}
