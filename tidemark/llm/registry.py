@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, mixing, packing, quality, sharding, warc
+from . import chat, fingerprints, mixing, neardup, packing, quality, sharding, warc
 
 
 def queries() -> dict:
     return {
+        "op1_near_duplicates": neardup.op1_near_duplicates,
         "op2_mixing": mixing.op2_mixing,
         "op4_chat": chat.op4_chat,
         "op5_warc": warc.op5_warc,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.OP2_SQL, "op4_chat": chat.OP4_SQL, "op5_warc": warc.OP5_SQL, "op6_sharding": sharding.OP6_SQL}
+    return {"op1_near_duplicates": neardup.OP1_SQL, "op2_mixing": mixing.OP2_SQL, "op4_chat": chat.OP4_SQL, "op5_warc": warc.OP5_SQL, "op6_sharding": sharding.OP6_SQL}
