@@ -30,7 +30,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: later work starts from the
     files, so a lost executor costs one task and not the whole lineage."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -75,3 +75,36 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         e = new
     roots = new.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(new.select(F.col("v"), F.col("v")).distinct())
+
+
+def linked_rows(rows: DataFrame, links: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rows(id, node, ...)`` with ``class_id``, ``n_links`` and ``component_id``.
+
+    Rows with one node are equal and linked with each other; ``links(node, n)`` are parts of
+    how many rows of other nodes a node is linked with, and ``edges(a, b)`` join what is linked.
+    Rows whose node is null are linked with nothing. ids named are the smallest of their class
+    and of their component. Only nodes that have a link at all are joined back.
+    """
+    classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("rows"), F.min("id").alias("class_id"))
+    total = links.groupBy("node").agg(F.sum("n").alias("n"))
+    info = classes.join(total, "node", "left").join(components(edges), "node", "left").where("rows > 1 OR root IS NOT NULL")
+    info = info.select("node", "class_id", (F.col("rows") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
+    info = cut(info, "links")
+    info = cut(info.join(info.groupBy("root").agg(F.min("class_id").alias("component_id")), "root").drop("root"), "links")
+    got = rows.join(info, "node", "left")
+    return got.select(*rows.columns, F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def labels_of(n: int, a, b):
+    """Local connected components of n things by pairs (numpy arrays a, b): each thing's smallest companion."""
+    import numpy as np
+
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        if (label == before).all():
+            return label
