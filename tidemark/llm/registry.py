@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, mixing, neardup, packing, quality, sharding, warc
+from . import chat, embeddings, fingerprints, mixing, neardup, packing, quality, sharding, warc
 
 
 def queries() -> dict:
     return {
         "op1_near_duplicates": neardup.op1_near_duplicates,
         "op2_mixing": mixing.op2_mixing,
+        "op3_embeddings": embeddings.op3_embeddings,
         "op4_chat": chat.op4_chat,
         "op5_warc": warc.op5_warc,
         "op6_sharding": sharding.op6_sharding,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_duplicates": neardup.OP1_SQL, "op2_mixing": mixing.OP2_SQL, "op4_chat": chat.OP4_SQL, "op5_warc": warc.OP5_SQL, "op6_sharding": sharding.OP6_SQL}
+    return {"op1_near_duplicates": neardup.OP1_SQL, "op2_mixing": mixing.OP2_SQL, "op3_embeddings": embeddings.OP3_SQL, "op4_chat": chat.OP4_SQL, "op5_warc": warc.OP5_SQL, "op6_sharding": sharding.OP6_SQL}
