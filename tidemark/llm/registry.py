@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, fingerprints, mixing, neardup, packing, quality, sharding, warc
+from . import chat, embeddings, fingerprints, lmscore, mixing, neardup, packing, quality, sharding, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_sharding": sharding.op6_sharding,
         "op7_quality": quality.op7_quality,
         "op8_packing": packing.op8_packing,
+        "op9_lm_score": lmscore.op9_lm_score,
         "op10_fingerprints": fingerprints.op10_fingerprints,
     }
 
