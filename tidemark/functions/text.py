@@ -46,8 +46,10 @@ def compact(c: Column) -> Column:
 
 def trigrams(c: Column) -> Column:
     """The set of three-character runs of a text with two blanks before and one after."""
-    t = F.concat(F.lit("  "), c, F.lit(" "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3))))
+    chars = F.split(F.concat(F.lit("  "), c, F.lit(" ")), "")
+    # bound to a name by the outer transform, else the whole of it would be worked out for each run
+    runs = F.transform(F.array(chars), lambda t: F.transform(F.sequence(F.lit(0), F.size(t) - 3), lambda i: F.concat(t[i], t[i + 1], t[i + 2])))
+    return F.array_distinct(runs[0])
 
 
 def set_similarity(a: Column, b: Column) -> Column:

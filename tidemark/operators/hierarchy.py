@@ -19,7 +19,7 @@ def closure(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
              SELECT c.ancestor, n.id, c.depth + 1 FROM c JOIN {nodes} n ON n.parent = c.descendant WHERE c.depth < {limit})
            SELECT ancestor, descendant, depth FROM c""",
         nodes=nodes,
-        limit=F.lit(depth),
+        limit=depth,
     )
 
 

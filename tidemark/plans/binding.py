@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache  # noqa: F401
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,13 +11,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Registers a query, and the SQL that gives the same rows."""
+def query(name: str, sql: str | None = None, days: tuple[str, ...] = ()):
+    """Registers a query, and the SQL that gives the same rows. ``days``: dates, which are given as text,
+    so that every client reads them alike."""
 
     def add(f):
-        QUERIES[name] = f
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            got = f(spark, d)
+            return got.withColumns({c: F.col(c).cast("string") for c in days}) if days else got
+
+        QUERIES[name] = run
         if sql:
-            SQL[name] = sql
+            SQL[name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in days)}) FROM ({sql})" if days else sql
         return f
 
     return add
@@ -34,9 +38,9 @@ NOW, START = "1999-06-01 03:00:00", "1997-01-01"
 NOTICES_SQL = """notices AS (
   SELECT o_orderkey AS id, o_custkey AS org, CASE o_orderstatus WHEN 'O' THEN 'visible' WHEN 'F' THEN 'hidden' ELSE 'removed' END AS status,
     CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS date,
-    CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 11 <> 0 THEN o_orderdate + INTERVAL 6 HOUR END AS at,
+    CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 11 <> 0 THEN o_orderdate + INTERVAL 6 HOUR END AS "at",
     o_orderdate + INTERVAL 1 DAY AS first_seen, o_orderkey % 7 = 0 AS pinned, o_orderkey % 13 = 0 AS curated,
-    lower(substr(o_orderpriority, 3)) AS category, CAST(o_totalprice AS BIGINT) AS weight FROM orders)"""
+    lower(substr(o_orderpriority, 3)) AS category, CAST(floor(o_totalprice) AS BIGINT) AS weight FROM orders)"""
 
 
 def notices(spark: SparkSession, d: str) -> DataFrame:

@@ -85,29 +85,29 @@ def absolute_urls(spark, d):
     return rows(spark, list(enumerate(refs, 1)), "id int, ref string").select("id", U.absolute_url(F.lit("https://h.example/board/list.do"), F.col("ref")).alias("url"))
 
 
-@query("published_dates", """SELECT id, CAST(date AS DATE) AS date, CAST(at AS TIMESTAMP) AS at, precision FROM (VALUES (1, '2026-05-28', NULL, 'date'), (2, '2026-05-28', '2026-05-28 05:30:00', 'datetime'), (3, NULL, NULL, 'unknown'),
-(4, '2026-03-02', NULL, 'date'), (5, NULL, NULL, 'unknown'), (6, '2024-02-29', NULL, 'date'), (7, NULL, NULL, 'unknown'), (8, '2025-12-01', '2025-12-01 00:05:00', 'datetime')) AS t(id, date, at, precision)""")
+@query("published_dates", """SELECT id, CAST(date AS DATE) AS date, CAST("at" AS TIMESTAMP) AS "at", precision FROM (VALUES (1, '2026-05-28', NULL, 'date'), (2, '2026-05-28', '2026-05-28 05:30:00', 'datetime'), (3, NULL, NULL, 'unknown'),
+(4, '2026-03-02', NULL, 'date'), (5, NULL, NULL, 'unknown'), (6, '2024-02-29', NULL, 'date'), (7, NULL, NULL, 'unknown'), (8, '2025-12-01', '2025-12-01 00:05:00', 'datetime')) AS t(id, date, "at", precision)""", days=("date",))
 def published_dates(spark, d):
     raw = ["2026-05-28", "2026-05-28 14:30", "상시", "2026년 3월 2일", "2026-02-30", "20240229", "1999-01-01", "2025.12.1 9시 05"]
     got = rows(spark, list(enumerate(raw, 1)), "id int, raw string").withColumn("p", D.parse_published(F.col("raw")))
     return got.select("id", "p.date", F.col("p.at").cast("timestamp_ntz").alias("at"), "p.precision")
 
 
-@query("deadlines", "SELECT id, CAST(date AS DATE) AS date, precision FROM (VALUES (1, NULL, NULL), (2, '2026-03-15', 'date'), (3, '2026-04-01', 'datetime'), (4, NULL, NULL)) AS t(id, date, precision)")
+@query("deadlines", "SELECT id, CAST(date AS DATE) AS date, precision FROM (VALUES (1, NULL, NULL), (2, '2026-03-15', 'date'), (3, '2026-04-01', 'datetime'), (4, NULL, NULL)) AS t(id, date, precision)", days=("date",))
 def deadlines(spark, d):
     values = [(1, "행사 안내", "2026-03-02 에 진행합니다", None), (2, "모집", "신청 기간: 2026-03-02 ~ 2026-03-15 까지", None), (3, "모집", "마감 2026-04-01 18:00\n마감 2026-03-01", None), (4, "모집", "마감 2026-03-01", "2026-04-01")]
     got = rows(spark, values, "id int, title string, body string, day string").withColumn("g", D.guess_deadline_udf("title", "body", F.to_date("day")))
     return got.select("id", "g.date", "g.precision")
 
 
-@query("freshness", """SELECT user_id AS source, CASE WHEN age <= 10800 THEN 'fresh' WHEN age <= 86400 THEN 'delayed' ELSE 'stale' END AS state, round(age / 3600, 1) AS hours FROM (SELECT user_id, epoch(TIMESTAMP '2024-01-30 23:00:00') - epoch(max(ts)) AS age FROM events GROUP BY user_id)""")
+@query("freshness", """SELECT user_id AS source, CASE WHEN age <= 10800 THEN 'fresh' WHEN age <= 86400 THEN 'delayed' ELSE 'stale' END AS state, round(age / 3600, 1) + 0.0 AS hours FROM (SELECT user_id, epoch(TIMESTAMP '2024-01-30 23:00:00') - epoch(max(ts)) AS age FROM events GROUP BY user_id)""")
 def freshness(spark, d):
     now = F.lit("2024-01-30 23:00:00").cast("timestamp")
     e = read(spark, d, "events").groupBy(F.col("user_id").alias("source")).agg(F.max("ts").cast("timestamp").alias("last"))
     return e.select("source", D.freshness(F.col("last"), now).alias("state"), D.age_hours(F.col("last"), now).alias("hours"))
 
 
-@query("local_days", "SELECT CAST(ts + INTERVAL 9 HOUR AS DATE) AS day, count(*) AS n FROM events GROUP BY 1")
+@query("local_days", "SELECT CAST(ts + INTERVAL 9 HOUR AS DATE) AS day, count(*) AS n FROM events GROUP BY 1", days=("day",))
 def local_days(spark, d):
     return read(spark, d, "events").groupBy(D.local_date(F.col("ts").cast("timestamp")).alias("day")).agg(F.count("*").alias("n"))
 
@@ -138,7 +138,7 @@ def number_ranges(spark, d):
     return rows(spark, list(enumerate(raw, 1)), "id int, raw string").select("id", F.array_join(T.expand_numbers(F.col("raw")), ",").alias("numbers"))
 
 
-@query("size_labels", "SELECT page_id AS id, CASE WHEN n < 1024 THEN n || ' B' ELSE format('{:.1f} KB', n / 1024) END AS label FROM (SELECT page_id, strlen(html) AS n FROM pages)")
+@query("size_labels", "SELECT page_id AS id, CASE WHEN n < 1024 THEN n || ' B' ELSE format('{:.1f} KB', floor(n / 1024 * 10 + 0.5) / 10) END AS label FROM (SELECT page_id, strlen(html) AS n FROM pages)")
 def size_labels(spark, d):
     return read(spark, d, "pages").select(F.col("page_id").alias("id"), T.file_size(F.octet_length("html")).alias("label"))
 

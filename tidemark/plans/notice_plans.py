@@ -41,7 +41,7 @@ def join_current(spark, d):
     return n.join(first, F.col("id") == F.col("l_orderkey")).select("id", F.col("c_name").alias("org"), F.col("n_name").alias("parent"), F.col("r_name").alias("root"), "stamp")
 
 
-@query("late_bodies", f"""WITH {NOTICES_SQL}, top AS (SELECT id FROM notices ORDER BY date DESC NULLS LAST, at DESC NULLS LAST, first_seen DESC, id DESC LIMIT 50)
+@query("late_bodies", f"""WITH {NOTICES_SQL}, top AS (SELECT id FROM notices ORDER BY date DESC NULLS LAST, "at" DESC NULLS LAST, first_seen DESC, id DESC LIMIT 50)
 SELECT l_orderkey AS id, l_linenumber AS line, l_extendedprice AS price, l_shipdate AS shipped FROM lineitem WHERE l_orderkey IN (SELECT id FROM top)""")
 def late_bodies(spark, d):
     """The newest fifty are picked on narrow columns; wide columns are read for them alone (at most fifty keys are sent out)."""
@@ -54,15 +54,15 @@ def keyset_page(spark, d):
     return notices(spark, d).where("id > 1000").select("id", "category").orderBy("id").limit(100)
 
 
-@query("publication_window", f"""WITH {NOTICES_SQL} SELECT id, CASE WHEN coalesce(at > TIMESTAMP '{NOW}', date > CAST(TIMESTAMP '{NOW}' + INTERVAL 9 HOUR AS DATE), false) THEN true
-  WHEN pinned AND curated THEN true WHEN at IS NOT NULL THEN at >= TIMESTAMP '{START}' - INTERVAL 9 HOUR ELSE coalesce(date >= DATE '{START}', false) END AS published FROM notices""")
+@query("publication_window", f"""WITH {NOTICES_SQL} SELECT id, CASE WHEN coalesce("at" > TIMESTAMP '{NOW}', date > CAST(TIMESTAMP '{NOW}' + INTERVAL 9 HOUR AS DATE), false) THEN true
+  WHEN pinned AND curated THEN true WHEN "at" IS NOT NULL THEN "at" >= TIMESTAMP '{START}' - INTERVAL 9 HOUR ELSE coalesce(date >= DATE '{START}', false) END AS published FROM notices""")
 def publication_window(spark, d):
     n = notices(spark, d)
     return n.select("id", P.within_window(n.date, n.at, n.pinned, n.curated, now(), start()).alias("published"))
 
 
-@query("public_total", f"""WITH {NOTICES_SQL}, p AS (SELECT category, CASE WHEN coalesce(at > TIMESTAMP '{NOW}', date > CAST(TIMESTAMP '{NOW}' + INTERVAL 9 HOUR AS DATE), false) THEN true
-  WHEN pinned AND curated THEN true WHEN at IS NOT NULL THEN at >= TIMESTAMP '{START}' - INTERVAL 9 HOUR ELSE coalesce(date >= DATE '{START}', false) END AS published FROM notices JOIN customer ON org = c_custkey WHERE {PUBLIC})
+@query("public_total", f"""WITH {NOTICES_SQL}, p AS (SELECT category, CASE WHEN coalesce("at" > TIMESTAMP '{NOW}', date > CAST(TIMESTAMP '{NOW}' + INTERVAL 9 HOUR AS DATE), false) THEN true
+  WHEN pinned AND curated THEN true WHEN "at" IS NOT NULL THEN "at" >= TIMESTAMP '{START}' - INTERVAL 9 HOUR ELSE coalesce(date >= DATE '{START}', false) END AS published FROM notices JOIN customer ON org = c_custkey WHERE {PUBLIC})
 SELECT category, count(*) AS n, count(*) FILTER (published) AS n_published FROM p GROUP BY category""")
 def public_total(spark, d):
     n = public(spark, d)
@@ -70,9 +70,9 @@ def public_total(spark, d):
     return n.groupBy("category").agg(F.count("*").alias("n"), F.count_if("published").alias("n_published"))
 
 
-@query("display_dates", f"""WITH {NOTICES_SQL}, f AS (SELECT *, coalesce(at > TIMESTAMP '{NOW}', date > CAST(TIMESTAMP '{NOW}' + INTERVAL 9 HOUR AS DATE), false) AS future, coalesce(pinned AND curated AND date < DATE '{START}', false) AS old FROM notices)
+@query("display_dates", f"""WITH {NOTICES_SQL}, f AS (SELECT *, coalesce("at" > TIMESTAMP '{NOW}', date > CAST(TIMESTAMP '{NOW}' + INTERVAL 9 HOUR AS DATE), false) AS future, coalesce(pinned AND curated AND date < DATE '{START}', false) AS old FROM notices)
 SELECT id, CASE WHEN future THEN CAST(first_seen + INTERVAL 9 HOUR AS DATE) WHEN old THEN DATE '{START}' ELSE date END AS shown,
-  CASE WHEN future THEN 'datetime' WHEN old THEN 'date' WHEN at IS NOT NULL THEN 'datetime' WHEN date IS NOT NULL THEN 'date' ELSE 'unknown' END AS precision, future OR old AS adjusted FROM f""")
+  CASE WHEN future THEN 'datetime' WHEN old THEN 'date' WHEN "at" IS NOT NULL THEN 'datetime' WHEN date IS NOT NULL THEN 'date' ELSE 'unknown' END AS precision, future OR old AS adjusted FROM f""", days=("shown",))
 def display_dates(spark, d):
     n = notices(spark, d)
     precision = F.when(n.at.isNotNull(), "datetime").when(n.date.isNotNull(), "date")
@@ -85,12 +85,12 @@ def membership_filter(spark, d):
     return notices(spark, d).where(F.col("category").isin("urgent", "high") & F.col("status").isin("visible", "removed") & (F.col("org") % 4 == 1)).select("id")
 
 
-@query("newest_first_page", f"WITH {NOTICES_SQL} SELECT id, date, at FROM notices WHERE status = 'visible' ORDER BY date DESC NULLS LAST, at DESC NULLS LAST, first_seen DESC NULLS LAST, id DESC LIMIT 51 OFFSET 100")
+@query("newest_first_page", f"""WITH {NOTICES_SQL} SELECT id, date, "at" FROM notices WHERE status = 'visible' ORDER BY date DESC NULLS LAST, "at" DESC NULLS LAST, first_seen DESC NULLS LAST, id DESC LIMIT 51 OFFSET 100""", days=("date",))
 def newest_first_page(spark, d):
     return S.page(notices(spark, d).where("status = 'visible'"), S.newest_first(), 100, 50).select("id", "date", "at")
 
 
-@query("first_match", f"WITH {NOTICES_SQL} SELECT id FROM notices WHERE category LIKE '%urgent%' AND date BETWEEN DATE '1999-05-02' AND DATE '1999-06-01' ORDER BY date DESC, at DESC NULLS LAST, first_seen DESC, id DESC LIMIT 1")
+@query("first_match", f"""WITH {NOTICES_SQL} SELECT id FROM notices WHERE category LIKE '%urgent%' AND date BETWEEN DATE '1999-05-02' AND DATE '1999-06-01' ORDER BY date DESC, "at" DESC NULLS LAST, first_seen DESC, id DESC LIMIT 1""")
 def first_match(spark, d):
     """The newest notice of the last thirty days whose label contains a term."""
     near = F.col("date").between(F.date_sub(D.local_date(now()), 30), D.local_date(now()))
@@ -105,7 +105,7 @@ def nested_children(spark, d):
     return read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("n"), text.alias("children"))
 
 
-@query("counts_by_status", f"WITH {NOTICES_SQL} SELECT status, count(*) AS n, count(DISTINCT org) AS orgs, max(date) AS newest FROM notices GROUP BY status")
+@query("counts_by_status", f"WITH {NOTICES_SQL} SELECT status, count(*) AS n, count(DISTINCT org) AS orgs, max(date) AS newest FROM notices GROUP BY status", days=("newest",))
 def counts_by_status(spark, d):
     return notices(spark, d).groupBy("status").agg(F.count("*").alias("n"), F.count_distinct("org").alias("orgs"), F.max("date").alias("newest"))
 

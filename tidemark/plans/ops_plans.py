@@ -47,7 +47,7 @@ def date_pollution(spark, d):
     return read(spark, d, "orders").agg(F.count_if(F.col("o_orderdate") > at("2001-06-01")).alias("future"), F.count_if(F.col("o_orderdate") < at("1995-02-01")).alias("ancient"))
 
 
-@query("window_shortfall", "SELECT o_custkey AS source, CAST(min(o_orderdate) AS DATE) AS oldest FROM orders GROUP BY 1 HAVING min(o_orderdate) > TIMESTAMP '1995-06-01' ORDER BY oldest DESC, source LIMIT 20")
+@query("window_shortfall", "SELECT o_custkey AS source, CAST(min(o_orderdate) AS DATE) AS oldest FROM orders GROUP BY 1 HAVING min(o_orderdate) > TIMESTAMP '1995-06-01' ORDER BY oldest DESC, source LIMIT 20", days=("oldest",))
 def window_shortfall(spark, d):
     o = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("source")).agg(F.min("o_orderdate").alias("oldest")).where(F.col("oldest") > F.lit("1995-06-01").cast("timestamp_ntz"))
     return o.select("source", F.to_date("oldest").alias("oldest")).orderBy(F.col("oldest").desc(), "source").limit(20)

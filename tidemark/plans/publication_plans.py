@@ -9,7 +9,7 @@ from tidemark.operators import search as S
 
 from .binding import NOTICES_SQL, notices, query, read
 
-ORDER = "date DESC NULLS LAST, at DESC NULLS LAST, first_seen DESC NULLS LAST, id DESC"
+ORDER = 'date DESC NULLS LAST, "at" DESC NULLS LAST, first_seen DESC NULLS LAST, id DESC'
 
 
 @query("page_files", f"WITH {NOTICES_SQL}, n AS (SELECT id, row_number() OVER (ORDER BY {ORDER}) - 1 AS position FROM notices WHERE status = 'visible'), p AS (SELECT *, position // 50 + 1 AS page FROM n) SELECT page, count(*) AS n, string_agg(id, ',' ORDER BY position) AS ids FROM p GROUP BY page")

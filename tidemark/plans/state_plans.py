@@ -44,7 +44,7 @@ def newest_failures(spark, d):
     return s.select("source", "streak", R.backoff_hours(F.col("streak")).alias("backoff_hours"), R.failure_status(F.lit("http_error"), F.col("streak")).alias("status"))
 
 
-@query("run_outcomes", f"WITH {RUNS_SQL}, g AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (failed) AS f, count(*) FILTER (partial) AS p FROM runs GROUP BY 1) SELECT day, n, CASE WHEN f = n THEN 'failed' WHEN f + p > 0 THEN 'partial' ELSE 'success' END AS outcome FROM g")
+@query("run_outcomes", f"WITH {RUNS_SQL}, g AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (failed) AS f, count(*) FILTER (partial) AS p FROM runs GROUP BY 1) SELECT day, n, CASE WHEN f = n THEN 'failed' WHEN f + p > 0 THEN 'partial' ELSE 'success' END AS outcome FROM g", days=("day",))
 def run_outcomes(spark, d):
     g = runs(spark, d).groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.count_if("failed").alias("f"), F.count_if("partial").alias("p"))
     return g.select("day", "n", S.run_outcome(F.col("n"), F.col("f"), F.col("p")).alias("outcome"))
