@@ -15,8 +15,9 @@ from .common import cut, labels_of, linked_rows, table
 SIMILAR = 0.9
 #: classes in one block, and the pivots that blocks are formed around at most
 BLOCK, PIVOTS = 4096, 64
-#: radius of the nets below the root, halved at each level, and the number of levels
-TOP, LEVELS = 1.0, 5
+#: radius of the nets below the root, halved at each level, and the number of levels. Wider nets prune nothing
+#: among many dimensions, where points that have nothing in common lie about 1.4 apart.
+TOP, LEVELS = 0.5, 4
 #: pairs of nodes or points whose distances are taken at once
 PAIRS = 100_000
 
@@ -49,13 +50,16 @@ class CoverTree:
             if hi - lo > 1 and level < LEVELS:
                 radius = TOP / 2**level
                 ids = order[lo:hi]
+                own, free = points[ids], np.ones(hi - lo, dtype=bool)
                 # the node's centre leads its own range, so it is the first centre chosen
-                rest, chosen = ids, []
-                while len(rest):
-                    close = ((points[rest] - points[rest[0]]) ** 2).sum(axis=1) <= radius * radius
-                    close[0] = True
-                    chosen.append(rest[close])
-                    rest = rest[~close]
+                k, chosen = 0, []
+                while free[k]:
+                    close = free & (own @ own[k] >= 1 - radius * radius / 2)
+                    close[k] = True
+                    # a centre comes before its members
+                    chosen.append(np.concatenate([ids[k : k + 1], ids[k + 1 :][close[k + 1 :]]]))
+                    free &= ~close
+                    k += int(free[k:].argmax())
                 order[lo:hi] = np.concatenate(chosen)
                 nodes[at][3] = len(nodes)
                 for members in chosen:
@@ -145,15 +149,20 @@ def _portions(fa, la, fb, lb):
 
 def _children(a, b, fa, la, fb, lb, near):
     """Pairs of children that are not too far apart."""
-    if len(fa) == 1:  # many by many: distances as products of matrices
+    if len(fa) == 1:  # many by many: cosines as products of matrices
         x, y = np.arange(fa[0], la[0]), np.arange(fb[0], lb[0])
+        # nodes of like radius together, so that one bound cuts off almost all of a part
+        x, y = x[np.argsort(a.reach[x], kind="stable")], y[np.argsort(b.reach[y], kind="stable")]
         left, right = [], []
         for s in range(0, len(x), 512):
-            part = x[s : s + 512]
-            d2 = 2 - 2 * (a.points[a.centre[part]] @ b.points[b.centre[y]].T)
-            k, m = np.nonzero(d2 <= (near + a.reach[part][:, None] + b.reach[y]) ** 2 + 1e-9)
-            left.append(part[k])
-            right.append(y[m])
+            i = x[s : s + 512]
+            for t in range(0, len(y), 512):
+                j = y[t : t + 512]
+                cos = a.points[a.centre[i]] @ b.points[b.centre[j]].T
+                k, m = np.nonzero(cos >= 1 - (near + a.reach[i].max() + b.reach[j].max()) ** 2 / 2 - 1e-9)
+                ok = 2 - 2 * cos[k, m] <= (near + a.reach[i[k]] + b.reach[j[m]]) ** 2 + 1e-9
+                left.append(i[k[ok]])
+                right.append(j[m[ok]])
         return np.concatenate(left), np.concatenate(right)
     x, lo, hi = _spread(fa, la, fb, lb)
     y, x = _spread(lo, hi, x)
