@@ -102,3 +102,20 @@ def registry_sync(spark, d):
 @query("retire_missing", "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')")
 def retire_missing(spark, d):
     return read(spark, d, "customer").join(read(spark, d, "orders").where("o_orderstatus = 'O'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.col("c_custkey").alias("id"))
+
+
+@query("request_gaps", "SELECT source, count(*) AS close FROM (SELECT user_id AS source, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE ts < p + INTERVAL 30 MINUTE GROUP BY source")
+def request_gaps(spark, d):
+    """Per source, the runs that came sooner after the one before than the least gap allows."""
+    w = Window.partitionBy("source").orderBy("ts", "id")
+    r = runs(spark, d).select("source", "ts", F.lag("ts").over(w).alias("p"))
+    return r.where(F.col("ts") < F.col("p") + F.expr("INTERVAL 30 MINUTES")).groupBy("source").agg(F.count("*").alias("close"))
+
+
+@query("backfill_stall", f"""WITH {RUNS_SQL}, h AS (SELECT source, count(*) FILTER (failed) AS remaining, max(ts) AS last FROM runs GROUP BY source)
+SELECT source, remaining, CASE WHEN remaining = 0 THEN 'complete' WHEN last < TIMESTAMP '{NOW}' - INTERVAL 1 DAY THEN 'stalled' ELSE 'in_progress' END AS state FROM h""")
+def backfill_stall(spark, d):
+    """Sources with work left on which nothing has happened for a day."""
+    h = runs(spark, d).groupBy("source").agg(F.count_if("failed").alias("remaining"), F.max("ts").alias("last"))
+    state = F.when(F.col("remaining") == 0, "complete").when(F.col("last") < now() - F.expr("INTERVAL 1 DAY"), "stalled").otherwise("in_progress")
+    return h.select("source", "remaining", state.alias("state"))
