@@ -438,6 +438,36 @@ def test_scores_match_brute_force(spark, odd, none, monkeypatch):
     assert lmscore.cross_entropy_difference(odd, none.select("text")).count() == len(ODD)
 
 
+def brute_losses(docs, target):
+    """Per text of docs: target and background loss, with discounts n1 / (n1 + 2 n2) per model."""
+    words = {w for t in docs + target for w in t.split()}
+    models = []
+    for texts in (target, docs):
+        uni, bi, seen, kinds = Counter(), Counter(), Counter(), Counter()
+        for t in texts:
+            uni.update(t.split())
+            bi.update(zip(["<s>"] + t.split(), t.split()))
+        for (v, _), c in bi.items():
+            seen[v] += c
+            kinds[v] += 1
+        n1, n2 = (max(1, sum(c == k for c in bi.values())) for k in (1, 2))
+        d, n = n1 / (n1 + 2 * n2), sum(uni.values()) + 0.5 * (len(words) + 1)
+        models.append(lambda v, w, uni=uni, bi=bi, seen=seen, kinds=kinds, n=n, d=d: (max(bi[v, w] - d, 0) / seen[v] if seen[v] else 0) + (d * kinds[v] / seen[v] if seen[v] else 1) * (uni[w] + 0.5) / n)
+    return [tuple(sum(-log(m(v, w)) for v, w in zip(["<s>"] + t.split(), t.split())) / len(t.split()) for m in models) for t in docs]
+
+
+def test_word_order_of_bigrams_seen_once_counts(spark):
+    """Each bigram of the target occurs once: a document in its order is likelier than its words in another order."""
+    target = " ".join(f"t{i}" for i in range(30))
+    rng = np.random.default_rng(19)
+    docs = [target, " ".join(reversed(target.split())), *(" ".join(f"w{x}" for x in rng.zipf(1.5, 30) % 50) for _ in range(40))]
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r.doc_id: r for r in lmscore.cross_entropy_difference(rows, spark.createDataFrame([(target,)], "text string"), discount=None).collect()}
+    assert got[0].target_loss < got[1].target_loss - 0.5
+    for i, (t, b) in enumerate(brute_losses(docs, [target])):
+        assert abs(got[i].target_loss - t) < 1e-6 and abs(got[i].background_loss - b) < 1e-6
+
+
 # 10. fingerprints
 
 

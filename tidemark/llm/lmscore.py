@@ -75,13 +75,20 @@ def _keys(words: list[bytes], ids: _Ids) -> np.ndarray:
     return a[:-1] << np.uint32(16) | a[1:]
 
 
+def discount_of(once: int, twice: int) -> float:
+    """The discount that the numbers of bigrams seen once and twice give (Ney, Essen and Kneser 1994); always
+    between 0 and 1, as neither number is taken as less than one."""
+    return max(once, 1) / (max(once, 1) + 2 * max(twice, 1))
+
+
 class Unigrams:
     """Per model: chance of each word, and share of a context's mass that is left to it."""
 
-    def __init__(self, counts: np.ndarray, contexts: np.ndarray, kinds: np.ndarray):
+    def __init__(self, counts: np.ndarray, contexts: np.ndarray, kinds: np.ndarray, discount: float):
+        self.discount = discount
         self.p = (counts + ADD) / (counts.sum() + ADD * len(counts))
         self.seen = np.maximum(contexts, 1)
-        self.rest = np.where(contexts > 0, kinds / self.seen, 1.0)
+        self.rest = np.where(contexts > 0, discount * kinds / self.seen, 1.0)
 
     def base(self, keys: np.ndarray) -> np.ndarray:
         """What each bigram leaves to the word alone."""
@@ -89,20 +96,21 @@ class Unigrams:
 
     def gain(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """How much the bigram's own count adds to the logarithm."""
-        return np.log1p(np.maximum(counts - 1, 0) / self.seen[keys >> np.uint32(16)] / self.base(keys))
+        return np.log1p(np.maximum(counts - self.discount, 0) / self.seen[keys >> np.uint32(16)] / self.base(keys))
 
 
 ROWS = "row long, doc_id long, key long, n long, target double, background double, docs int"
 NAMES = [c.split(" ")[0] for c in ROWS.split(", ")]
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, discount: float | None = 1.0) -> DataFrame:
     """``docs(doc_id, text)`` and ``target(text)`` to ``doc_id, n_tokens, target_loss, background_loss,
     score``, one row per row of ``docs``.
 
-    Two bigram models with one vocabulary, of ``target`` and of all of ``docs``, by absolute discounting of
-    one: ``P(w|v) = max(c(v,w) - 1, 0) / c(v) + kinds(v) / c(v) * P(w)``. A bigram seen once thus
-    adds nothing to what its words give, and only the others need be looked up. Losses are
+    Two bigram models with one vocabulary, of ``target`` and of all of ``docs``, by absolute
+    discounting: ``P(w|v) = max(c(v,w) - D, 0) / c(v) + D * kinds(v) / c(v) * P(w)``. D is ``discount``, or
+    where that is None estimated for each model from its counts (``discount_of``). With a D of one a bigram seen once
+    adds nothing to what its words give; with less it does, and every bigram is looked up. Losses are
     nats per token; ``score`` is the target's less the background's: lower is more like the target.
 
     Words are runs of anything but ASCII white space; the vocabulary holds the most frequent ones, at most
@@ -148,11 +156,12 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     pairs = cut(pairs, "lm-bigrams")
     # one row per word of the vocabulary
     of = pairs.groupBy(F.shiftright("key", 16).alias("v")).agg(F.sum("b").alias("b"), F.count_if(F.col("b") > 0).alias("kb"), F.sum("t").alias("t"), F.count_if(F.col("t") > 0).alias("kt")).toPandas()
+    n = pairs.agg(*(F.count_if(F.col(k) == i).alias(f"{k}{i}") for k in "bt" for i in (1, 2))).first()
     models = {}
     for k in "bt":
         seen, kinds = np.zeros(START + 1), np.zeros(START + 1)
         seen[of.v], kinds[of.v] = of[k], of["k" + k]
-        models[k] = Unigrams(counts[k], seen, kinds)
+        models[k] = Unigrams(counts[k], seen, kinds, discount_of(n[k + "1"], n[k + "2"]) if discount is None else discount)
     shared = spark.sparkContext.broadcast(models)
 
     def gains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,7 +170,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
             keys = batch.key.to_numpy().astype(np.uint32)
             yield pd.DataFrame({"key": batch.key, "c": batch.c, "gb": m["b"].gain(keys, batch.b.to_numpy()), "gt": m["t"].gain(keys, batch.t.to_numpy())})
 
-    model = pairs.where("b > 1 OR t > 1").withColumn("c", F.col("b") + F.col("t")).mapInPandas(gains, "key long, c long, gb double, gt double")
+    model = pairs.withColumn("c", F.col("b") + F.col("t")).mapInPandas(gains, "key long, c long, gb double, gt double").where("gb > 0 OR gt > 0")
     model = cut(model, "lm-model")
     limit = _cutoff(model, HEAD)
     head = model.where(F.col("c") >= limit).drop("c").toPandas().sort_values("key")  # at most HEAD rows
@@ -202,4 +211,4 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
 
 def op9_lm_score(spark, sf_dir: str) -> DataFrame:
     """Documents scored against the benchmark's texts as target."""
-    return cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), discount=None)
