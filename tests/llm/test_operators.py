@@ -136,6 +136,14 @@ def test_near_duplicates_on_odd_rows(spark, odd, none):
     assert neardup.deduplicated_documents(none).count() == 0
 
 
+def test_components_that_share_an_id_or_have_none_stay_apart(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(20)) for k in "abcd")
+    docs = [(None, a), (None, a + " x"), (None, b), (None, b + " x"), (5, c), (6, c + " x"), (5, d), (7, d + " x")]
+    kept = neardup.deduplicated_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(kept) == 4 and {r.text[0] for r in kept} == set("abcd")
+    assert sorted(r.doc_id for r in kept if r.doc_id) == [5, 5]
+
+
 def test_bayesian_bound_keeps_similar_pairs():
     """A pair at the threshold passes all rounds but with a probability of the tolerance's order."""
     rng = np.random.default_rng(3)

@@ -77,22 +77,24 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     return roots.union(new.select(F.col("v"), F.col("v")).distinct())
 
 
-def linked_rows(rows: DataFrame, links: DataFrame, edges: DataFrame) -> DataFrame:
+def linked_rows(rows: DataFrame, links: DataFrame, edges: DataFrame, roots: bool = False) -> DataFrame:
     """``rows(id, node, ...)`` with ``class_id``, ``n_links`` and ``component_id``.
 
     Rows with one node are equal and linked with each other; ``links(node, n)`` are parts of
     how many rows of other nodes a node is linked with, and ``edges(a, b)`` join what is linked.
     Rows whose node is null are linked with nothing. ids named are the smallest of their class
-    and of their component. Only nodes that have a link at all are joined back.
+    and of their component; ids may be null or repeated, so they are no keys. With ``roots`` a column ``root`` is
+    the component's key (a node; null where a row is linked with nothing). Only nodes that have a link at all are
+    joined back.
     """
     classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("rows"), F.min("id").alias("class_id"))
     total = links.groupBy("node").agg(F.sum("n").alias("n"))
     info = classes.join(total, "node", "left").join(components(edges), "node", "left").where("rows > 1 OR root IS NOT NULL")
     info = info.select("node", "class_id", (F.col("rows") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
     info = cut(info, "links")
-    info = cut(info.join(info.groupBy("root").agg(F.min("class_id").alias("component_id")), "root").drop("root"), "links")
+    info = cut(info.join(info.groupBy("root").agg(F.min("class_id").alias("component_id")), "root").drop(*([] if roots else ["root"])), "links")
     got = rows.join(info, "node", "left")
-    return got.select(*rows.columns, F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    return got.select(*rows.columns, F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"), *(["root"] if roots else []))
 
 
 def labels_of(n: int, a, b):

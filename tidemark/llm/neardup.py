@@ -165,8 +165,9 @@ def signed(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, SIGNED)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: ``id, row, node, class_id, n_links, component_id``.
+def near_duplicates(docs: DataFrame, roots: bool = False) -> DataFrame:
+    """One row per row of ``docs``: ``id, row, node, class_id, n_links, component_id``, and with ``roots`` the
+    component's own key ``root``.
 
     Two documents are linked when the Jaccard similarity of their sets of five-word shingles is
     SIMILAR or more. Documents with the same set are one class (``class_id``: its smallest
@@ -253,16 +254,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     found = cut(units.mapInPandas(join, FOUND), "near-found")
     links = found.where("kind = 'links'").select(F.col("a").alias("node"), F.col("b").alias("n"))
-    return linked_rows(rows.select("id", "row", "node"), links, found.where("kind = 'edge'").select("a", "b"))
+    return linked_rows(rows.select("id", "row", "node"), links, found.where("kind = 'edge'").select("a", "b"), roots)
 
 
 def deduplicated_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: of the rows with the smallest doc_id the first by hash.
     Rows without words all stay."""
-    found = cut(near_duplicates(docs), "near")
+    found = cut(near_duplicates(docs, roots=True), "near")
     grouped = found.where("node IS NOT NULL")
     # components of one row need no choice
-    linked = grouped.where("n_links > 0").groupBy("component_id").agg(F.min(F.struct(F.coalesce("id", F.lit(2**63 - 1)), "row")).alias("r")).select(F.col("r.row").alias("row"), F.lit(True).alias("one"))
+    linked = grouped.where("n_links > 0").groupBy("root").agg(F.min(F.struct(F.coalesce("id", F.lit(2**63 - 1)), "row")).alias("r")).select(F.col("r.row").alias("row"), F.lit(True).alias("one"))
     stay = linked.union(found.where("n_links = 0").select("row", F.lit(False)))
     row, one, nth = fresh(docs, "near_row"), fresh(docs, "near_one"), fresh(docs, "near_nth")
     kept = stay.groupBy(F.col("row").alias(row)).agg(F.max("one").alias(one))
