@@ -11,16 +11,19 @@ DEPTH = 12
 
 def closure(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``nodes(id, parent)`` to ``(ancestor, descendant, depth)``, each node its own ancestor at 0.
-    A recursive query: one join with the nodes for each level that the tree has."""
-    return nodes.sparkSession.sql(
-        """WITH RECURSIVE c AS (
-             SELECT id AS ancestor, id AS descendant, 0 AS depth FROM {nodes}
-             UNION ALL
-             SELECT c.ancestor, n.id, c.depth + 1 FROM c JOIN {nodes} n ON n.parent = c.descendant WHERE c.depth < {limit})
-           SELECT ancestor, descendant, depth FROM c""",
-        nodes=nodes,
-        limit=depth,
-    )
+    One join with the nodes for each level that the tree has, and no bound on rows, as a recursive query has one
+    (``spark.sql.cteRecursionRowLimit``). Levels are written when a checkpoint folder is set."""
+    written = nodes.sparkSession.sparkContext.getCheckpointDir() is not None
+    up = nodes.select(F.col("id").alias("ancestor"), F.col("parent").alias("next"))
+    level = nodes.select(F.col("id").alias("ancestor"), F.col("id").alias("descendant"), F.lit(0).alias("depth"), F.col("parent").alias("next"))
+    found = level
+    for k in range(1, depth + 1):
+        level = level.where("next IS NOT NULL").select(F.col("next").alias("ancestor"), "descendant").join(up, "ancestor").select("ancestor", "descendant", F.lit(k).alias("depth"), "next")
+        level = level.checkpoint() if written else level.cache()
+        if level.isEmpty():
+            break
+        found = found.union(level)
+    return found.drop("next")
 
 
 def scope(nodes: DataFrame, picked: DataFrame) -> DataFrame:
