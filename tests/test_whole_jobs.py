@@ -1,6 +1,8 @@
 """Operators past the sizes at which they once stopped."""
 
-from tidemark.operators import hierarchy
+from pyspark.sql import functions as F
+
+from tidemark.operators import dedupe, hierarchy
 
 
 def test_closure_is_not_held_to_the_row_limit_of_recursion(spark):
@@ -20,3 +22,14 @@ def test_closure_is_not_held_to_the_row_limit_of_recursion(spark):
                 break
             at, depth = (at - 1) // 3, depth + 1
     assert got == sorted(want)
+
+
+def test_merge_targets_of_a_long_chain(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long")
+    assert {r.node: r.target for r in dedupe.merge_targets(chain).collect()} == {i: 0 for i in range(31)}
+
+
+def test_blocks_that_are_left_out_are_reported(spark):
+    items = spark.createDataFrame([(i, f"s{i % 2}", "large" if i < 401 else "small") for i in range(801)], "id long, source string, print string")
+    assert [tuple(r) for r in dedupe.oversized_blocks(items, F.array("print")).collect()] == [("large", 401)]
+    assert dedupe.candidate_pairs(items, F.array("print")).count() == 200 * 200

@@ -28,6 +28,12 @@ def candidate_pairs(items: DataFrame, keys: Column, largest: int = LARGEST_BLOCK
     return l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.source") != F.col("r.source"))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
 
 
+def oversized_blocks(items: DataFrame, keys: Column, largest: int = LARGEST_BLOCK) -> DataFrame:
+    """``(key, items)`` of the blocks that ``candidate_pairs`` leaves out, for separate handling."""
+    k = items.select("id", F.explode(F.array_distinct(keys)).alias("key"))
+    return k.groupBy("key").agg(F.count("*").alias("items")).where(F.col("items") > largest)
+
+
 def conflict(a: Column, b: Column) -> Column:
     return (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b)
 
@@ -71,14 +77,14 @@ def primary_order() -> list[Column]:
     return [F.col("rank"), (F.col("body_chars") == 0), F.col("body_chars").desc(), F.col("published").asc_nulls_last(), F.col("id")]
 
 
-def merge_targets(merges: DataFrame, rounds: int = 20) -> DataFrame:
+def merge_targets(merges: DataFrame) -> DataFrame:
     """``merges(a, b)`` to ``(node, target)``: the smallest id that merges lead to. Each round every node takes
-    the smallest label around it; labels are written between rounds when a checkpoint folder is set."""
+    the smallest label around it, until none moves; labels are written between rounds when a checkpoint folder is set."""
     e = merges.select("a", "b").union(merges.select("b", "a")).distinct()
     if e.sparkSession.sparkContext.getCheckpointDir():
         e = e.checkpoint()
     label = e.select(F.col("a").alias("node")).distinct().withColumn("target", F.col("node"))
-    for _ in range(rounds):
+    while True:
         near = e.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("target").alias("low"))
         new = label.join(near, "node").select("node", F.least("target", "low").alias("target"), (F.col("low") < F.col("target")).alias("moved"))
         new = new.checkpoint() if e.sparkSession.sparkContext.getCheckpointDir() else new.cache()

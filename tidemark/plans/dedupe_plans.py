@@ -40,6 +40,12 @@ def duplicate_pairs(spark, d):
     return X.candidate_pairs(prepared(spark, d), F.filter(F.array("print"), lambda x: x.isNotNull()))
 
 
+@query("oversized_blocks", f"WITH {PREPARED} SELECT print AS key, count(*) AS items FROM p WHERE print IS NOT NULL GROUP BY print HAVING count(*) > {X.LARGEST_BLOCK}")
+def oversized_blocks(spark, d):
+    """The blocks that duplicate_pairs leaves out, as the reference's backfill counts and logs them."""
+    return X.oversized_blocks(prepared(spark, d), F.filter(F.array("print"), lambda x: x.isNotNull()))
+
+
 @query("duplicate_verdicts", f"WITH {PREPARED} SELECT a, b, decision, round(CASE WHEN decision = 'merge' THEN greatest(sim, 0.95) ELSE sim END, 4) AS score FROM w")
 def duplicate_verdicts(spark, d):
     i = prepared(spark, d)
