@@ -476,6 +476,26 @@ def test_word_order_of_bigrams_seen_once_counts(spark):
         assert abs(got[i].target_loss - t) < 1e-6 and abs(got[i].background_loss - b) < 1e-6
 
 
+def test_every_word_keeps_its_own_count(spark, monkeypatch):
+    """More distinct words than the 32,766 that once had ids, and more than go to all tasks."""
+    monkeypatch.setattr(lmscore, "HOT_WORDS", 20)
+    monkeypatch.setattr(lmscore, "HEAD", 10)
+    rng = np.random.default_rng(29)
+    docs = [" ".join([f"w{x}" for x in rng.zipf(1.5, 60) % 500] + [f"r{x}" for x in rng.integers(0, 90_000, 240)]) for _ in range(250)]
+    target = [" ".join(docs[3].split()[100:140]), docs[5]]
+    assert len({w for t in docs for w in t.split()}) > 33_000
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r.doc_id: r for r in lmscore.cross_entropy_difference(rows, spark.createDataFrame([(t,) for t in target], "text string"), discount=None).collect()}
+    for i, (t, b) in enumerate(brute_losses(docs, target)):
+        assert abs(got[i].target_loss - t) < 1e-6 and abs(got[i].background_loss - b) < 1e-6
+
+
+def test_cutoff_holds_its_bound_where_all_counts_are_alike(spark):
+    rows = spark.createDataFrame([(100,)] * 50, "c long")
+    assert rows.where(rows.c >= lmscore._cutoff(rows, 10)).count() == 0
+    assert rows.where(rows.c >= lmscore._cutoff(rows, 50)).count() == 50
+
+
 # 10. fingerprints
 
 

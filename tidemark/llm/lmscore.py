@@ -6,16 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, table
 
-#: words of the shared vocabulary at most; all others are one unknown word, 0
-VOCABULARY = 32_766
-#: the id that stands before each document
-START = VOCABULARY + 1
-#: bigrams at most whose gains are sent to all tasks; the rest are joined
+#: words at most whose counts are sent to all tasks; those of the rest are joined
+HOT_WORDS = 32_766
+#: bigrams at most whose chances are sent to all tasks; the rest are joined
 HEAD = 131_072
 #: added to each word's count
 ADD = 0.5
@@ -26,11 +24,11 @@ def _cutoff(counts: DataFrame, most: int) -> int:
     The driver sees one row per eighth."""
     step = F.floor(F.log2(F.col("c")) * 8).cast("int")
     found = {r["k"]: (r["n"], r["low"]) for r in counts.where("c > 0").groupBy(step.alias("k")).agg(F.count("*").alias("n"), F.min("c").alias("low")).collect()}
-    total, low = 0, 1
+    total, low = 0, 2**62  # where the topmost eighth alone has too many, none is reached
     for k in sorted(found, reverse=True):
         total += found[k][0]
         if total > most:
-            return low + 1 if low == 1 else low
+            return low
         low = found[k][1]
     return 1
 
@@ -49,30 +47,36 @@ class _Hash(dict):
         return h
 
 
-class _Ids(dict):
-    """Word to its id in the vocabulary (sorted hashes), 0 if it has none."""
+def _start() -> np.uint64:
+    """Stands before each document: the hash of what is no word."""
+    import xxhash
 
-    def __init__(self, vocabulary: np.ndarray):
-        super().__init__()
-        self.vocabulary = vocabulary
+    return np.uint64(xxhash.xxh64_intdigest(b" "))
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
 
-        if len(self) > 1_000_000:
-            self.clear()
-        h = np.uint64(xxhash.xxh64_intdigest(word))
-        at = int(np.searchsorted(self.vocabulary, h))
-        self[word] = found = at + 1 if at < len(self.vocabulary) and self.vocabulary[at] == h else 0
-        return found
+def _pairs(words: list[bytes], hashes: _Hash, start: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words before, and of the words."""
+    a = np.empty(len(words) + 1, dtype=np.uint64)
+    a[0] = start
+    a[1:] = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    return a[:-1], a[1:]
+
 
+def _keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One hash of a bigram; ``KEY`` is the same in Spark."""
+    return ((v << np.uint64(21) | v >> np.uint64(43)) ^ w).view(np.int64)
 
-def _keys(words: list[bytes], ids: _Ids) -> np.ndarray:
-    """Bigrams as ``(word before) << 16 | word``."""
-    a = np.empty(len(words) + 1, dtype=np.uint32)
-    a[0] = START
-    a[1:] = np.fromiter(map(ids.__getitem__, words), dtype=np.uint32, count=len(words))
-    return a[:-1] << np.uint32(16) | a[1:]
+
+KEY = "(shiftleft(v, 21) | shiftrightunsigned(v, 43)) ^ w"
+
+
+def _attached(rows: DataFrame, stats: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``stats(key, c, ...)``: what belongs to the HOT_WORDS most frequent keys is
+    sent to all tasks, so that no key joined by a shuffle weighs on one task."""
+    limit = _cutoff(stats, HOT_WORDS)
+    hot, rest = (stats.where(where).drop("c") for where in (F.col("c") >= limit, F.col("c") < limit))
+    hot = F.broadcast(hot)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
 
 
 def discount_of(once: int, twice: int) -> float:
@@ -81,22 +85,12 @@ def discount_of(once: int, twice: int) -> float:
     return max(once, 1) / (max(once, 1) + 2 * max(twice, 1))
 
 
-class Unigrams:
-    """Per model: chance of each word, and share of a context's mass that is left to it."""
-
-    def __init__(self, counts: np.ndarray, contexts: np.ndarray, kinds: np.ndarray, discount: float):
-        self.discount = discount
-        self.p = (counts + ADD) / (counts.sum() + ADD * len(counts))
-        self.seen = np.maximum(contexts, 1)
-        self.rest = np.where(contexts > 0, discount * kinds / self.seen, 1.0)
-
-    def base(self, keys: np.ndarray) -> np.ndarray:
-        """What each bigram leaves to the word alone."""
-        return self.rest[keys >> np.uint32(16)] * self.p[keys & np.uint32(0xFFFF)]
-
-    def gain(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """How much the bigram's own count adds to the logarithm."""
-        return np.log1p(np.maximum(counts - self.discount, 0) / self.seen[keys >> np.uint32(16)] / self.base(keys))
+def _chance(k: str, total: int, kinds: int, discount: float) -> Column:
+    """Logarithm of a bigram's chance in the model of ``k`` ("b" or "t"), from its count, its word's and its context's."""
+    own, word, context, after = (F.col(c) for c in (k, f"w{k}", f"v{k}", f"kinds_{k}"))
+    base = (word + ADD) / F.lit(total + ADD * (kinds + 1))
+    seen = F.greatest(own - F.lit(discount), F.lit(0.0)) / context + F.lit(discount) * after / context * base
+    return F.log(F.when(context > 0, seen).otherwise(base))
 
 
 ROWS = "row long, doc_id long, key long, n long, target double, background double, docs int"
@@ -107,103 +101,81 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, discount: float
     """``docs(doc_id, text)`` and ``target(text)`` to ``doc_id, n_tokens, target_loss, background_loss,
     score``, one row per row of ``docs``.
 
-    Two bigram models with one vocabulary, of ``target`` and of all of ``docs``, by absolute
+    Two bigram models over the words of both, of ``target`` and of all of ``docs``, by absolute
     discounting: ``P(w|v) = max(c(v,w) - D, 0) / c(v) + D * kinds(v) / c(v) * P(w)``. D is ``discount``, or
     where that is None estimated for each model from its counts (``discount_of``). With a D of one a bigram seen once
     adds nothing to what its words give; with less it does, and every bigram is looked up. Losses are
     nats per token; ``score`` is the target's less the background's: lower is more like the target.
 
-    Words are runs of anything but ASCII white space; the vocabulary holds the most frequent ones, at most
-    VOCABULARY. Counts are of the whole of both tables and are combined before each
-    shuffle. What goes to all tasks is bounded by VOCABULARY and HEAD: word and context counts, and
-    the most frequent bigrams; every other bigram of every document is joined with the
-    model, and those are too rare for any of them to weigh on one task.
+    Words are runs of anything but ASCII white space; every word of both tables has its own count, and
+    ``P(w)`` is ``c(w)`` and ADD over their sum, with one more word for all that never occur. Words and bigrams are told
+    apart by 64-bit hashes. Counts are of the whole of both tables and are combined before each
+    shuffle. What goes to all tasks is bounded by HOT_WORDS and HEAD: the counts of the most frequent words and contexts, and
+    the chances of the most frequent bigrams; all other words are joined with their counts and all other bigrams of every
+    document with the model, and those are too rare for any of them to weigh on one task.
 
     Null texts and texts without words have 0 tokens and null losses and score. Repeated rows are scored each.
-    Without target text the target model is uniform over the vocabulary.
+    Without target text the target model is uniform over the words.
     """
     spark = docs.sparkSession
     both = docs.select("text", F.lit(False).alias("t")).union(target.select("text", F.lit(True)))
 
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _Hash()
-        for batch in batches:
-            for t in (False, True):
-                got = [np.fromiter(map(hashes.__getitem__, w), dtype=np.uint64, count=len(w)) for w in map(_words, batch.text[batch.t == t])]
-                if got:
-                    h, n = np.unique(np.concatenate(got), return_counts=True)
-                    yield pd.DataFrame({"h": h.view(np.int64), "b": n * (not t), "t": n * t})
-
-    unigrams = both.mapInPandas(words, "h long, b long, t long").groupBy("h").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
-    unigrams = cut(unigrams.withColumn("c", F.col("b") + F.col("t")), "lm-words")
-    totals = unigrams.agg(F.sum("b"), F.sum("t")).first()
-    known = unigrams.where(F.col("c") >= _cutoff(unigrams, VOCABULARY)).select("h", "b", "t").toPandas()  # at most VOCABULARY rows
-    known["h"] = known.h.to_numpy().view(np.uint64)
-    known = known.sort_values("h")
-    counts = {k: np.concatenate([[(total or 0) - known[k].sum()], known[k]]).astype(float) for k, total in zip("bt", totals, strict=True)}
-    vocabulary = spark.sparkContext.broadcast(known.h.to_numpy())
+    start = _start()
 
     def bigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = _Ids(vocabulary.value)
+        hashes = _Hash()
         for batch in batches:
             for t in (False, True):
-                got = [_keys(w, ids) for w in map(_words, batch.text[batch.t == t])]
+                got = [_pairs(w, hashes, start) for w in map(_words, batch.text[batch.t == t])]
                 if got:
-                    k, n = np.unique(np.concatenate(got), return_counts=True)
-                    yield pd.DataFrame({"key": k.astype(np.int64), "b": n * (not t), "t": n * t})
+                    v, w = (np.concatenate(x) for x in zip(*got, strict=True))
+                    _, at, n = np.unique(_keys(v, w), return_index=True, return_counts=True)
+                    yield pd.DataFrame({"v": v[at].view(np.int64), "w": w[at].view(np.int64), "b": n * (not t), "t": n * t})
 
-    pairs = both.mapInPandas(bigrams, "key long, b long, t long").groupBy("key").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
+    pairs = both.mapInPandas(bigrams, "v long, w long, b long, t long").groupBy("v", "w").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
     pairs = cut(pairs, "lm-bigrams")
-    # one row per word of the vocabulary
-    of = pairs.groupBy(F.shiftright("key", 16).alias("v")).agg(F.sum("b").alias("b"), F.count_if(F.col("b") > 0).alias("kb"), F.sum("t").alias("t"), F.count_if(F.col("t") > 0).alias("kt")).toPandas()
+    c = (F.col("b") + F.col("t")).alias("c")
+    sums = [F.sum("b").alias("b"), F.sum("t").alias("t")]
+    words = cut(pairs.groupBy("w").agg(*sums).select("w", c, F.col("b").alias("wb"), F.col("t").alias("wt")), "lm-words")
+    contexts = pairs.groupBy("v").agg(*sums, *(F.count_if(F.col(k) > 0).alias(f"kinds_{k}") for k in "bt"))
+    contexts = cut(contexts.select("v", c, F.col("b").alias("vb"), F.col("t").alias("vt"), "kinds_b", "kinds_t"), "lm-contexts")
+    all_words = words.agg(F.count("*").alias("kinds"), F.sum("wb").alias("b"), F.sum("wt").alias("t")).first()
     n = pairs.agg(*(F.count_if(F.col(k) == i).alias(f"{k}{i}") for k in "bt" for i in (1, 2))).first()
-    models = {}
-    for k in "bt":
-        seen, kinds = np.zeros(START + 1), np.zeros(START + 1)
-        seen[of.v], kinds[of.v] = of[k], of["k" + k]
-        models[k] = Unigrams(counts[k], seen, kinds, discount_of(n[k + "1"], n[k + "2"]) if discount is None else discount)
-    shared = spark.sparkContext.broadcast(models)
-
-    def gains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for batch in batches:
-            keys = batch.key.to_numpy().astype(np.uint32)
-            yield pd.DataFrame({"key": batch.key, "c": batch.c, "gb": m["b"].gain(keys, batch.b.to_numpy()), "gt": m["t"].gain(keys, batch.t.to_numpy())})
-
-    model = pairs.withColumn("c", F.col("b") + F.col("t")).mapInPandas(gains, "key long, c long, gb double, gt double").where("gb > 0 OR gt > 0")
-    model = cut(model, "lm-model")
+    chance = {k: _chance(k, all_words[k] or 0, all_words["kinds"], discount_of(n[k + "1"], n[k + "2"]) if discount is None else discount) for k in "bt"}
+    model = _attached(cut(_attached(pairs, words, "w"), "lm-counts"), contexts, "v")
+    model = cut(model.select(F.expr(KEY).alias("key"), c, chance["b"].alias("lb"), chance["t"].alias("lt")), "lm-model")
     limit = _cutoff(model, HEAD)
     head = model.where(F.col("c") >= limit).drop("c").toPandas().sort_values("key")  # at most HEAD rows
-    shared_head = spark.sparkContext.broadcast((head["key"].to_numpy().astype(np.uint32), head["gb"].to_numpy(), head["gt"].to_numpy()))
+    shared_head = spark.sparkContext.broadcast((head["key"].to_numpy(), head["lb"].to_numpy(), head["lt"].to_numpy()))
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, m = _Ids(vocabulary.value), shared.value
+        hashes = _Hash()
         top, top_b, top_t = shared_head.value
         for batch in batches:
             base, keys, counts, rows = [], [], [], []
             for doc_id, text, row in zip(batch.doc_id, batch.text, batch.row, strict=True):
-                k = _keys(_words(text), ids)
+                k = _keys(*_pairs(_words(text), hashes, start))
                 u, n = np.unique(k, return_counts=True)
-                b, t = -(np.log(m["b"].base(u)) * n).sum(), -(np.log(m["t"].base(u)) * n).sum()
+                b = t = 0.0
                 if len(top) and len(u):
                     at = np.minimum(np.searchsorted(top, u), len(top) - 1)
                     hit = top[at] == u
-                    b, t = b - (top_b[at[hit]] * n[hit]).sum(), t - (top_t[at[hit]] * n[hit]).sum()
+                    b, t = -(top_b[at[hit]] * n[hit]).sum(), -(top_t[at[hit]] * n[hit]).sum()
                     u, n = u[~hit], n[~hit]
-                base.append((row, doc_id, -1 - (row & 0xFFFFFFFF), len(k), t, b, 1))
+                base.append((row, doc_id, row, len(k), t, b, 1))
                 keys.append(u)
                 counts.append(n)
                 rows.append(np.full(len(u), row))
             yield pd.DataFrame(base, columns=NAMES).astype({"doc_id": "Int64"})
             if sum(map(len, keys)):
-                yield pd.DataFrame({"row": np.concatenate(rows), "doc_id": pd.array([pd.NA], dtype="Int64").repeat(sum(map(len, keys))), "key": np.concatenate(keys).astype(np.int64), "n": np.concatenate(counts), "target": np.nan, "background": np.nan, "docs": 0})
+                yield pd.DataFrame({"row": np.concatenate(rows), "doc_id": pd.array([pd.NA], dtype="Int64").repeat(sum(map(len, keys))), "key": np.concatenate(keys), "n": np.concatenate(counts), "target": np.nan, "background": np.nan, "docs": 0})
 
     asked = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")).mapInPandas(ask, ROWS)
-    tail = model.where(F.col("c") < limit).select("key", "gb", "gt")
+    tail = model.where(F.col("c") < limit).select("key", "lb", "lt")
     got = asked.join(tail, "key", "left")
     once = F.col("docs") > 0
-    part = lambda own, gain: F.sum(F.when(once, F.col(own)).otherwise(-F.coalesce(F.col(gain), F.lit(0.0)) * F.col("n")))
-    got = got.where(once | F.col("gb").isNotNull()).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("docs").alias("docs"), F.sum(F.when(once, F.col("n"))).alias("n"), part("target", "gt").alias("t"), part("background", "gb").alias("b"))
+    part = lambda own, chance: F.sum(F.when(once, F.col(own)).otherwise(-F.col(chance) * F.col("n")))
+    got = got.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("docs").alias("docs"), F.sum(F.when(once, F.col("n"))).alias("n"), part("target", "lt").alias("t"), part("background", "lb").alias("b"))
     got = got.withColumn("each", F.explode(F.array_repeat(F.lit(0), F.col("docs").cast("int"))))
     loss = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n"))
     return got.select("doc_id", (F.col("n") / F.col("docs")).cast("long").alias("n_tokens"), loss("t").alias("target_loss"), loss("b").alias("background_loss"), (loss("t") - loss("b")).alias("score"))
