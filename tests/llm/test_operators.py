@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, embeddings, fingerprints, lmscore, mixing, neardup, packing, quality, sharding, warc
+from tidemark.llm import chat, common, embeddings, fingerprints, lmscore, mixing, neardup, packing, quality, sharding, warc
 from tidemark.llm.common import components, linked_rows
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -41,6 +41,12 @@ def none(spark):
     return spark.createDataFrame([], DOC)
 
 
+def test_copies(spark, monkeypatch):
+    monkeypatch.setattr(common, "COPIES", 3)
+    rows = spark.createDataFrame([(1, 1), (2, 0), (3, None), (4, 3), (5, 10), (6, 6)], "id long, copy_left long")
+    assert Counter(r.id for r in common.copies(rows, "copy_left").collect()) == {1: 1, 4: 3, 5: 10, 6: 6}
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (170, 2))]
@@ -415,53 +421,57 @@ def test_patterns_cover_the_histogram(hist):
 # 9. language models
 
 
-def test_scores_match_brute_force(spark, odd, none, monkeypatch):
-    monkeypatch.setattr(lmscore, "HEAD", 3)
-    rng = np.random.default_rng(9)
-    docs = [(i, " ".join(f"w{x}" for x in rng.zipf(1.5, int(rng.integers(0, 40))) % 50)) for i in range(80)] + [(3, "w1 w2 w1 w2"), (3, "w1 w2 w1 w2"), (None, None)]
-    target = [("w1 w2 w3 w1 w2 w3 w4",), ("w1 w2 w9",), (None,)]
-    got = lmscore.cross_entropy_difference(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(target, "text string")).collect()
-    assert len(got) == len(docs)
+def brute_losses(docs, target, discount=None):
+    """Per text of docs: target and background loss under back-off, with discounts n1 / (n1 + 2 n2) per model where none is given."""
+    split = lambda t: (t or "").split()
+    words = {w for t in docs + target for w in split(t)}
     models = []
-    words = {w for t in [*[d[1] for d in docs], *[t[0] for t in target]] for w in (t or "").split()}
-    for texts in ([d[1] for d in docs], [t[0] for t in target]):
-        uni, bi = Counter(), Counter()
+    for texts in (target, docs):
+        uni, bi, seen, after = Counter(), Counter(), Counter(), defaultdict(set)
         for t in texts:
-            w = (t or "").split()
-            uni.update(w)
-            bi.update(zip(["<s>"] + w, w))
-        seen, kinds = Counter(), Counter()
-        for (v, _), c in bi.items():
+            uni.update(split(t))
+            bi.update(zip(["<s>"] + split(t), split(t)))
+        for (v, w), c in bi.items():
             seen[v] += c
-            kinds[v] += 1
-        n = sum(uni.values()) + 0.5 * (len(words) + 1)
-        models.append(lambda v, w, uni=uni, bi=bi, seen=seen, kinds=kinds, n=n: (max(bi[v, w] - 1, 0) / seen[v] if seen[v] else 0) + (kinds[v] / seen[v] if seen[v] else 1) * (uni[w] + 0.5) / n)
+            after[v].add(w)
+        n1, n2 = (max(1, sum(c == k for c in bi.values())) for k in (1, 2))
+        d, n = n1 / (n1 + 2 * n2) if discount is None else discount, sum(uni.values()) + 0.5 * (len(words) + 1)
+        one = lambda w, uni=uni, n=n: (uni[w] + 0.5) / n
+        rest = {v: d * len(ws) / seen[v] / (1 - sum(map(one, ws))) for v, ws in after.items()}
+        models.append(lambda v, w, bi=bi, seen=seen, rest=rest, one=one, d=d: (bi[v, w] - d) / seen[v] if bi[v, w] else rest.get(v, 1.0) * one(w))
+        for v in [*list(after)[:3], "no such word"]:  # chances add up to one
+            assert abs(sum(models[-1](v, w) for w in words) + rest.get(v, 1.0) * 0.5 / n - 1) < 1e-9
+    return [tuple(sum(-log(m(v, w)) for v, w in zip(["<s>"] + split(t), split(t))) / len(split(t)) if split(t) else None for m in models) for t in docs]
+
+
+@pytest.mark.parametrize("discount", [None, 0.4])
+@pytest.mark.parametrize("head", [1, 30, 100_000])
+def test_scores_match_brute_force(spark, odd, none, monkeypatch, head, discount):
+    monkeypatch.setattr(lmscore, "HEAD", head)
+    monkeypatch.setattr(lmscore, "CHUNK", 100)
+    rng = np.random.default_rng(9)
+    docs = [(i, " ".join(f"w{x}" for x in rng.zipf(1.5, int(rng.integers(0, 40))) % 50)) for i in range(80)] + [(3, "w1 w2 w1 w2"), (3, "w1 w2 w1 w2"), (None, None), (None, "w1 x")]
+    target = [("w1 w2 w3 w1 w2 w3 w4",), ("w1 w2 w9",), (None,), ("only here",)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("row", F.lit(2))
+    got = lmscore.cross_entropy_difference(frame, spark.createDataFrame(target, "text string"), discount).collect()
     want = Counter()
-    for i, t in docs:
-        w = (t or "").split()
-        b, t_ = (sum(-log(m(v, x)) for v, x in zip(["<s>"] + w, w)) / len(w) if w else None for m in models)
-        want[i, len(w), *(None if x is None else round(x, 6) for x in (b, t_))] += 1
+    for (i, t), (a, b) in zip(docs, brute_losses([d[1] for d in docs], [t[0] for t in target], discount)):
+        want[i, len((t or "").split()), *(None if x is None else round(x, 6) for x in (b, a))] += 1
     assert Counter((r.doc_id, r.n_tokens, *(None if x is None else round(x, 6) for x in (r.background_loss, r.target_loss))) for r in got) == want
-    assert lmscore.cross_entropy_difference(none, odd.select("text")).count() == 0
-    assert lmscore.cross_entropy_difference(odd, none.select("text")).count() == len(ODD)
+    if head == 30:
+        assert lmscore.cross_entropy_difference(none, odd.select("text")).count() == 0
+        assert lmscore.cross_entropy_difference(odd, none.select("text")).count() == len(ODD)
 
 
-def brute_losses(docs, target):
-    """Per text of docs: target and background loss, with discounts n1 / (n1 + 2 n2) per model."""
-    words = {w for t in docs + target for w in t.split()}
-    models = []
-    for texts in (target, docs):
-        uni, bi, seen, kinds = Counter(), Counter(), Counter(), Counter()
-        for t in texts:
-            uni.update(t.split())
-            bi.update(zip(["<s>"] + t.split(), t.split()))
-        for (v, _), c in bi.items():
-            seen[v] += c
-            kinds[v] += 1
-        n1, n2 = (max(1, sum(c == k for c in bi.values())) for k in (1, 2))
-        d, n = n1 / (n1 + 2 * n2), sum(uni.values()) + 0.5 * (len(words) + 1)
-        models.append(lambda v, w, uni=uni, bi=bi, seen=seen, kinds=kinds, n=n, d=d: (max(bi[v, w] - d, 0) / seen[v] if seen[v] else 0) + (d * kinds[v] / seen[v] if seen[v] else 1) * (uni[w] + 0.5) / n)
-    return [tuple(sum(-log(m(v, w)) for v, w in zip(["<s>"] + t.split(), t.split())) / len(t.split()) for m in models) for t in docs]
+def test_words_that_are_all_alike_in_number(spark, monkeypatch):
+    """40,000 words of three occurrences each, and more bigrams of one count than go to all tasks."""
+    monkeypatch.setattr(lmscore, "HEAD", 1000)
+    docs = [" ".join(f"w{i}" for i in range(k, k + 400)) for k in range(0, 40_000, 400)] * 3
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    for target in (["nothing of it"], ["w1 w2 w1"]):
+        got = {r.doc_id: r for r in lmscore.cross_entropy_difference(rows, spark.createDataFrame([(t,) for t in target], "text string")).collect()}
+        for i, (t, b) in enumerate(brute_losses(docs, target)):
+            assert abs(got[i].target_loss - t) < 1e-6 and abs(got[i].background_loss - b) < 1e-6
 
 
 def test_word_order_of_bigrams_seen_once_counts(spark):
@@ -470,7 +480,7 @@ def test_word_order_of_bigrams_seen_once_counts(spark):
     rng = np.random.default_rng(19)
     docs = [target, " ".join(reversed(target.split())), *(" ".join(f"w{x}" for x in rng.zipf(1.5, 30) % 50) for _ in range(40))]
     rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
-    got = {r.doc_id: r for r in lmscore.cross_entropy_difference(rows, spark.createDataFrame([(target,)], "text string"), discount=None).collect()}
+    got = {r.doc_id: r for r in lmscore.cross_entropy_difference(rows, spark.createDataFrame([(target,)], "text string")).collect()}
     assert got[0].target_loss < got[1].target_loss - 0.5
     for i, (t, b) in enumerate(brute_losses(docs, [target])):
         assert abs(got[i].target_loss - t) < 1e-6 and abs(got[i].background_loss - b) < 1e-6
@@ -478,14 +488,13 @@ def test_word_order_of_bigrams_seen_once_counts(spark):
 
 def test_every_word_keeps_its_own_count(spark, monkeypatch):
     """More distinct words than the 32,766 that once had ids, and more than go to all tasks."""
-    monkeypatch.setattr(lmscore, "HOT_WORDS", 20)
     monkeypatch.setattr(lmscore, "HEAD", 10)
     rng = np.random.default_rng(29)
     docs = [" ".join([f"w{x}" for x in rng.zipf(1.5, 60) % 500] + [f"r{x}" for x in rng.integers(0, 90_000, 240)]) for _ in range(250)]
     target = [" ".join(docs[3].split()[100:140]), docs[5]]
     assert len({w for t in docs for w in t.split()}) > 33_000
     rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
-    got = {r.doc_id: r for r in lmscore.cross_entropy_difference(rows, spark.createDataFrame([(t,) for t in target], "text string"), discount=None).collect()}
+    got = {r.doc_id: r for r in lmscore.cross_entropy_difference(rows, spark.createDataFrame([(t,) for t in target], "text string")).collect()}
     for i, (t, b) in enumerate(brute_losses(docs, target)):
         assert abs(got[i].target_loss - t) < 1e-6 and abs(got[i].background_loss - b) < 1e-6
 

@@ -50,6 +50,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: copies of a row that are made from one array
+COPIES = 65_536
+
+
+def copies(df: DataFrame, times: str) -> DataFrame:
+    """Each row as often as its column ``times`` says (null or less than one: not at all), streamed in portions, so
+    that no array grows with the number of copies."""
+    portion, left = fresh(df, "copy_portion"), fresh(df, "copy_left")
+    first = F.explode(F.when(F.col(times) > 0, F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / COPIES))))
+    got = df.select("*", first.alias(portion))
+    size = F.least(F.lit(COPIES), F.col(times) - F.col(portion) * COPIES).cast("int")
+    return got.select("*", F.explode(F.array_repeat(F.lit(0), size)).alias(left)).select(df.columns)
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of an undirected graph: ``edges(a, b)`` longs to ``(node, root)``,
     the root being the smallest node that can be reached.

@@ -3,28 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import copies, cut, table
 
-#: words at most whose counts are sent to all tasks; those of the rest are joined
-HOT_WORDS = 32_766
-#: bigrams at most whose chances are sent to all tasks; the rest are joined
-HEAD = 131_072
+#: words and bigrams at most whose values are sent to all tasks; those of the rest are joined
+HEAD = 262_144
 #: added to each word's count
 ADD = 0.5
+#: words that are worked on at once
+CHUNK = 1 << 20
 
 
 def _cutoff(counts: DataFrame, most: int) -> int:
-    """The least count of which no more than ``most`` rows are reached, to an eighth of a doubling.
-    The driver sees one row per eighth."""
+    """The least count of which no more than ``most`` rows are reached, to an eighth of a doubling; where the
+    topmost eighth alone has more, a count that no row reaches. The driver sees one row per eighth."""
     step = F.floor(F.log2(F.col("c")) * 8).cast("int")
     found = {r["k"]: (r["n"], r["low"]) for r in counts.where("c > 0").groupBy(step.alias("k")).agg(F.count("*").alias("n"), F.min("c").alias("low")).collect()}
-    total, low = 0, 2**62  # where the topmost eighth alone has too many, none is reached
+    total, low = 0, 2**62
     for k in sorted(found, reverse=True):
         total += found[k][0]
         if total > most:
@@ -33,10 +34,6 @@ def _cutoff(counts: DataFrame, most: int) -> int:
     return 1
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").split()
-
-
 class _Hash(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -54,29 +51,30 @@ def _start() -> np.uint64:
     return np.uint64(xxhash.xxh64_intdigest(b" "))
 
 
-def _pairs(words: list[bytes], hashes: _Hash, start: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words before, and of the words."""
-    a = np.empty(len(words) + 1, dtype=np.uint64)
-    a[0] = start
-    a[1:] = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    return a[:-1], a[1:]
-
-
 def _keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     """One hash of a bigram; ``KEY`` is the same in Spark."""
-    return ((v << np.uint64(21) | v >> np.uint64(43)) ^ w).view(np.int64)
+    return (v << np.uint64(21) | v >> np.uint64(43)) ^ w
 
 
 KEY = "(shiftleft(v, 21) | shiftrightunsigned(v, 43)) ^ w"
 
 
-def _attached(rows: DataFrame, stats: DataFrame, key: str) -> DataFrame:
-    """``rows`` joined with ``stats(key, c, ...)``: what belongs to the HOT_WORDS most frequent keys is
-    sent to all tasks, so that no key joined by a shuffle weighs on one task."""
-    limit = _cutoff(stats, HOT_WORDS)
-    hot, rest = (stats.where(where).drop("c") for where in (F.col("c") >= limit, F.col("c") < limit))
-    hot = F.broadcast(hot)
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
+def _chunks(texts: pa.Array, hashes: _Hash, start: np.uint64) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts in portions of about CHUNK words: the first text's number, each text's number of words, and for
+    each word the hash of the word before it and its own."""
+    held, size, first = [], 0, 0
+    every = texts.cast(pa.binary())
+    for i in range(len(every)):
+        held.append((every[i].as_py() or b"").split())
+        size += len(held[-1])
+        if size >= CHUNK or i == len(every) - 1:
+            n = np.array([len(x) for x in held])
+            w = np.fromiter(map(hashes.__getitem__, chain.from_iterable(held)), dtype=np.uint64, count=size)
+            v = np.empty_like(w)
+            v[1:] = w[:-1]
+            v[(np.cumsum(n) - n)[n > 0]] = start
+            yield first, n, v, w
+            held, size, first = [], 0, i + 1
 
 
 def discount_of(once: int, twice: int) -> float:
@@ -85,102 +83,162 @@ def discount_of(once: int, twice: int) -> float:
     return max(once, 1) / (max(once, 1) + 2 * max(twice, 1))
 
 
-def _chance(k: str, total: int, kinds: int, discount: float) -> Column:
-    """Logarithm of a bigram's chance in the model of ``k`` ("b" or "t"), from its count, its word's and its context's."""
-    own, word, context, after = (F.col(c) for c in (k, f"w{k}", f"v{k}", f"kinds_{k}"))
-    base = (word + ADD) / F.lit(total + ADD * (kinds + 1))
-    seen = F.greatest(own - F.lit(discount), F.lit(0.0)) / context + F.lit(discount) * after / context * base
-    return F.log(F.when(context > 0, seen).otherwise(base))
+COUNTS = "key long, word boolean, b long"
+ROWS = "row long, doc_id long, key long, n int, m int, tokens long, target double, background double, docs int"
 
 
-ROWS = "row long, doc_id long, key long, n long, target double, background double, docs int"
-NAMES = [c.split(" ")[0] for c in ROWS.split(", ")]
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (c.split(" ") for c in ddl.split(", "))])
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, discount: float | None = 1.0) -> DataFrame:
+def _target_values(target: DataFrame, kinds_of: DataFrame, discount: float | None) -> tuple[DataFrame, float]:
+    """``(key, x, u)`` of all words and bigrams of ``target``: what a word or bigram adds to a logarithm each
+    time it stands (a word: as context), and what a word adds each time it stands as word; and the logarithm of the
+    chance of a word that the target lacks. ``kinds_of(key, word, b)``: the words of the background."""
+    start = _start()
+
+    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hash()
+        for batch in batches:
+            for _, _, v, w in _chunks(batch.column(0), hashes, start):
+                yield pa.record_batch([pa.array(v.view(np.int64)), pa.array(w.view(np.int64))], names=["v", "w"])
+
+    pairs = cut(target.select("text").mapInArrow(bigrams, "v long, w long").groupBy("v", "w").agg(F.count("*").alias("t")), "lm-target")
+    words = pairs.groupBy(F.col("w").alias("key")).agg(F.sum("t").alias("t"))
+    known = kinds_of.where("word").where(F.col("key") != F.lit(int(start.view(np.int64)))).select("key")
+    kinds = known.count() + words.join(known, "key", "left_anti").count()
+    total, once, twice = pairs.agg(F.sum("t"), F.count_if(F.col("t") == 1), F.count_if(F.col("t") == 2)).first()
+    d = F.lit(discount_of(once, twice) if discount is None else discount)
+    mass = (total or 0) + ADD * (kinds + 1)
+    chance = ((F.col("t") + ADD) / mass).alias("p")
+    both = pairs.join(words.select(F.col("key").alias("w"), chance), "w")
+    contexts = both.groupBy("v").agg(F.sum("t").alias("c"), F.count("*").alias("kinds"), F.sum("p").alias("seen"))
+    contexts = contexts.select("v", "c", F.log(d * F.col("kinds") / F.col("c") / (1 - F.col("seen"))).alias("a"))
+    rest = float(np.log(ADD / mass))
+    stands = both.join(contexts, "v").select(F.expr(KEY).alias("key"), (F.log((F.col("t") - d) / F.col("c")) - F.col("a") - F.log("p")).alias("x"), F.lit(0.0).alias("u"))
+    as_context = contexts.select(F.col("v").alias("key"), F.col("a").alias("x"), F.lit(0.0).alias("u"))
+    as_word = words.select("key", F.lit(0.0).alias("x"), (F.log(chance) - rest).alias("u"))
+    return cut(stands.union(as_context.union(as_word).groupBy("key").agg(F.sum("x").alias("x"), F.sum("u").alias("u"))), "lm-target-values"), rest
+
+
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, discount: float | None = None) -> DataFrame:
     """``docs(doc_id, text)`` and ``target(text)`` to ``doc_id, n_tokens, target_loss, background_loss,
     score``, one row per row of ``docs``.
 
-    Two bigram models over the words of both, of ``target`` and of all of ``docs``, by absolute
-    discounting: ``P(w|v) = max(c(v,w) - D, 0) / c(v) + D * kinds(v) / c(v) * P(w)``. D is ``discount``, or
-    where that is None estimated for each model from its counts (``discount_of``). With a D of one a bigram seen once
-    adds nothing to what its words give; with less it does, and every bigram is looked up. Losses are
-    nats per token; ``score`` is the target's less the background's: lower is more like the target.
+    Two bigram models over the words of both, of ``target`` and of all of ``docs``, by absolute discounting with
+    back-off (Katz): ``P(w|v) = (c(v,w) - D) / c(v)`` for a bigram that the model has, else ``a(v) P(w)`` with
+    the ``a(v)`` that makes the chances after v add up to one (1 after a context that the model lacks). D is
+    ``discount``, below 1, or where that is None estimated for each model from its counts
+    (``discount_of``). Losses are nats per token; ``score`` is the target's less the background's:
+    lower is more like the target.
 
     Words are runs of anything but ASCII white space; every word of both tables has its own count, and
     ``P(w)`` is ``c(w)`` and ADD over their sum, with one more word for all that never occur. Words and bigrams are told
-    apart by 64-bit hashes. Counts are of the whole of both tables and are combined before each
-    shuffle. What goes to all tasks is bounded by HOT_WORDS and HEAD: the counts of the most frequent words and contexts, and
-    the chances of the most frequent bigrams; all other words are joined with their counts and all other bigrams of every
-    document with the model, and those are too rare for any of them to weigh on one task.
+    apart by 64-bit hashes. Counts are of the whole of both tables and are combined before each shuffle.
+
+    A logarithm under back-off is a sum of what bigram, context and word each add, so each is looked up by
+    itself and only sums come back. What the documents have once needs no look-up: its count is
+    one. Values of at most HEAD most frequent words and bigrams go to all tasks; all others
+    are joined key by key.
 
     Null texts and texts without words have 0 tokens and null losses and score. Repeated rows are scored each.
-    Without target text the target model is uniform over the words.
+    Without target text the target model is uniform over the words. Extra columns are left aside.
     """
     spark = docs.sparkSession
-    both = docs.select("text", F.lit(False).alias("t")).union(target.select("text", F.lit(True)))
-
     start = _start()
+    start_key = int(start.view(np.int64))
 
-    def bigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _Hash()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, schema = _Hash(), _schema(COUNTS)
         for batch in batches:
-            for t in (False, True):
-                got = [_pairs(w, hashes, start) for w in map(_words, batch.text[batch.t == t])]
-                if got:
-                    v, w = (np.concatenate(x) for x in zip(*got, strict=True))
-                    _, at, n = np.unique(_keys(v, w), return_index=True, return_counts=True)
-                    yield pd.DataFrame({"v": v[at].view(np.int64), "w": w[at].view(np.int64), "b": n * (not t), "t": n * t})
-
-    pairs = both.mapInPandas(bigrams, "v long, w long, b long, t long").groupBy("v", "w").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
-    pairs = cut(pairs, "lm-bigrams")
-    c = (F.col("b") + F.col("t")).alias("c")
-    sums = [F.sum("b").alias("b"), F.sum("t").alias("t")]
-    words = cut(pairs.groupBy("w").agg(*sums).select("w", c, F.col("b").alias("wb"), F.col("t").alias("wt")), "lm-words")
-    contexts = pairs.groupBy("v").agg(*sums, *(F.count_if(F.col(k) > 0).alias(f"kinds_{k}") for k in "bt"))
-    contexts = cut(contexts.select("v", c, F.col("b").alias("vb"), F.col("t").alias("vt"), "kinds_b", "kinds_t"), "lm-contexts")
-    all_words = words.agg(F.count("*").alias("kinds"), F.sum("wb").alias("b"), F.sum("wt").alias("t")).first()
-    n = pairs.agg(*(F.count_if(F.col(k) == i).alias(f"{k}{i}") for k in "bt" for i in (1, 2))).first()
-    chance = {k: _chance(k, all_words[k] or 0, all_words["kinds"], discount_of(n[k + "1"], n[k + "2"]) if discount is None else discount) for k in "bt"}
-    model = _attached(cut(_attached(pairs, words, "w"), "lm-counts"), contexts, "v")
-    model = cut(model.select(F.expr(KEY).alias("key"), c, chance["b"].alias("lb"), chance["t"].alias("lt")), "lm-model")
-    limit = _cutoff(model, HEAD)
-    head = model.where(F.col("c") >= limit).drop("c").toPandas().sort_values("key")  # at most HEAD rows
-    shared_head = spark.sparkContext.broadcast((head["key"].to_numpy(), head["lb"].to_numpy(), head["lt"].to_numpy()))
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _Hash()
-        top, top_b, top_t = shared_head.value
+            for _, _, v, w in _chunks(batch.column(0), hashes, start):
+                for keys, word in ((_keys(v, w), False), (v, True), (w, None)):
+                    if word is None:  # words that were not yet met as contexts
+                        keys, n = np.setdiff1d(w, v), 0
+                    else:
+                        keys, n = np.unique(keys, return_counts=True)
+                    size = len(keys)
+                    yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(np.full(size, word is not False)), pa.array(np.broadcast_to(n, size).astype(np.int64))], schema=schema)
+
+    counts = docs.select("text").mapInArrow(count, COUNTS).groupBy("key", "word").agg(F.sum("b").alias("b"))
+    counts = cut(counts.where("word OR b > 1"), "lm-counts")
+    total, many, twice = counts.agg(F.sum(F.when(F.col("word"), F.col("b"))), F.sum(F.when(~F.col("word"), F.col("b"))), F.count_if(~F.col("word") & (F.col("b") == 2))).first()
+    d = discount_of((total or 0) - (many or 0), twice) if discount is None else discount
+    values, rest = _target_values(target, counts, discount)
+    seen = counts.where("b > 1").select("key", F.col("b").alias("c"), F.when(F.col("word"), -F.log("b")).otherwise(F.log(F.col("b") - d) - float(np.log(1 - d))).alias("b"))
+    limit = _cutoff(seen, HEAD)
+    begins = F.col("key") == F.lit(start_key)
+    frequent = seen.where((F.col("c") >= limit) | begins)  # at most HEAD rows and one
+    keys = frequent.select("key").union(spark.createDataFrame([(start_key,)], "key long")).distinct()
+    parts = [frequent.select("key", "b", F.lit(0.0).alias("x"), F.lit(0.0).alias("u")), values.join(F.broadcast(keys), "key", "left_semi").select("key", F.lit(0.0), "x", "u")]
+    head = parts[0].union(parts[1]).toPandas().groupby("key", as_index=False).sum()
+    first = head[head.key == start_key]
+    if first.empty:
+        head.loc[len(head)] = (start_key, 0.0, 0.0, 0.0)
+    head["h"] = head.key.to_numpy(dtype=np.int64).view(np.uint64)
+    head = head.sort_values("h")
+    top = head.h.to_numpy()
+    may = np.zeros(1 << 22, dtype=bool)
+    may[top >> np.uint64(42)] = True
+    shared = spark.sparkContext.broadcast((top, *(head[c].to_numpy(dtype=float) for c in "bxu"), np.packbits(may)))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, schema = _Hash(), _schema(ROWS)
+        top, b, x, u, packed = shared.value
+        may = np.unpackbits(packed).astype(bool)
+
+        def held(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Which keys are in the head, and where."""
+            at = np.flatnonzero(may[keys >> np.uint64(42)])
+            place = np.minimum(np.searchsorted(top, keys[at]), len(top) - 1)
+            hit = top[place] == keys[at]
+            return at[hit], place[hit]
+
+        def rows(row, doc_id=None, key=None, n=0, m=0, tokens=0, target=0.0, background=0.0, docs=0) -> pa.RecordBatch:
+            fill = lambda c, kind: pa.array(np.broadcast_to(np.asarray(c, dtype=kind), len(row)))
+            ids = doc_id if doc_id is not None else pa.nulls(len(row), pa.int64())
+            return pa.record_batch([pa.array(row), ids, fill(key, np.int64), fill(n, np.int32), fill(m, np.int32), fill(tokens, np.int64), fill(target, float), fill(background, float), fill(docs, np.int32)], schema=schema)
+
         for batch in batches:
-            base, keys, counts, rows = [], [], [], []
-            for doc_id, text, row in zip(batch.doc_id, batch.text, batch.row, strict=True):
-                k = _keys(*_pairs(_words(text), hashes, start))
-                u, n = np.unique(k, return_counts=True)
-                b = t = 0.0
-                if len(top) and len(u):
-                    at = np.minimum(np.searchsorted(top, u), len(top) - 1)
-                    hit = top[at] == u
-                    b, t = -(top_b[at[hit]] * n[hit]).sum(), -(top_t[at[hit]] * n[hit]).sum()
-                    u, n = u[~hit], n[~hit]
-                base.append((row, doc_id, row, len(k), t, b, 1))
-                keys.append(u)
-                counts.append(n)
-                rows.append(np.full(len(u), row))
-            yield pd.DataFrame(base, columns=NAMES).astype({"doc_id": "Int64"})
-            if sum(map(len, keys)):
-                yield pd.DataFrame({"row": np.concatenate(rows), "doc_id": pd.array([pd.NA], dtype="Int64").repeat(sum(map(len, keys))), "key": np.concatenate(keys), "n": np.concatenate(counts), "target": np.nan, "background": np.nan, "docs": 0})
-
-    asked = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")).mapInPandas(ask, ROWS)
-    tail = model.where(F.col("c") < limit).select("key", "lb", "lt")
+            ids, row_of = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
+            for first, n, v, w in _chunks(batch.column(1), hashes, start):
+                own = np.repeat(np.arange(len(n)), n)
+                t, back = n * rest, n * float(np.log(1 - d))
+                row = row_of[first : first + len(n)]
+                for keys, kind in ((_keys(v, w), "bigram"), (v, "context"), (w, "word")):
+                    at, place = held(keys)
+                    if kind != "word":
+                        back = back + np.bincount(own[at], b[place], len(n))
+                        t = t + np.bincount(own[at], x[place], len(n))
+                    else:
+                        t = t + np.bincount(own[at], u[place], len(n))
+                    if kind == "context":
+                        continue  # but for the start, each context is a word of the same text
+                    far = np.ones(len(keys), dtype=bool)
+                    far[at] = False
+                    k, o = keys[far], own[far]
+                    _, one, times = np.unique(k * np.uint64(0x9E3779B97F4A7C15) ^ o.astype(np.uint64), return_index=True, return_counts=True)
+                    if not len(one):
+                        continue
+                    as_context = times.astype(np.int32)
+                    if kind == "word":  # a text's last word is no context
+                        last = np.zeros(len(n), dtype=np.uint64)
+                        last[n > 0] = w[(np.cumsum(n) - 1)[n > 0]]
+                        as_context = as_context - (last[o[one]] == k[one])
+                    yield rows(row[o[one]], key=k[one].view(np.int64), n=as_context, m=times if kind == "word" else 0)
+                yield rows(row, doc_id=ids.slice(first, len(n)), key=row, tokens=n, target=t, background=back, docs=1)
+
+    asked = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("row")).mapInArrow(ask, ROWS)
+    tail = seen.where((F.col("c") < limit) & ~begins).select("key", "b", F.lit(0.0).alias("x"), F.lit(0.0).alias("u")).union(values.join(F.broadcast(keys), "key", "left_anti").select("key", F.lit(0.0), "x", "u"))
     got = asked.join(tail, "key", "left")
-    once = F.col("docs") > 0
-    part = lambda own, chance: F.sum(F.when(once, F.col(own)).otherwise(-F.col(chance) * F.col("n")))
-    got = got.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("docs").alias("docs"), F.sum(F.when(once, F.col("n"))).alias("n"), part("target", "lt").alias("t"), part("background", "lb").alias("b"))
-    got = got.withColumn("each", F.explode(F.array_repeat(F.lit(0), F.col("docs").cast("int"))))
-    loss = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n"))
-    return got.select("doc_id", (F.col("n") / F.col("docs")).cast("long").alias("n_tokens"), loss("t").alias("target_loss"), loss("b").alias("background_loss"), (loss("t") - loss("b")).alias("score"))
+    part = lambda base, *more: F.sum(F.col(base) + sum((F.coalesce(F.col(c) * F.col(k), F.lit(0.0)) for c, k in more), F.lit(0.0)))
+    got = got.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("docs").alias("docs"), F.sum("tokens").alias("n"), part("target", ("x", "n"), ("u", "m")).alias("t"), part("background", ("b", "n")).alias("b"))
+    loss = lambda c: F.when(F.col("n") > 0, -F.col(c) / F.col("n"))
+    got = got.select("doc_id", "docs", (F.col("n") / F.col("docs")).cast("long").alias("n_tokens"), loss("t").alias("target_loss"), loss("b").alias("background_loss"), (loss("t") - loss("b")).alias("score"))
+    return copies(got, "docs").drop("docs")
 
 
 def op9_lm_score(spark, sf_dir: str) -> DataFrame:
     """Documents scored against the benchmark's texts as target."""
-    return cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), discount=None)
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
