@@ -421,8 +421,8 @@ def test_patterns_cover_the_histogram(hist):
 # 9. language models
 
 
-def brute_losses(docs, target, discount=None):
-    """Per text of docs: target and background loss under back-off, with discounts n1 / (n1 + 2 n2) per model where none is given."""
+def brute_losses(docs, target, d=lmscore.DISCOUNT):
+    """Per text of docs: target and background loss under back-off."""
     split = lambda t: (t or "").split()
     words = {w for t in docs + target for w in split(t)}
     models = []
@@ -434,8 +434,7 @@ def brute_losses(docs, target, discount=None):
         for (v, w), c in bi.items():
             seen[v] += c
             after[v].add(w)
-        n1, n2 = (max(1, sum(c == k for c in bi.values())) for k in (1, 2))
-        d, n = n1 / (n1 + 2 * n2) if discount is None else discount, sum(uni.values()) + 0.5 * (len(words) + 1)
+        n = sum(uni.values()) + 0.5 * (len(words) + 1)
         one = lambda w, uni=uni, n=n: (uni[w] + 0.5) / n
         rest = {v: d * len(ws) / seen[v] / (1 - sum(map(one, ws))) for v, ws in after.items()}
         models.append(lambda v, w, bi=bi, seen=seen, rest=rest, one=one, d=d: (bi[v, w] - d) / seen[v] if bi[v, w] else rest.get(v, 1.0) * one(w))
@@ -444,7 +443,7 @@ def brute_losses(docs, target, discount=None):
     return [tuple(sum(-log(m(v, w)) for v, w in zip(["<s>"] + split(t), split(t))) / len(split(t)) if split(t) else None for m in models) for t in docs]
 
 
-@pytest.mark.parametrize("discount", [None, 0.4])
+@pytest.mark.parametrize("discount", [lmscore.DISCOUNT, 0.4])
 @pytest.mark.parametrize("head", [1, 30, 100_000])
 def test_scores_match_brute_force(spark, odd, none, monkeypatch, head, discount):
     monkeypatch.setattr(lmscore, "HEAD", head)

@@ -7,15 +7,17 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import copies, cut, table
 
 #: words and bigrams at most whose values are sent to all tasks; those of the rest are joined
 HEAD = 262_144
-#: added to each word's count
-ADD = 0.5
+#: a bigram may be sent to all tasks only if it comes so often among CHUNK words somewhere (its count is then taken over all)
+OFTEN = 4
+#: added to each word's count; taken from each bigram's
+ADD, DISCOUNT = 0.5, 0.75
 #: words that are worked on at once
 CHUNK = 1 << 20
 
@@ -77,14 +79,25 @@ def _chunks(texts: pa.Array, hashes: _Hash, start: np.uint64) -> Iterator[tuple[
             held, size, first = [], 0, i + 1
 
 
-def discount_of(once: int, twice: int) -> float:
-    """The discount that the numbers of bigrams seen once and twice give (Ney, Essen and Kneser 1994); always
-    between 0 and 1, as neither number is taken as less than one."""
-    return max(once, 1) / (max(once, 1) + 2 * max(twice, 1))
+COUNTS = "key long, word boolean, c long"
+ROWS = "row long, key long, n int, kind int, base struct<doc_id: bigint, tokens: bigint, target: double, background: double>"
+#: kinds of a row that asks: for a bigram, a word, a word that also ends the text
+BIGRAM, WORD, LAST = 0, 1, 2
 
 
-COUNTS = "key long, word boolean, b long"
-ROWS = "row long, doc_id long, key long, n int, m int, tokens long, target double, background double, docs int"
+BASE = pa.struct([("doc_id", pa.int64()), ("tokens", pa.int64()), ("target", pa.float64()), ("background", pa.float64())])
+
+
+def _places(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are among the sorted ones, and where there."""
+    if not len(sorted_keys):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    may = np.zeros(1 << 20, dtype=bool)
+    may[sorted_keys >> np.uint64(44)] = True
+    at = np.flatnonzero(may[keys >> np.uint64(44)])
+    place = np.minimum(np.searchsorted(sorted_keys, keys[at]), len(sorted_keys) - 1)
+    hit = sorted_keys[place] == keys[at]
+    return at[hit], place[hit]
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -92,10 +105,10 @@ def _schema(ddl: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (c.split(" ") for c in ddl.split(", "))])
 
 
-def _target_values(target: DataFrame, kinds_of: DataFrame, discount: float | None) -> tuple[DataFrame, float]:
+def _target_values(target: DataFrame, known: DataFrame, discount: float) -> tuple[DataFrame, float]:
     """``(key, x, u)`` of all words and bigrams of ``target``: what a word or bigram adds to a logarithm each
     time it stands (a word: as context), and what a word adds each time it stands as word; and the logarithm of the
-    chance of a word that the target lacks. ``kinds_of(key, word, b)``: the words of the background."""
+    chance of a word that the target lacks. ``known(key)``: the words of the background."""
     start = _start()
 
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,11 +119,9 @@ def _target_values(target: DataFrame, kinds_of: DataFrame, discount: float | Non
 
     pairs = cut(target.select("text").mapInArrow(bigrams, "v long, w long").groupBy("v", "w").agg(F.count("*").alias("t")), "lm-target")
     words = pairs.groupBy(F.col("w").alias("key")).agg(F.sum("t").alias("t"))
-    known = kinds_of.where("word").where(F.col("key") != F.lit(int(start.view(np.int64)))).select("key")
     kinds = known.count() + words.join(known, "key", "left_anti").count()
-    total, once, twice = pairs.agg(F.sum("t"), F.count_if(F.col("t") == 1), F.count_if(F.col("t") == 2)).first()
-    d = F.lit(discount_of(once, twice) if discount is None else discount)
-    mass = (total or 0) + ADD * (kinds + 1)
+    d = F.lit(discount)
+    mass = (pairs.agg(F.sum("t")).first()[0] or 0) + ADD * (kinds + 1)
     chance = ((F.col("t") + ADD) / mass).alias("p")
     both = pairs.join(words.select(F.col("key").alias("w"), chance), "w")
     contexts = both.groupBy("v").agg(F.sum("t").alias("c"), F.count("*").alias("kinds"), F.sum("p").alias("seen"))
@@ -122,25 +133,27 @@ def _target_values(target: DataFrame, kinds_of: DataFrame, discount: float | Non
     return cut(stands.union(as_context.union(as_word).groupBy("key").agg(F.sum("x").alias("x"), F.sum("u").alias("u"))), "lm-target-values"), rest
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, discount: float | None = None) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, discount: float = DISCOUNT) -> DataFrame:
     """``docs(doc_id, text)`` and ``target(text)`` to ``doc_id, n_tokens, target_loss, background_loss,
     score``, one row per row of ``docs``.
 
     Two bigram models over the words of both, of ``target`` and of all of ``docs``, by absolute discounting with
-    back-off (Katz): ``P(w|v) = (c(v,w) - D) / c(v)`` for a bigram that the model has, else ``a(v) P(w)`` with
-    the ``a(v)`` that makes the chances after v add up to one (1 after a context that the model lacks). D is
-    ``discount``, below 1, or where that is None estimated for each model from its counts
-    (``discount_of``). Losses are nats per token; ``score`` is the target's less the background's:
-    lower is more like the target.
+    back-off (Katz): ``P(w|v) = (c(v,w) - discount) / c(v)`` for a bigram that the model has, else ``a(v) P(w)``
+    with the ``a(v)`` that makes the chances after v add up to one (1 after a context that the model lacks).
+    Losses are nats per token; ``score`` is the target's less the background's: lower is more like the target.
 
     Words are runs of anything but ASCII white space; every word of both tables has its own count, and
     ``P(w)`` is ``c(w)`` and ADD over their sum, with one more word for all that never occur. Words and bigrams are told
-    apart by 64-bit hashes. Counts are of the whole of both tables and are combined before each shuffle.
+    apart by 64-bit hashes.
 
     A logarithm under back-off is a sum of what bigram, context and word each add, so each is looked up by
-    itself and only sums come back. What the documents have once needs no look-up: its count is
-    one. Values of at most HEAD most frequent words and bigrams go to all tasks; all others
-    are joined key by key.
+    itself and only sums come back:
+
+    1. Words are counted, and with them the bigrams that come often somewhere; of both the most frequent,
+       at most HEAD, are counted over all documents and sent to all tasks.
+    2. Every document asks for its other words and bigrams, one row for each. Rows of one key meet, which is
+       their count over all documents, and meet what the target has of it.
+    3. What came of them is added up per document, and to what the document had from the frequent ones.
 
     Null texts and texts without words have 0 tokens and null losses and score. Repeated rows are scored each.
     Without target text the target model is uniform over the words. Extra columns are left aside.
@@ -148,92 +161,87 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, discount: float
     spark = docs.sparkSession
     start = _start()
     start_key = int(start.view(np.int64))
+    counted = _schema(COUNTS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, schema = _Hash(), _schema(COUNTS)
+        hashes = _Hash()
         for batch in batches:
             for _, _, v, w in _chunks(batch.column(0), hashes, start):
-                for keys, word in ((_keys(v, w), False), (v, True), (w, None)):
-                    if word is None:  # words that were not yet met as contexts
-                        keys, n = np.setdiff1d(w, v), 0
-                    else:
-                        keys, n = np.unique(keys, return_counts=True)
-                    size = len(keys)
-                    yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(np.full(size, word is not False)), pa.array(np.broadcast_to(n, size).astype(np.int64))], schema=schema)
-
-    counts = docs.select("text").mapInArrow(count, COUNTS).groupBy("key", "word").agg(F.sum("b").alias("b"))
-    counts = cut(counts.where("word OR b > 1"), "lm-counts")
-    total, many, twice = counts.agg(F.sum(F.when(F.col("word"), F.col("b"))), F.sum(F.when(~F.col("word"), F.col("b"))), F.count_if(~F.col("word") & (F.col("b") == 2))).first()
-    d = discount_of((total or 0) - (many or 0), twice) if discount is None else discount
-    values, rest = _target_values(target, counts, discount)
-    seen = counts.where("b > 1").select("key", F.col("b").alias("c"), F.when(F.col("word"), -F.log("b")).otherwise(F.log(F.col("b") - d) - float(np.log(1 - d))).alias("b"))
-    limit = _cutoff(seen, HEAD)
+                u, n = np.unique(_keys(v, w), return_counts=True)
+                words, context = np.unique(v, return_counts=True)
+                ends = np.setdiff1d(w, words)  # words that are no context here
+                keys = np.concatenate([u[n >= OFTEN], words, ends])
+                n = np.concatenate([n[n >= OFTEN], context, np.zeros(len(ends), dtype=np.int64)])
+                word = np.arange(len(keys)) >= len(keys) - len(words) - len(ends)
+                yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(word), pa.array(n)], schema=counted)
+
+    counts = cut(docs.select("text").mapInArrow(count, COUNTS).groupBy("key", "word").agg(F.sum("c").alias("c")), "lm-words")
     begins = F.col("key") == F.lit(start_key)
-    frequent = seen.where((F.col("c") >= limit) | begins)  # at most HEAD rows and one
-    keys = frequent.select("key").union(spark.createDataFrame([(start_key,)], "key long")).distinct()
-    parts = [frequent.select("key", "b", F.lit(0.0).alias("x"), F.lit(0.0).alias("u")), values.join(F.broadcast(keys), "key", "left_semi").select("key", F.lit(0.0), "x", "u")]
-    head = parts[0].union(parts[1]).toPandas().groupby("key", as_index=False).sum()
-    first = head[head.key == start_key]
-    if first.empty:
-        head.loc[len(head)] = (start_key, 0.0, 0.0, 0.0)
-    head["h"] = head.key.to_numpy(dtype=np.int64).view(np.uint64)
-    head = head.sort_values("h")
-    top = head.h.to_numpy()
-    may = np.zeros(1 << 22, dtype=bool)
-    may[top >> np.uint64(42)] = True
-    shared = spark.sparkContext.broadcast((top, *(head[c].to_numpy(dtype=float) for c in "bxu"), np.packbits(may)))
+    values, rest = _target_values(target, counts.where(F.col("word") & ~begins).select("key"), discount)
+    frequent = counts.where((F.col("c") >= _cutoff(counts, HEAD)) | begins).toPandas()  # at most HEAD rows and one
+    as_keys = lambda frame: np.sort(frame.key.to_numpy(dtype=np.int64).view(np.uint64))
+    often = spark.sparkContext.broadcast(as_keys(frequent[~frequent.word.astype(bool)]))
+
+    def recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, keys = _Hash(), often.value
+        for batch in batches:
+            for _, _, v, w in _chunks(batch.column(0), hashes, start):
+                n = np.bincount(_places(keys, _keys(v, w))[1], minlength=len(keys))
+                at = np.flatnonzero(n)
+                yield pa.record_batch([pa.array(keys[at].view(np.int64)), pa.array(np.zeros(len(at), dtype=bool)), pa.array(n[at])], schema=counted)
+
+    bigrams = docs.select("text").mapInArrow(recount, COUNTS).groupBy("key").agg(F.sum("c").alias("c")).toPandas()  # at most HEAD rows
+    words = frequent[frequent.word.astype(bool) & (frequent.c > 0)]
+    head = {int(k): [-np.log(c), 0.0, 0.0] for k, c in zip(words.key, words.c, strict=True)}
+    head |= {int(k): [np.log((c - discount) / (1 - discount)), 0.0, 0.0] for k, c in zip(bigrams.key, bigrams.c, strict=True)}
+    head.setdefault(start_key, [0.0, 0.0, 0.0])
+    keys = F.broadcast(spark.createDataFrame([(k,) for k in head], "key long"))
+    for r in values.join(keys, "key", "left_semi").toLocalIterator():
+        head[r.key][1:] = r.x, r.u
+    top = np.array(list(head), dtype=np.int64).view(np.uint64)
+    order = np.argsort(top)
+    shared = spark.sparkContext.broadcast((top[order], *np.array(list(head.values()))[order].T.copy()))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, schema = _Hash(), _schema(ROWS)
-        top, b, x, u, packed = shared.value
-        may = np.unpackbits(packed).astype(bool)
-
-        def held(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Which keys are in the head, and where."""
-            at = np.flatnonzero(may[keys >> np.uint64(42)])
-            place = np.minimum(np.searchsorted(top, keys[at]), len(top) - 1)
-            hit = top[place] == keys[at]
-            return at[hit], place[hit]
-
-        def rows(row, doc_id=None, key=None, n=0, m=0, tokens=0, target=0.0, background=0.0, docs=0) -> pa.RecordBatch:
-            fill = lambda c, kind: pa.array(np.broadcast_to(np.asarray(c, dtype=kind), len(row)))
-            ids = doc_id if doc_id is not None else pa.nulls(len(row), pa.int64())
-            return pa.record_batch([pa.array(row), ids, fill(key, np.int64), fill(n, np.int32), fill(m, np.int32), fill(tokens, np.int64), fill(target, float), fill(background, float), fill(docs, np.int32)], schema=schema)
+        hashes = _Hash()
+        top, b, x, u = shared.value
+
+        def rows(row, key, n=None, kind=0, base=None) -> pa.RecordBatch:
+            n = pa.array(np.zeros(len(row), dtype=np.int32) if n is None else n.astype(np.int32))
+            kind = pa.array(np.broadcast_to(np.asarray(kind, dtype=np.int32), len(row)))
+            base = pa.nulls(len(row), BASE) if base is None else pa.StructArray.from_arrays(base, fields=list(BASE))
+            return pa.record_batch([pa.array(row), pa.array(key), n, kind, base], names=["row", "key", "n", "kind", "base"])
 
         for batch in batches:
             ids, row_of = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
             for first, n, v, w in _chunks(batch.column(1), hashes, start):
-                own = np.repeat(np.arange(len(n)), n)
-                t, back = n * rest, n * float(np.log(1 - d))
-                row = row_of[first : first + len(n)]
-                for keys, kind in ((_keys(v, w), "bigram"), (v, "context"), (w, "word")):
-                    at, place = held(keys)
-                    if kind != "word":
-                        back = back + np.bincount(own[at], b[place], len(n))
-                        t = t + np.bincount(own[at], x[place], len(n))
-                    else:
-                        t = t + np.bincount(own[at], u[place], len(n))
-                    if kind == "context":
-                        continue  # but for the start, each context is a word of the same text
+                own, pairs, row = np.repeat(np.arange(len(n)), n), _keys(v, w), row_of[first : first + len(n)]
+                in_pairs, in_v, in_w = (_places(top, k) for k in (pairs, v, w))
+                add = lambda what, found: np.bincount(own[found[0]], what[found[1]], len(n))
+                target = n * rest + add(x, in_pairs) + add(x, in_v) + add(u, in_w)
+                yield rows(row, row, base=[ids.slice(first, len(n)), pa.array(n), pa.array(target), pa.array(add(b, in_pairs) + add(b, in_v) + n * np.log(1 - discount))])
+                # every context but the start is a word of the same text
+                for keys, found, is_word in ((pairs, in_pairs, False), (w, in_w, True)):
                     far = np.ones(len(keys), dtype=bool)
-                    far[at] = False
+                    far[found[0]] = False
                     k, o = keys[far], own[far]
                     _, one, times = np.unique(k * np.uint64(0x9E3779B97F4A7C15) ^ o.astype(np.uint64), return_index=True, return_counts=True)
-                    if not len(one):
-                        continue
-                    as_context = times.astype(np.int32)
-                    if kind == "word":  # a text's last word is no context
-                        last = np.zeros(len(n), dtype=np.uint64)
-                        last[n > 0] = w[(np.cumsum(n) - 1)[n > 0]]
-                        as_context = as_context - (last[o[one]] == k[one])
-                    yield rows(row[o[one]], key=k[one].view(np.int64), n=as_context, m=times if kind == "word" else 0)
-                yield rows(row, doc_id=ids.slice(first, len(n)), key=row, tokens=n, target=t, background=back, docs=1)
+                    if len(one):
+                        k, o, kind = k[one], o[one], BIGRAM
+                        if is_word:
+                            last = np.zeros(len(n), dtype=np.uint64)
+                            last[n > 0] = w[(np.cumsum(n) - 1)[n > 0]]
+                            ends = last[o] == k
+                            times, kind = times - ends, np.where(ends, LAST, WORD)
+                        yield rows(row[o], k.view(np.int64), times, kind)
 
     asked = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("row")).mapInArrow(ask, ROWS)
-    tail = seen.where((F.col("c") < limit) & ~begins).select("key", "b", F.lit(0.0).alias("x"), F.lit(0.0).alias("u")).union(values.join(F.broadcast(keys), "key", "left_anti").select("key", F.lit(0.0), "x", "u"))
-    got = asked.join(tail, "key", "left")
-    part = lambda base, *more: F.sum(F.col(base) + sum((F.coalesce(F.col(c) * F.col(k), F.lit(0.0)) for c, k in more), F.lit(0.0)))
-    got = got.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("docs").alias("docs"), F.sum("tokens").alias("n"), part("target", ("x", "n"), ("u", "m")).alias("t"), part("background", ("b", "n")).alias("b"))
+    asked = asked.withColumn("c", F.sum("n").over(Window.partitionBy("key"))).join(values.join(keys, "key", "left_anti"), "key", "left")
+    n, kind, c = F.col("n"), F.col("kind"), F.col("c")
+    back = F.when(n > 0, n * F.when(kind == BIGRAM, F.log((c - discount) / (1 - discount))).otherwise(-F.log(c)))
+    toward = F.col("x") * n + F.col("u") * (n + F.when(kind == LAST, 1).otherwise(0))
+    add = lambda base, more: F.sum(F.coalesce(F.col(base), more, F.lit(0.0)))
+    got = asked.groupBy("row").agg(F.max("base.doc_id").alias("doc_id"), F.count("base").alias("docs"), F.sum("base.tokens").alias("n"), add("base.target", toward).alias("t"), add("base.background", back).alias("b"))
     loss = lambda c: F.when(F.col("n") > 0, -F.col(c) / F.col("n"))
     got = got.select("doc_id", "docs", (F.col("n") / F.col("docs")).cast("long").alias("n_tokens"), loss("t").alias("target_loss"), loss("b").alias("background_loss"), (loss("t") - loss("b")).alias("score"))
     return copies(got, "docs").drop("docs")
