@@ -448,6 +448,7 @@ def brute_losses(docs, target, d=lmscore.DISCOUNT):
 def test_scores_match_brute_force(spark, odd, none, monkeypatch, head, discount):
     monkeypatch.setattr(lmscore, "HEAD", head)
     monkeypatch.setattr(lmscore, "CHUNK", 100)
+    monkeypatch.setattr(lmscore, "BUCKET", 50)
     rng = np.random.default_rng(9)
     docs = [(i, " ".join(f"w{x}" for x in rng.zipf(1.5, int(rng.integers(0, 40))) % 50)) for i in range(80)] + [(3, "w1 w2 w1 w2"), (3, "w1 w2 w1 w2"), (None, None), (None, "w1 x")]
     target = [("w1 w2 w3 w1 w2 w3 w4",), ("w1 w2 w9",), (None,), ("only here",)]

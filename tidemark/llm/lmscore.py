@@ -6,8 +6,9 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import copies, cut, table
@@ -80,14 +81,16 @@ def _chunks(texts: pa.Array, hashes: _Hash, start: np.uint64) -> Iterator[tuple[
 
 
 COUNTS = "key long, word boolean, c long"
-ROWS = "row long, key long, n int, kind int, base struct<doc_id: bigint, tokens: bigint, target: double, background: double>"
-#: kinds of a row that asks: for a bigram, a word, a word that also ends the text
+#: what a portion of documents asks one bucket of keys: documents (``rows``), how many asks each has (``sizes``), and
+#: the asks; or, without keys, what the documents already have. Numbers stand one after another in a binary.
+ASKS = "bucket int, rows binary, sizes binary, keys binary, n binary, kind binary, ids binary, t binary, b binary"
+FOUND = "row long, doc_id long, docs int, tokens long, t double, b double"
+#: asks in one bucket, about
+BUCKET = 1 << 22
+#: kinds of an ask: for a bigram, a word, a word that also ends the text
 BIGRAM, WORD, LAST = 0, 1, 2
 
 
-BASE = pa.struct([("doc_id", pa.int64()), ("tokens", pa.int64()), ("target", pa.float64()), ("background", pa.float64())])
-
-
 def _places(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which keys are among the sorted ones, and where there."""
     if not len(sorted_keys):
@@ -101,7 +104,7 @@ def _places(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _schema(ddl: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
     return pa.schema([(name, kinds[kind]) for name, kind in (c.split(" ") for c in ddl.split(", "))])
 
 
@@ -151,8 +154,9 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, discount: float
 
     1. Words are counted, and with them the bigrams that come often somewhere; of both the most frequent,
        at most HEAD, are counted over all documents and sent to all tasks.
-    2. Every document asks for its other words and bigrams, one row for each. Rows of one key meet, which is
-       their count over all documents, and meet what the target has of it.
+    2. Every document asks for its other words and bigrams, in buckets of keys whose number grows with the
+       corpus. In a bucket all asks for a key meet, which is its count over all documents, and meet
+       what the target has of it. Asks of many documents for one bucket travel in one row, 8 bytes each.
     3. What came of them is added up per document, and to what the document had from the frequent ones.
 
     Null texts and texts without words have 0 tokens and null losses and score. Repeated rows are scored each.
@@ -202,15 +206,14 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, discount: float
     order = np.argsort(top)
     shared = spark.sparkContext.broadcast((top[order], *np.array(list(head.values()))[order].T.copy()))
 
+    buckets = 1 + (counts.where("word").agg(F.sum("c")).first()[0] or 0) // BUCKET
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hash()
+        hashes, schema = _Hash(), _schema(ASKS)
         top, b, x, u = shared.value
 
-        def rows(row, key, n=None, kind=0, base=None) -> pa.RecordBatch:
-            n = pa.array(np.zeros(len(row), dtype=np.int32) if n is None else n.astype(np.int32))
-            kind = pa.array(np.broadcast_to(np.asarray(kind, dtype=np.int32), len(row)))
-            base = pa.nulls(len(row), BASE) if base is None else pa.StructArray.from_arrays(base, fields=list(BASE))
-            return pa.record_batch([pa.array(row), pa.array(key), n, kind, base], names=["row", "key", "n", "kind", "base"])
+        def one(**parts) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([parts.get(f.name)], type=f.type) for f in schema], schema=schema)
 
         for batch in batches:
             ids, row_of = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
@@ -218,30 +221,58 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, discount: float
                 own, pairs, row = np.repeat(np.arange(len(n)), n), _keys(v, w), row_of[first : first + len(n)]
                 in_pairs, in_v, in_w = (_places(top, k) for k in (pairs, v, w))
                 add = lambda what, found: np.bincount(own[found[0]], what[found[1]], len(n))
+                doc_id = ids.slice(first, len(n))
+                known = doc_id.is_valid().to_numpy(zero_copy_only=False)
                 target = n * rest + add(x, in_pairs) + add(x, in_v) + add(u, in_w)
-                yield rows(row, row, base=[ids.slice(first, len(n)), pa.array(n), pa.array(target), pa.array(add(b, in_pairs) + add(b, in_v) + n * np.log(1 - discount))])
+                background = n * np.log(1 - discount) + add(b, in_pairs) + add(b, in_v)
+                yield one(bucket=int(row[0] % buckets), rows=row.tobytes(), sizes=n.astype("<i8").tobytes(), kind=known.astype("u1").tobytes(), ids=doc_id.fill_null(0).to_numpy().astype("<i8").tobytes(), t=target.tobytes(), b=background.tobytes())
+                last = np.zeros(len(n), dtype=np.uint64)
+                last[n > 0] = w[(np.cumsum(n) - 1)[n > 0]]
+                asks = []
                 # every context but the start is a word of the same text
                 for keys, found, is_word in ((pairs, in_pairs, False), (w, in_w, True)):
                     far = np.ones(len(keys), dtype=bool)
                     far[found[0]] = False
                     k, o = keys[far], own[far]
-                    _, one, times = np.unique(k * np.uint64(0x9E3779B97F4A7C15) ^ o.astype(np.uint64), return_index=True, return_counts=True)
-                    if len(one):
-                        k, o, kind = k[one], o[one], BIGRAM
-                        if is_word:
-                            last = np.zeros(len(n), dtype=np.uint64)
-                            last[n > 0] = w[(np.cumsum(n) - 1)[n > 0]]
-                            ends = last[o] == k
-                            times, kind = times - ends, np.where(ends, LAST, WORD)
-                        yield rows(row[o], k.view(np.int64), times, kind)
-
-    asked = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("row")).mapInArrow(ask, ROWS)
-    asked = asked.withColumn("c", F.sum("n").over(Window.partitionBy("key"))).join(values.join(keys, "key", "left_anti"), "key", "left")
-    n, kind, c = F.col("n"), F.col("kind"), F.col("c")
-    back = F.when(n > 0, n * F.when(kind == BIGRAM, F.log((c - discount) / (1 - discount))).otherwise(-F.log(c)))
-    toward = F.col("x") * n + F.col("u") * (n + F.when(kind == LAST, 1).otherwise(0))
-    add = lambda base, more: F.sum(F.coalesce(F.col(base), more, F.lit(0.0)))
-    got = asked.groupBy("row").agg(F.max("base.doc_id").alias("doc_id"), F.count("base").alias("docs"), F.sum("base.tokens").alias("n"), add("base.target", toward).alias("t"), add("base.background", back).alias("b"))
+                    _, at, times = np.unique(k * np.uint64(0x9E3779B97F4A7C15) ^ o.astype(np.uint64), return_index=True, return_counts=True)
+                    ends = (last[o[at]] == k[at]) & is_word
+                    asks.append((k[at], o[at], times - ends, np.where(ends, LAST, WORD if is_word else BIGRAM)))
+                k, o, times, kind = map(np.concatenate, zip(*asks, strict=True))
+                to = (k % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(to * len(n) + o, kind="stable")
+                bounds = np.searchsorted(to[order], np.arange(buckets + 1))
+                for j in np.flatnonzero(np.diff(bounds)):
+                    mine = order[bounds[j] : bounds[j + 1]]
+                    docs_of, sizes = np.unique(o[mine], return_counts=True)
+                    yield one(bucket=int(j), rows=row[docs_of].tobytes(), sizes=sizes.astype("<i8").tobytes(), keys=k[mine].tobytes(), n=times[mine].astype("<i4").tobytes(), kind=kind[mine].astype("u1").tobytes())
+
+    def answer(asks: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        joined = lambda part, kind: np.frombuffer(b"".join(part), dtype=kind)
+        base, asks = asks[asks["keys"].isna()], asks[asks["keys"].notna()]
+        out = [pd.DataFrame({"row": joined(base.rows, "<i8"), "doc_id": pd.array(joined(base.ids, "<i8").copy(), dtype="Int64"), "docs": 1, "tokens": joined(base.sizes, "<i8"), "t": joined(base.t, "<f8"), "b": joined(base.b, "<f8")})]
+        out[0].loc[joined(base.kind, "u1") == 0, "doc_id"] = pd.NA
+        if len(asks):
+            row, sizes, keys, n, kind = (joined(asks[c], k) for c, k in (("rows", "<i8"), ("sizes", "<i8"), ("keys", "<u8"), ("n", "<i4"), ("kind", "u1")))
+            doc = np.repeat(np.arange(len(row)), sizes)
+            distinct, at = np.unique(keys, return_inverse=True)
+            c = np.bincount(at, n)
+            with np.errstate(divide="ignore", invalid="ignore"):  # a word that is never a context has no count and is not asked for as one
+                back = np.where(n > 0, n * np.where(kind == BIGRAM, np.log((c - discount) / (1 - discount))[at], -np.log(c)[at]), 0.0)
+            x, u = np.zeros(len(distinct)), np.zeros(len(distinct))
+            own_keys = own.key.to_numpy(dtype=np.int64).view(np.uint64)
+            order = np.argsort(own_keys)
+            here, place = _places(own_keys[order], distinct)
+            x[here], u[here] = own.x.to_numpy()[order][place], own.u.to_numpy()[order][place]
+            toward = x[at] * n + u[at] * (n + (kind == LAST))
+            out.append(pd.DataFrame({"row": row, "doc_id": pd.array([pd.NA], dtype="Int64").repeat(len(row)), "docs": 0, "tokens": 0, "t": np.bincount(doc, toward, len(row)), "b": np.bincount(doc, back, len(row))}))
+        return pd.concat(out)
+
+    asked = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("row")).mapInArrow(ask, ASKS)
+    # the bucket of a key as an unsigned number
+    unsigned = F.when(F.col("key") >= 0, F.pmod("key", F.lit(buckets))).otherwise(F.pmod(F.pmod("key", F.lit(buckets)) + F.lit(2**64 % buckets), F.lit(buckets)))
+    tail = values.join(keys, "key", "left_anti").withColumn("bucket", unsigned.cast("int"))
+    got = asked.groupBy("bucket").cogroup(tail.groupBy("bucket")).applyInPandas(answer, FOUND)
+    got = got.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("docs").alias("docs"), F.sum("tokens").alias("n"), F.sum("t").alias("t"), F.sum("b").alias("b"))
     loss = lambda c: F.when(F.col("n") > 0, -F.col(c) / F.col("n"))
     got = got.select("doc_id", "docs", (F.col("n") / F.col("docs")).cast("long").alias("n_tokens"), loss("t").alias("target_loss"), loss("b").alias("background_loss"), (loss("t") - loss("b")).alias("score"))
     return copies(got, "docs").drop("docs")
