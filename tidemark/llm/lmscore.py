@@ -20,7 +20,7 @@ OFTEN = 4
 #: added to each word's count; taken from each bigram's
 ADD, DISCOUNT = 0.5, 0.75
 #: words that are worked on at once
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def _cutoff(counts: DataFrame, most: int) -> int:
@@ -41,7 +41,7 @@ class _Hash(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 1 << 18:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -86,7 +86,7 @@ COUNTS = "key long, word boolean, c long"
 ASKS = "bucket int, rows binary, sizes binary, keys binary, n binary, kind binary, ids binary, t binary, b binary"
 FOUND = "row long, doc_id long, docs int, tokens long, t double, b double"
 #: asks in one bucket, about
-BUCKET = 1 << 22
+BUCKET = 1 << 21
 #: kinds of an ask: for a bigram, a word, a word that also ends the text
 BIGRAM, WORD, LAST = 0, 1, 2
 
