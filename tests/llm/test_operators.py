@@ -63,6 +63,8 @@ def test_components(spark):
             parent[hi] = lo
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent}
+    star = [(0, i) for i in range(1, 2000)] + [(1999, 2000), (2000, 3000)]
+    assert {(r.node, r.root) for r in components(spark.createDataFrame(star, "a long, b long")).collect()} == {(i, 0) for i in [*range(2001), 3000]}
     path = [(i, i + 1) for i in range(40)]
     assert {r.root for r in components(spark.createDataFrame(path, "a long, b long")).collect()} == {0}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
@@ -166,7 +168,7 @@ def test_bayesian_bound_keeps_similar_pairs():
 # 2. mixing
 
 
-def test_mixing_targets_and_copies(spark, odd, none):
+def test_mixing_targets_and_copies(spark, odd, none, monkeypatch):
     rng = np.random.default_rng(2)
     docs = [(i, " ".join(["w"] * int(rng.integers(1, 60))), "en", ["a", "b", "c", "d"][min(3, i // (40 if i < 80 else 25))], 0) for i in range(900)]
     got = mixing.mix(spark.createDataFrame(docs, DOC)).collect()
@@ -194,6 +196,14 @@ def test_mixing_targets_and_copies(spark, odd, none):
     assert mixing.mix(none).count() == 0
     rows = mixing.mix(odd.withColumn("mix_key", F.lit(1)).withColumn("Mix_Run", F.lit(1)))
     assert rows.count() == len(ODD) and rows.columns[:7] == odd.columns + ["mix_key", "Mix_Run"]
+    clash = {f"mix_{n}": F.lit(7) for n in ("size", "copies", "source_size", "target", "rate", "shift", "class", "before")}
+    rows = mixing.mix(odd.withColumns(clash), names=("a", "b", "c", "d"))
+    assert rows.columns == odd.columns + list(clash) + ["a", "b", "c", "d"] and {r.mix_copies for r in rows.collect()} == {7}
+    assert mixing.mix(odd.withColumns(clash)).columns[-1] == "mix_copies_"
+    assert mixing.mixed_documents(odd.withColumns(clash)).columns == odd.columns + list(clash)
+    monkeypatch.setattr(mixing, "RUN_ROWS", 1)  # finer parts of runs change nothing
+    fine = mixing.mix(spark.createDataFrame(docs, DOC)).collect()
+    assert {(r.doc_id, r.mix_copies) for r in fine} == {(r.doc_id, r.mix_copies) for r in got}
     a, b = (sorted(map(str, mixing.mixed_documents(odd.repartition(n)).collect())) for n in (1, 7))
     assert a == b
 

@@ -64,27 +64,48 @@ def copies(df: DataFrame, times: str) -> DataFrame:
     return got.select("*", F.explode(F.array_repeat(F.lit(0), size)).alias(left)).select(df.columns)
 
 
+#: rows of one key that are joined in one place, if the keys with more of them are no more than MOST_HUBS
+HUB, MOST_HUBS = 256, 65_536
+
+
+def spread_join(rows: DataFrame, key: str, by: str, values: DataFrame) -> DataFrame:
+    """``rows`` joined on ``key`` with ``values``, one row per key with ``n``, how many rows the key has (no key null).
+
+    A key with many rows is sent once per salt, and its rows go by a salt of their column ``by``. More than
+    HUB rows are many, or more than what MOST_HUBS keys at most can have, whichever is more; so no more than MOST_HUBS keys are
+    sent to all tasks to mark the rows of such keys.
+    """
+    total = values.agg(F.sum("n")).first()[0] or 0
+    salts = F.least(F.lit(1 << 20), F.ceil(F.col("n") / max(HUB, -(-total // MOST_HUBS)))).cast("int")
+    salt, many = fresh(rows, "salt"), fresh(rows, "salts")
+    wide = values.withColumn(many, salts).drop("n")
+    hubs = F.broadcast(wide.where(F.col(many) > 1).select(key, many))  # at most MOST_HUBS rows
+    dealt = rows.join(hubs, key, "left").withColumn(salt, F.pmod(F.xxhash64(by), F.coalesce(many, F.lit(1))).cast("int")).drop(many)
+    sent = wide.withColumn(salt, F.explode(F.sequence(F.lit(0), F.col(many) - 1))).drop(many)
+    return dealt.join(sent, [key, salt]).drop(salt)
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of an undirected graph: ``edges(a, b)`` longs to ``(node, root)``,
     the root being the smallest node that can be reached.
 
-    Large-star/small-star rounds (Kiveris et al. 2014). Every round is one or two
-    shuffles of the edges, is written to the shared folder, and the driver sees one
-    count. A node's neighbours are folded into their minimum before the shuffle, so
-    a hub is never gathered in one place. No edges: no rows.
+    Large-star/small-star rounds (Kiveris et al. 2014), each written to the shared folder; the driver sees one
+    count. A node's neighbours are folded into their minimum before the shuffle (``min`` combines on the map
+    side), and to bring the minimum back a node's edges are dealt out by a salt of the neighbour, with as many
+    salts as its degree asks for: a hub's edges are never one task's. No edges: no rows.
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     while True:
         # large star: every larger neighbour of u points at the smallest of u's neighbourhood
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
+        large = spread_join(both.where("v > u"), "u", "v", low).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: smaller neighbours and u itself point at the smallest of them
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("s"))
+        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, "u", "v", down).select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("s"))
         new = cut(small.select(F.col("s.u").alias("u"), F.col("s.m").alias("v")).where("u <> v").distinct(), name)
         # a forest of stars: no node both points and is pointed at
-        if new.select(F.col("v").alias("u")).join(new, "u", "left_semi").isEmpty() and new.groupBy("u").count().where("count > 1").isEmpty():
+        if new.select(F.col("v").alias("u")).distinct().join(new, "u", "left_semi").isEmpty() and new.groupBy("u").count().where("count > 1").isEmpty():
             break
         e = new
     roots = new.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -106,7 +127,8 @@ def linked_rows(rows: DataFrame, links: DataFrame, edges: DataFrame, roots: bool
     info = classes.join(total, "node", "left").join(components(edges), "node", "left").where("rows > 1 OR root IS NOT NULL")
     info = info.select("node", "class_id", (F.col("rows") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
     info = cut(info, "links")
-    info = cut(info.join(info.groupBy("root").agg(F.min("class_id").alias("component_id")), "root").drop(*([] if roots else ["root"])), "links")
+    found = info.groupBy("root").agg(F.min("class_id").alias("component_id"), F.count("*").alias("n"))
+    info = cut(spread_join(info, "root", "node", found).drop(*([] if roots else ["root"])), "links")
     got = rows.join(info, "node", "left")
     return got.select(*rows.columns, F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"), *(["root"] if roots else []))
 

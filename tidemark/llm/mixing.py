@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import copies, cut, fresh, table
 
 #: a word is a run of anything but ASCII white space
 WORDS = r"[^\x20\x09-\x0D]+"
 #: no document and no source is taken more often than this
 MAX_COPIES = 3
-#: rows of one source and size class are numbered in so many independent runs
-RUNS = 64
+#: rows of one source and size class are numbered in so many independent runs, and those in parts of at most about RUN_ROWS rows
+RUNS, RUN_ROWS = 64, 2048
 SEED = "mix-1"
 
 
@@ -44,15 +44,20 @@ def targets(sizes: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
     return w.select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, max_copies: int = MAX_COPIES, seed: str = SEED) -> DataFrame:
-    """``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_copies``.
+MIXED = ("size", "source_size", "target", "copies")
+
+
+def mix(docs: DataFrame, max_copies: int = MAX_COPIES, seed: str = SEED, names: tuple[str, ...] | None = None) -> DataFrame:
+    """``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_copies`` (or the four ``names``; a name
+    that ``docs`` has itself gets underscores until it is new).
 
     Within a source every document is expected ``target / source_size`` times, so the
     prefix sum of expected copies is rank times that rate; with one random offset per
     source a document comes out once for each integer that its stretch crosses. Ranks run
     in order of size class, then of a hash, so the words taken stay close to the target.
     A rank is the number within (source, size class, hash run) plus the rows of the
-    runs before; a source with a third of all rows is thus spread over many tasks.
+    runs before; runs grow in number with the rows, so a source with a third of all rows is spread over
+    many tasks. Sizes per run are summed once, written, and used for targets and ranks alike.
 
     Null text, or one of white space only, has size 0 and is sampled like others; a null
     source is a source of its own; a source without any word has the target 0 and is left
@@ -60,34 +65,38 @@ def mix(docs: DataFrame, max_copies: int = MAX_COPIES, seed: str = SEED) -> Data
     ``doc_id``, ``text`` and ``source``; other columns are kept. The result does not depend
     on how rows lie in partitions.
     """
-    key, cls, run, tick, off = (fresh(docs, n) for n in ("mix_key", "mix_class", "mix_run", "mix_tick", "mix_before"))
+    size, source_size, target, times = names or tuple(fresh(docs, f"mix_{n}") for n in MIXED)
+    key, cls, run, tick, off, rate, shift = (fresh(docs, f"mix_{n}") for n in ("key", "class", "run", "tick", "before", "rate", "shift"))
+    parts = 1 + docs.count() // (RUNS * RUN_ROWS)
     rows = (
-        docs.withColumn("mix_size", word_count(F.col("text")))
+        docs.withColumn(size, word_count(F.col("text")))
         .withColumn(key, F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-        .withColumn(cls, F.floor(F.sqrt("mix_size")))
+        .withColumn(cls, F.floor(F.sqrt(size)))
         .withColumn(tick, _hash32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-        .withColumn(run, F.col(tick) % RUNS)
+        .withColumn(run, F.col(tick) % RUNS * parts + F.floor(F.col(tick) * parts / 2**32))
     )
-    runs = rows.groupBy(F.col(key).alias("key"), F.col(cls).alias("cls"), F.col(run).alias("run")).agg(F.count("*").alias("n"), F.sum("mix_size").alias("words"), F.min("source").alias("source"))
+    runs = rows.groupBy(F.col(key).alias("key"), F.col(cls).alias("cls"), F.col(run).alias("run")).agg(F.count("*").alias("n"), F.sum(size).alias("words"), F.min("source").alias("source"))
+    runs = cut(runs, "mix-runs")
     goals = targets(runs.groupBy("source").agg(F.sum("words").alias("source_size")), max_copies)
     before = Window.partitionBy("key").orderBy("cls", "run").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    goals = goals.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("key"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    goals = goals.withColumn("rate", F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(0.0))
+    goals = goals.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("key"), F.col("source_size").alias("total"), F.col("target").alias("goal"))
+    goals = goals.withColumn("rate", F.when(F.col("total") > 0, F.col("goal") / F.col("total")).otherwise(0.0))
     goals = goals.withColumn("shift", _hash32(F.concat(F.lit(seed + "/"), "key")) / F.lit(4294967296.0))
-    plan = runs.join(goals, "key").select(F.col("key").alias(key), F.col("cls").alias(cls), F.col("run").alias(run), F.col("before").alias(off), "mix_source_size", "mix_target", F.col("rate").alias("mix_rate_"), F.col("shift").alias("mix_shift_"))
-    within = Window.partitionBy(key, cls, run).orderBy(tick, "doc_id", "mix_size")
+    plan = runs.join(goals, "key").select(F.col("key").alias(key), F.col("cls").alias(cls), F.col("run").alias(run), F.col("before").alias(off), F.col("total").alias(source_size), F.col("goal").alias(target), F.col("rate").alias(rate), F.col("shift").alias(shift))
+    within = Window.partitionBy(key, cls, run).orderBy(tick, "doc_id", size)
     k = F.col(off) + F.row_number().over(within)
     ranked = rows.join(plan, [key, cls, run]).withColumn(off, k)
-    reach = lambda at: F.floor(F.col("mix_shift_") + at * F.col("mix_rate_"))
-    copies = F.least(F.lit(max_copies), reach(F.col(off)) - reach(F.col(off) - 1)).cast("int")
-    return ranked.withColumn("mix_copies", copies).select(*docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_copies")
+    reach = lambda at: F.floor(F.col(shift) + at * F.col(rate))
+    drawn = F.least(F.lit(max_copies), reach(F.col(off)) - reach(F.col(off) - 1)).cast("int")
+    return ranked.withColumn(times, drawn).select(*docs.columns, size, source_size, target, times)
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as it was drawn, with the columns of ``docs``."""
-    drawn = mix(docs).where("mix_copies > 0")
-    return drawn.withColumn("mix_copies", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies")))).select(*docs.columns)
+    """The mix itself: each document as often as it was drawn, with the columns of ``docs`` (whatever their
+    names). Odd rows are treated as ``mix`` says; an empty table gives an empty one."""
+    names = tuple(fresh(docs, f"mix_{n}") for n in MIXED)
+    return copies(mix(docs, names=names), names[3]).select(docs.columns)
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
