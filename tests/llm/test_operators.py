@@ -234,6 +234,13 @@ def test_near_vectors_match_brute_force(spark, monkeypatch):
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_of_doubles_are_compared_as_doubles(spark):
+    x = 0.9 - 1e-10
+    rows = [(1, [1.0, 0.0]), (2, [x, float(np.sqrt(1 - x * x))]), (3, [0.9 + 1e-10, -float(np.sqrt(1 - (0.9 + 1e-10) ** 2))])]
+    got = {r.id: r.n_links for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("tile", F.lit(1))).collect()}
+    assert got == {1: 1, 2: 0, 3: 1}
+
+
 def test_cover_tree_is_nested_and_covers():
     x = np.random.default_rng(0).standard_normal((300, 6))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -255,7 +262,7 @@ def test_chat_round_trip(spark):
     rows += [(1, 0, "user", "again"), (1, 0, "user", "again"), (None, None, "user", "lost")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     turns = chat.format_turns(frame.withColumn("esc", F.lit(1)))
-    got = {r.conv_id: r for r in chat.digest(turns).collect()}
+    got = {r.conv_id: r for r in chat.digest(chat.expand(turns)).collect()}
     by = defaultdict(list)
     for c, t, r, x in sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1] if r[1] is not None else -1, r[2] or "", r[3] or "")):
         by[c].append((r or "", x or ""))
@@ -269,7 +276,7 @@ def test_chat_round_trip(spark):
         assert chat.unescape(e.reply) == by[e.conv_id][upto][1]
         segments = re.findall(r"### (?:[^\\:]|\\.)*: (?:[^\\#<]|\\.)*</turn>\n", e.context, re.DOTALL)
         assert [chat.read_turn(s)[1] for s in segments] == [x for _, x in by[e.conv_id][:upto]]
-    assert chat.digest(chat.format_turns(frame.limit(0))).count() == 0
+    assert chat.digest(chat.expand(chat.format_turns(frame.limit(0)))).count() == 0
 
 
 # 5. WARC
@@ -293,6 +300,7 @@ def test_warc_round_trip(spark, tmp_path):
         first = low[text[r.page_id]] if len(body) >= 100 else r.page_id
         assert (r.payload_bytes, r.payload_digest) == (len(body), hashlib.sha256(body).hexdigest())
         assert (r.record_type, r.refers_to) == (("response", None) if first == r.page_id else ("revisit", first))
+    assert max(len(bytes(r.data)) for r in warc.chunk_table(spark, path).collect()) <= warc.BLOCK_BYTES
     chunks = [r for r in warc.chunk_table(spark, path).collect() if r.page_id == 3 and r.record_type == "response"]
     assert b"".join(bytes(r.data) for r in sorted(chunks, key=lambda r: r.chunk)) == (big + "x").encode()
     empty = f"file://{tmp_path}/none"
@@ -300,6 +308,29 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archives(spark, empty).count() == 0
 
 
+def test_warc_archives_of_others(spark, tmp_path):
+    import base64
+    import gzip
+
+    body = b"<p>hello</p>" * 20
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    sha1 = base64.b32encode(hashlib.sha1(body).digest())
+    record = lambda head, block: b"WARC/1.0\r\n" + head + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+    parts = [
+        record(b"WARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1>\r\n", b"software: x\r\n\r\n"),
+        record(b"WARC-Type: request\r\nWARC-Record-ID: <urn:uuid:2>\r\n", b"GET / HTTP/1.1\r\n\r\n"),
+        record(b"warc-type: response\r\nWARC-Record-ID: <urn:uuid:3>\r\nWARC-Payload-Digest: sha1:" + sha1 + b"\r\n", http + body),
+        record(b"WARC-Type: metadata\r\nWARC-Record-ID:<urn:uuid:4>\r\n", b""),
+        record(b"WARC-Type: revisit\r\nWARC-Record-ID: <urn:uuid:5>\r\nWARC-Refers-To: <urn:uuid:3>\r\n", http),
+    ]
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "a.txt.gz").write_bytes(b"".join(map(gzip.compress, parts)))  # one member per record
+    got = {r.record_id: r for r in warc.chunk_table(spark, f"file://{tmp_path}/x").collect()}
+    assert set(got) == {"urn:uuid:3", "urn:uuid:5"}
+    assert (bytes(got["urn:uuid:3"].data), got["urn:uuid:3"].digest, got["urn:uuid:3"].page_id) == (body, hashlib.sha256(body).hexdigest(), None)
+    assert got["urn:uuid:5"].record_type == "revisit"
+
+
 # 6. sharding
 
 
@@ -318,6 +349,11 @@ def test_shards_fit_and_only_full_ones_split(spark):
     for s, r in small.items():  # the parent of each shard was over the limit
         parent = sum(x.bytes for x in got if x.bytes <= 5_000 and x.hash >> (60 - r.depth + 1) == r.prefix >> 1)
         assert parent > 5_000
+    wide = spark.createDataFrame([(k, b, f"text {i}", 7) for i, (k, b) in enumerate(rows)], "key string, bytes long, text string, shard int").repartition(5)
+    carried, _ = sharding.assign_shards(wide, 5_000)
+    assert carried.columns == ["key", "bytes", "text", "copy", "hash", "shard"]
+    carried = carried.collect()
+    assert len({r.text for r in carried}) == len(rows) and Counter((r.key, r.copy, r.shard) for r in carried) == Counter((r.key, r.copy, r.shard) for r in got)
     empty, none = sharding.assign_shards(spark.createDataFrame([], "key string, bytes long"))
     assert empty.count() == 0 and none.count() == 0
 
@@ -348,6 +384,33 @@ def test_quality_on_held_out_rows(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
 
 
+def test_votes_match_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = docs.limit(60).collect()
+    got = {r.doc_id: r.score for r in quality.scored(docs.withColumn("score", F.lit(5)), model).collect()}
+    for r in rows:
+        c = quality._weighted(quality.term_counts(r.text)[None, :], model.rarity)[0]
+        z = [sum(x * y for x, y in zip(c - model.mean, model.basis[:, k])) for k in range(model.basis.shape[1])]
+        near = []
+        for v, label in zip(model.vectors, model.labels):
+            near.append((sum(x * y for x, y in zip(z, v)) / max(sqrt(sum(x * x for x in z)), 1e-12), label))
+        near = sorted(near, key=lambda x: -x[0])[: quality.NEIGHBOURS]
+        weights = [max(x, 0.0) ** quality.POWER + 1e-9 for x, _ in near]
+        want = sum(w * y for w, (_, y) in zip(weights, near)) / sum(weights)
+        assert abs(got[r.doc_id] - want) < 1e-6
+
+
+def test_words_count_beside_shapes():
+    """Texts of one shape whose words differ are apart."""
+    good = [f"the river{i % 7} runs past an old house{i % 5}" for i in range(40)]
+    bad = [f"zqx ploop{i % 7} vrnt wexx mu gla smurf{i % 5}" for i in range(40)]
+    assert quality.term_counts("old house").sum() == quality.term_counts("gla smurf").sum()
+    model = quality.Model(np.stack([quality.term_counts(t) for t in good + bad]), np.array([1] * 40 + [0] * 40))
+    s = model.score(np.stack([quality.term_counts(t) for t in ("the river9 runs past an old house9", "zqx ploop9 vrnt wexx mu gla smurf9")]))
+    assert s[0] > 0.9 > 0.1 > s[1]
+
+
 def test_quality_on_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 0), (7, 1, 0), (7, 1, 0), (8, None, 1), (None, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
     model = quality.fit(odd, labels)
@@ -417,15 +480,77 @@ def test_packing_places_everything_tightly(spark, odd, none):
 
 @pytest.mark.parametrize("hist", [{}, {5: 3}, {10: 4}, {6: 100, 4: 100}, {7: 9, 2: 5, 1: 3}, {n: n % 5 + 1 for n in range(1, 11)}])
 def test_patterns_cover_the_histogram(hist):
-    got = packing.solve(hist, 10)
+    got, bound = packing.solve(hist, 10)
     used = Counter()
     for pattern, times in got:
         assert sum(n * a for n, a in pattern) <= 10
         for n, a in pattern:
             used[n] += a * times
     assert used == Counter(hist)
+    total = sum(t for _, t in got)
+    assert bound <= total + 1e-9 and total <= sum(packing._best_fit(hist, 10).values())
     if hist == {6: 100, 4: 100}:
-        assert sum(t for _, t in got) == 100
+        assert total == 100
+
+
+def least_sequences(lens, room):
+    """The least number of sequences, by trying everything."""
+    best = len(lens)
+
+    def put(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(lens):
+            best = len(rooms)
+            return
+        for r in sorted(set(r for r in rooms if r >= lens[k])):
+            i = rooms.index(r)
+            put(k + 1, rooms[:i] + [r - lens[k]] + rooms[i + 1 :])
+        put(k + 1, [*rooms, room - lens[k]])
+
+    put(0, [])
+    return best
+
+
+def test_packing_of_few_pieces_is_near_the_least():
+    rng = np.random.default_rng(8)
+    over = 0
+    for _ in range(25):
+        lens = sorted(map(int, rng.integers(1, 21, 9)), reverse=True)
+        got, bound = packing.solve(dict(Counter(lens)), 20)
+        least = least_sequences(lens, 20)
+        assert bound <= least + 1e-9 and sum(t for _, t in got) <= least + 1
+        over += sum(t for _, t in got) - least
+    assert over <= 2
+
+
+def test_best_fit_by_counts_is_best_fit_by_pieces():
+    rng = np.random.default_rng(18)
+    for _ in range(20):
+        lens = sorted(map(int, rng.integers(1, 50, 120)), reverse=True)
+        rooms = []
+        for n in lens:
+            fits = [r for r in rooms if r >= n]
+            if fits:
+                rooms.remove(min(fits))
+            rooms.append((min(fits) if fits else 50) - n)
+        got = packing._best_fit(dict(Counter(lens)), 50)
+        assert sum(got.values()) == len(rooms)
+        assert sum((Counter({n: a * c for n, a in p}) for p, c in got.items()), Counter()) == Counter(lens)
+
+
+def test_other_kinds_of_tokenizers_go_by_their_own_rules(tmp_path):
+    import json
+
+    path = packing.default_tokenizer()
+    spec = json.loads(open(path, encoding="utf-8").read())
+    assert packing._is_plain(spec)
+    spec["normalizer"] = {"type": "Lowercase"}
+    other = tmp_path / "lower.json"
+    other.write_text(json.dumps(spec), encoding="utf-8")
+    encoder = packing._encoder(str(other))
+    assert packing.encode(encoder, "Some WORDS").tolist() == packing.encode(packing._encoder(path), "some words").tolist()
 
 
 # 9. language models
@@ -557,6 +682,46 @@ def test_fingerprints_follow_the_next_document(spark, parts):
     assert abs(next(r for r in got if r.doc_id == 7).near_edited - 1) < 1e-9  # the next text starts alike
 
 
+def brute_print(text):
+    """Length, two polynomial hashes and the sketch, with Python's own numbers."""
+    n, mixed = len(text), set()
+    hashes = [sum((ord(c) + 1) * pow(base, i, p) for i, c in enumerate(text)) % p for p, base in fingerprints.PRIMES]
+    (p, base), w = fingerprints.PRIMES[0], min(fingerprints.SPAN, n)
+    for i in range(n - w + 1 if n else 0):
+        h = sum((ord(c) + 1) * pow(base, k, p) for k, c in enumerate(text[i : i + w])) % p
+        mixed.add((h + w) * 0x9E3779B97F4A7C15 % 2**64 >> 32)
+    return n, hashes, sorted(mixed)[: fingerprints.KEEP]
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    x, y = (set(brute_print(t)[2]) for t in (a, b))
+    if not x or not y:
+        return 0.0
+    few = len(x) < fingerprints.KEEP and len(y) < fingerprints.KEEP
+    both = set(sorted(x | y)[: None if few else max(fingerprints.KEEP, min(len(x), len(y)))])
+    j = len(both & x & y) / len(both)
+    return 2 * j / (1 + j)
+
+
+def test_fingerprints_match_brute_force(spark):
+    rng = np.random.default_rng(12)
+    texts = ["".join(rng.choice(list("abcé\U0001f600 "), int(n))) for n in (0, 1, 5, 11, 12, 13, 40, 90, 150, 150)]
+    texts += [texts[8], texts[8][:100] + "tail", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in fingerprints.fingerprint_documents(rows).collect():
+        own, nxt = texts[r.doc_id] or "", texts[(r.doc_id + 1) % len(texts)] or ""
+        half = len(own) // 2
+        edited = own[: len(own) - half] + nxt[:half]
+        for text, got in ((own, r.fingerprint), (edited, r.edited_fingerprint)):
+            n, hashes, sketch = brute_print(text)
+            assert got == f"{n:x}." + "".join(f"{h:08x}" for h in hashes) + "." + "".join(f"{h:08x}" for h in sketch)
+        assert abs(r.near_edited - brute_likeness(own, edited)) < 1e-12 and abs(r.near_next - brute_likeness(own, nxt)) < 1e-12
+        shared = next((i for i, (a, b) in enumerate(zip(own, edited)) if a != b), min(len(own), len(edited)))
+        assert r.shared_prefix == shared
+
+
 def test_fingerprints_of_few_rows(spark, none):
     assert fingerprints.fingerprint_documents(none).count() == 0
     one = fingerprints.fingerprint_documents(none.sparkSession.createDataFrame([(1, "abcdef")], "doc_id long, text string")).collect()

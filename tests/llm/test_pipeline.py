@@ -39,3 +39,20 @@ def test_stages_take_effect(spark):
 def test_run_ends_with_placed_pieces(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_stages_on_empty_and_odd_rows(spark):
+    from pyspark.sql import functions as F
+
+    from .test_operators import DOC, ODD
+
+    clash = {c: F.lit(1) for c in ("row", "score", "quality_score", "mix_copies", "key", "node", "length", "part")}
+    for rows in ([], ODD):
+        docs = spark.createDataFrame(rows, DOC).withColumns(clash)
+        now = docs
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            now = stage(spark, now, SF)
+            assert k == 3 or now.columns == docs.columns
+            if k < 3:
+                now = corpus_pipeline.cut(now, f"odd-{k}")
+        assert (now.count() > 0) == bool(rows)

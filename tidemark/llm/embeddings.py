@@ -18,6 +18,8 @@ BLOCK, PIVOTS = 4096, 64
 #: radius of the nets below the root, halved at each level, and the number of levels. Wider nets prune nothing
 #: among many dimensions, where points that have nothing in common lie about 1.4 apart.
 TOP, LEVELS = 0.5, 4
+#: blocks of one tile; two tiles' blocks meet in one task
+TILE = 4
 #: pairs of nodes or points whose distances are taken at once
 PAIRS = 100_000
 
@@ -27,18 +29,25 @@ def _near(similar: float) -> float:
     return float(np.sqrt(2 - 2 * similar))
 
 
+def _unit(raw: np.ndarray) -> np.ndarray:
+    """Vectors as given, whatever their width, to unit length in double precision."""
+    x = raw.astype(float)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 class CoverTree:
     """Nested nets of points on the unit sphere.
 
     The children of a node are a greedy net of its points: no two closer than the level's
     radius, every point within it of its child's centre, and the node's own centre first
-    (nesting). Points are reordered so that each node is a range ``lo..hi``; ``reach`` is the
+    (nesting). A tree travels with its vectors as they were given and makes them unit length again. Points are reordered so that each node is a range ``lo..hi``; ``reach`` is the
     true covering radius. A node of one point, or of the last level, is a leaf.
     """
 
-    FIELDS = ("points", "order", "centre", "reach", "lo", "hi", "first", "last")
+    FIELDS = ("raw", "order", "centre", "reach", "lo", "hi", "first", "last")
 
-    def __init__(self, points: np.ndarray):
+    def __init__(self, raw: np.ndarray):
+        points = _unit(raw)
         order, nodes = np.arange(len(points)), []
         # breadth first: (centre, lo, hi) of each node, children follow one another
         nodes.append([0, 0, len(points), 0, 0])
@@ -70,7 +79,7 @@ class CoverTree:
         place = np.empty(len(points), dtype=np.int64)
         place[order] = np.arange(len(points))
         n = np.array(nodes, dtype=np.int64)
-        self.points, self.order = points[order], order
+        self.raw, self.points, self.order = raw[order], points[order], order
         self.centre, self.lo, self.hi, self.first, self.last = place[n[:, 0]], n[:, 1], n[:, 2], n[:, 3], n[:, 4]
         self.reach = np.zeros(len(n))
         for k in np.flatnonzero(self.hi - self.lo > 1):
@@ -87,6 +96,7 @@ class CoverTree:
         with np.load(io.BytesIO(raw)) as found:
             for f in cls.FIELDS:
                 setattr(self, f, found[f])
+        self.points = _unit(self.raw)
         return self
 
 
@@ -217,8 +227,8 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     class, which counts as many links as it has rows. Classes are dealt to blocks of about
     BLOCK around pivots (the first few by hash; a pivot with many classes gets several blocks), each
     block is made a cover tree once, and each pair of blocks that the blocks' own covering radii
-    allow is one unit of work for a dual traversal. A unit gives a count per class and a
-    spanning forest, not pairs.
+    allow is traversed once. Blocks travel in tiles of TILE, two tiles' blocks to a task. A traversal
+    gives a count per class and a spanning forest, not pairs. Vectors of floats stay floats until they are compared.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; so do
     vectors of different lengths with each other. Repeated rows are rows of their own, linked
@@ -226,7 +236,8 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     remain, and work and shuffle grow with the square of their number.
     """
     spark = vectors.sparkSession
-    e = F.col("embedding")
+    kind = "float" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "double"
+    e = F.col("embedding").cast(f"array<{kind}>")
     good = e.isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").alias("id"), F.when(good, e).alias("embedding")).withColumn("node", F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding")))
     rows = cut(rows, "vectors")
@@ -245,45 +256,51 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
             for dims in batch.dims.unique():
                 if dims in pivots:
                     at = np.flatnonzero(batch.dims == dims)
-                    x = np.stack(batch.v.iloc[at].to_numpy()).astype(float)
-                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+                    x = _unit(np.stack(batch.v.iloc[at].to_numpy()))
                     pivot[at] = (x @ np.array(pivots[dims]).T).argmax(axis=1)
             yield batch.assign(pivot=pivot)
 
-    dealt = cut(classes.mapInPandas(deal, "node long, v array<float>, n long, dims int, pivot int"), "vector-dealt")
+    dealt = cut(classes.mapInPandas(deal, f"node long, v array<{kind}>, n long, dims int, pivot int"), "vector-dealt")
     # one row per pivot and length of vector
     sizes = dealt.groupBy("dims", "pivot").count().withColumn("salts", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
     dealt = dealt.join(sizes, ["dims", "pivot"]).withColumn("salt", F.pmod(F.xxhash64("node"), "salts").cast("int")).drop("salts")
 
     def build(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("node")
-        x = np.stack(batch.v.to_numpy()).astype(float)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        t = CoverTree(x)
+        t = CoverTree(np.stack(batch.v.to_numpy()))
         head = batch.iloc[0]
         return pd.DataFrame({"dims": [head.dims], "block": [f"{head.pivot:06d}/{head.salt:09d}"], "nodes": [batch.node.to_numpy()[t.order].tobytes()], "n": [batch.n.to_numpy()[t.order].tobytes()], "tree": [t.dump()], "centre": [t.points[t.centre[0]]], "reach": [t.reach[0]]})
 
     blocks = dealt.groupBy("dims", "pivot", "salt").applyInPandas(build, "dims int, block string, nodes binary, n binary, tree binary, centre array<double>, reach double")
     blocks = cut(blocks, "vector-blocks")
-    # pairs of blocks by their outer bounds; each block goes to the units it has a part in
-    bounds = blocks.select("dims", "block", "centre", "reach")
-    l, r = bounds.alias("l"), bounds.alias("r")
+    # pairs of blocks that their bounds leave, by salts, so that no key has all of them; then tiles of blocks, which
+    # are what travels: a block goes to a task once for all the blocks of a tile
+    many = blocks.count()
+    salts, tiles = 1 + many // 16, 1 + (many - 1) // TILE
+    blocks = blocks.withColumn("tile", F.pmod(F.xxhash64("block"), F.lit(tiles)).cast("int"))
+    bounds = blocks.select("dims", "block", "centre", "reach", "tile")
+    l = bounds.withColumn("salt", F.pmod(F.xxhash64("block", F.lit(1)), F.lit(salts)).cast("int")).alias("l")
+    r = bounds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("r")
     apart = F.aggregate(F.zip_with("l.centre", "r.centre", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    pairs = l.join(r, (F.col("l.dims") == F.col("r.dims")) & (F.col("l.block") <= F.col("r.block"))).where(F.sqrt(apart) <= F.lit(_near(SIMILAR) + 1e-9) + F.col("l.reach") + F.col("r.reach"))
-    pairs = pairs.select("l.dims", F.col("l.block").alias("p"), F.col("r.block").alias("q"))
-    sides = pairs.select("dims", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"))
-    units = sides.join(blocks.drop("centre", "reach"), ["dims", "block"])
+    pairs = l.join(r, (F.col("l.dims") == F.col("r.dims")) & (F.col("l.salt") == F.col("r.salt")) & (F.col("l.block") <= F.col("r.block"))).where(F.sqrt(apart) <= F.lit(_near(SIMILAR) + 1e-9) + F.col("l.reach") + F.col("r.reach"))
+    meet = pairs.select("l.dims", F.least("l.tile", "r.tile").alias("p"), F.greatest("l.tile", "r.tile").alias("q"), F.explode(F.array_distinct(F.array("l.block", "r.block"))).alias("block")).distinct()
+    units = meet.join(blocks, ["dims", "block"])
 
     def traverse(unit: pd.DataFrame) -> pd.DataFrame:
-        unit = unit.sort_values("block")
-        same = len(unit) == 1
-        sides = [(CoverTree.load(r.tree), np.frombuffer(r.nodes, np.int64), np.frombuffer(r.n, np.int64)) for r in unit.itertuples()]
-        (a, nodes_a, n_a), (b, nodes_b, n_b) = sides[0], sides[-1]
-        count_a, count_b, label = links_between(a, b, n_a, n_b, same)
-        nodes = nodes_a if same else np.concatenate([nodes_a, nodes_b])
-        count = count_a if same else np.concatenate([count_a, count_b])
-        has, moved = np.flatnonzero(count), np.flatnonzero(label != np.arange(len(label)))
-        return pd.concat([pd.DataFrame({"kind": "links", "a": nodes[has], "b": count[has]}), pd.DataFrame({"kind": "edge", "a": nodes[moved], "b": nodes[label[moved]]})])
+        p, q = unit.p.iloc[0], unit.q.iloc[0]
+        sides = [(r.tile, np.array(r.centre), r.reach, CoverTree.load(r.tree), np.frombuffer(r.nodes, np.int64), np.frombuffer(r.n, np.int64)) for r in unit.sort_values("block").itertuples()]
+        out = [pd.DataFrame({"kind": pd.Series(dtype=str), "a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})]
+        for k, (tile_a, centre_a, reach_a, a, nodes_a, n_a) in enumerate(sides):
+            for m, (tile_b, centre_b, reach_b, b, nodes_b, n_b) in enumerate(sides[k:], k):
+                if {tile_a, tile_b} != {p, q} or np.linalg.norm(centre_a - centre_b) > _near(SIMILAR) + 1e-9 + reach_a + reach_b:
+                    continue
+                same = k == m
+                count_a, count_b, label = links_between(a, b, n_a, n_b, same)
+                nodes = nodes_a if same else np.concatenate([nodes_a, nodes_b])
+                count = count_a if same else np.concatenate([count_a, count_b])
+                has, moved = np.flatnonzero(count), np.flatnonzero(label != np.arange(len(label)))
+                out += [pd.DataFrame({"kind": "links", "a": nodes[has], "b": count[has]}), pd.DataFrame({"kind": "edge", "a": nodes[moved], "b": nodes[label[moved]]})]
+        return pd.concat(out)
 
     found = cut(units.groupBy("dims", "p", "q").applyInPandas(traverse, FOUND), "vector-links")
     links = found.where("kind = 'links'").select(F.col("a").alias("node"), F.col("b").alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,9 @@ PER_CLASS = 1500
 #: dimensions of the latent space; neighbours that vote; power of the similarity that weighs a vote
 DIMS, NEIGHBOURS, POWER = 32, 15, 4
 ACCEPT = 0.7
-#: hashed shape terms
-TERMS = 4096
+#: hashed shape terms, and hashed words; how much words weigh beside shapes
+TERMS, WORDS = 4096, 4096
+WORD_WEIGHT = 0.25
 #: documents for which products are computed at once
 BLOCK = 256
 
@@ -32,10 +34,22 @@ def _shapes() -> np.ndarray:
     return _SHAPES[0]
 
 
+class _Bins(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1 << 18:
+            self.clear()
+        self[word] = k = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % WORDS
+        return k
+
+
+_BINS = _Bins()
+
+
 def term_counts(text: str | None) -> np.ndarray:
-    """Counts of a whole text's terms: three-letter shapes (hashed to TERMS), then words that repeat the word before them and words that do not."""
+    """Counts of a whole text's terms: three-letter shapes (hashed to TERMS), words that repeat the word before them and words
+    that do not, and words in lower case (hashed to WORDS)."""
     text = text or ""
-    out = np.zeros(TERMS + 2)
+    out = np.zeros(TERMS + 2 + WORDS)
     chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     k = _shapes()[np.minimum(chars, 0x2FFF)].astype(np.uint32)
     k[chars >= 0x3000] = 1
@@ -44,15 +58,19 @@ def term_counts(text: str | None) -> np.ndarray:
         out[:TERMS] = np.bincount((terms * np.uint32(2654435761)) >> np.uint32(20), minlength=TERMS)
     words = text.split()
     again = sum(a == b for a, b in zip(words, words[1:], strict=False))
-    out[TERMS:] = again, len(words) - again
+    out[TERMS : TERMS + 2] = again, len(words) - again
+    if words:
+        at = np.fromiter(map(_BINS.__getitem__, words), dtype=np.int64, count=len(words))
+        out[TERMS + 2 :] = np.bincount(at, minlength=WORDS)
     return out
 
 
-def _weighted(counts: np.ndarray) -> np.ndarray:
-    """Square roots of counts, each of the two kinds of term with length 1."""
+def _weighted(counts: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    """Square roots of counts, those of words by their rarity; shapes and repeats with length 1 each, words with WORD_WEIGHT."""
     a = np.sqrt(counts)
-    for part in (slice(0, TERMS), slice(TERMS, None)):
-        a[:, part] /= np.maximum(np.linalg.norm(a[:, part], axis=1, keepdims=True), 1e-12)
+    a[:, TERMS + 2 :] *= rarity
+    for part, weight in ((slice(0, TERMS), 1.0), (slice(TERMS, TERMS + 2), 1.0), (slice(TERMS + 2, None), WORD_WEIGHT)):
+        a[:, part] *= weight / np.maximum(np.linalg.norm(a[:, part], axis=1, keepdims=True), 1e-12)
     return a
 
 
@@ -60,7 +78,8 @@ class Model:
     """The latent space and the labelled vectors in it: at most ``2 * PER_CLASS`` rows of DIMS numbers."""
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray):
-        a = _weighted(counts)
+        self.rarity = np.log((1 + len(counts)) / (1 + (counts[:, TERMS + 2 :] > 0).sum(axis=0)))
+        a = _weighted(counts, self.rarity)
         self.labels, self.mean = labels.astype(float), a.mean(axis=0)
         a = a - self.mean
         dims = min(DIMS, *a.shape)
@@ -77,7 +96,7 @@ class Model:
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
-        z = self._unit((_weighted(counts) - self.mean) @ self.basis)
+        z = self._unit((_weighted(counts, self.rarity) - self.mean) @ self.basis)
         cos = np.round(z @ self.vectors.T, 12)
         k = min(NEIGHBOURS, len(self.labels))
         near = np.argsort(-cos, axis=1, kind="stable")[:, :k] if k == len(self.labels) else np.argpartition(-cos, k - 1, axis=1)[:, :k]
@@ -109,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     rows = got.groupBy("doc_id").agg(F.min(F.struct("quality", "at", "v")).alias("r")).select("doc_id", "r.*").orderBy("doc_id").collect()
     if not rows:
         return None
-    counts = np.zeros((len(rows), TERMS + 2))
+    counts = np.zeros((len(rows), TERMS + 2 + WORDS))
     for i, r in enumerate(rows):
         counts[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["v"], "<f4")
     return Model(counts, np.array([r["quality"] for r in rows]))
@@ -119,7 +138,8 @@ def scored(docs: DataFrame, model: Model | None, column: str = "score") -> DataF
     """``docs`` with the score of each whole text, 0 to 1; higher: label 1 likelier.
 
     Null texts count as empty, and empty texts are scored like others. Without any labelled row
-    every score is 1. Only the text decides; rows are scored where they lie, without a shuffle.
+    every score is 1. Only the text decides; rows are scored where they lie, without a shuffle. A column of the
+    name ``column`` is replaced.
     """
     if model is None:
         return docs.withColumn(column, F.lit(1.0))

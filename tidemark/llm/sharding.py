@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, fresh, table
 
 #: hash bits that the directory can use
 BITS = 60
 SHARD_BYTES = 64 << 20
+#: the limit of the query: small enough that even small tables are split
+QUERY_BYTES = 1 << 19
 #: cells are cut so many bits finer than an even spread would need
 SPARE_BITS = 5
 
@@ -18,11 +20,31 @@ def _hash(text: F.Column) -> F.Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (with ``key`` and ``bytes``) with ``copy``: 1, 2, ... among the rows of the same key and size.
+
+    Rows are written with a number of their own first, whose upper part is the partition that they lay in. Copies are counted per
+    partition, and a copy's number is that within its partition and those of the partitions before: no task has
+    more of them than a partition of the input had.
+    """
+    at, n, before = fresh(rows, "shard_at"), fresh(rows, "shard_n"), fresh(rows, "shard_before")
+    tagged = cut(rows.withColumn(at, F.monotonically_increasing_id()), "shard-rows")
+    same = [F.coalesce(F.concat(F.lit("k"), "key"), F.lit("n")).alias("k_"), F.col("bytes").alias("b_"), F.shiftright(at, 33).alias("p_")]
+    parts = tagged.select(*same).groupBy("k_", "b_", "p_").agg(F.count("*").alias(n))
+    every = Window.partitionBy("k_", "b_")
+    ahead = every.orderBy("p_").rowsBetween(Window.unboundedPreceding, -1)
+    many = parts.select("*", F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(before), F.sum(n).over(every).alias("all_")).where("all_ > 1").drop(n, "all_")
+    got = tagged.select("*", *same).join(many, ["k_", "b_", "p_"], "left")
+    within = F.row_number().over(Window.partitionBy("k_", "b_", "p_").orderBy(at))
+    return got.withColumn("copy", (F.coalesce(before, F.lit(0)) + within).cast("int")).drop("k_", "b_", "p_", at, before)
+
+
 def assign_shards(rows: DataFrame, limit: int = SHARD_BYTES, spare: int = SPARE_BITS) -> tuple[DataFrame, DataFrame]:
-    """``rows(key, bytes)`` to ``(assignment, directory)``.
+    """``rows`` with ``key`` and ``bytes`` to ``(assignment, directory)``.
 
-    assignment: one row per row, ``key, bytes, copy, hash, shard``. directory: one row per
-    shard, ``shard, depth, prefix, shard_bytes, shard_rows``; the entry for any longer
+    assignment: ``rows`` with all their columns and ``copy, hash, shard`` (columns of these names, and those
+    whose names end in ``_`` and stand for a row's group, are replaced); key comes as text. directory: one row
+    per shard, ``shard, depth, prefix, shard_bytes, shard_rows``; the entry for any longer
     hash prefix is the shard whose prefix it starts with.
 
     A bucket is the set of hashes with one prefix. Bytes are summed per cell (a prefix of
@@ -31,16 +53,16 @@ def assign_shards(rows: DataFrame, limit: int = SHARD_BYTES, spare: int = SPARE_
     only buckets over ``limit`` were split. Cells that still do not fit go another round of
     16 bits, with their rows alone.
 
-    Rows with the same key and size are counted first and numbered (``copy``), and
+    Rows with the same key and size are numbered (``copy``), and
     the number is hashed too: a key with a third of all rows is split like any other.
     A row over the limit gets a shard of its own (depth -1) and splits nothing. Null keys
     are one key; null bytes count 0. An empty table gives two empty tables. When all BITS
     bits are used the bucket stays as it is; that takes equal 60-bit hashes.
     """
-    counted = rows.groupBy(F.col("key").cast("string").alias("key"), F.coalesce(F.col("bytes"), F.lit(0)).cast("long").alias("bytes")).count()
-    each = counted.select("key", "bytes", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("copy"))
+    clean = rows.drop("copy", "hash", "shard", "k_", "b_", "p_", "all_", "cell")
+    each = numbered(clean.withColumn("key", F.col("key").cast("string")).withColumn("bytes", F.coalesce(F.col("bytes"), F.lit(0)).cast("long")))
     each = each.withColumn("hash", _hash(F.concat_ws("/", F.coalesce(F.concat(F.lit("k"), "key"), F.lit("n")), "bytes", "copy")))
-    each = cut(each, "shard-rows")
+    each = cut(each, "shard-numbered")
     name = lambda depth, prefix: F.concat(F.lit("h"), F.lpad(F.bin(prefix), depth, "0"))
     own = each.where(F.col("bytes") > limit).withColumn("shard", F.concat(F.lit("x"), F.lpad(F.hex("hash"), 15, "0"), F.lit("-"), F.col("copy").cast("string")))
     assigned = [own]
@@ -75,14 +97,14 @@ def assign_shards(rows: DataFrame, limit: int = SHARD_BYTES, spare: int = SPARE_
     return out, shards
 
 
-def op6_sharding(spark, sf_dir: str, limit: int = SHARD_BYTES) -> DataFrame:
+def op6_sharding(spark, sf_dir: str, limit: int = QUERY_BYTES) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.octet_length("text").alias("bytes"))
     rows, shards = assign_shards(docs, limit)
     out = rows.join(shards, "shard")
     return out.select(F.col("key").cast("long").alias("doc_id"), "bytes", "copy", "hash", "shard", "depth", "shard_bytes", "shard_rows")
 
 
-def op6_sql(limit: int = SHARD_BYTES) -> str:
+def op6_sql(limit: int = QUERY_BYTES) -> str:
     return f"""
 WITH d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS bytes FROM documents),
 c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, bytes) AS copy FROM d),

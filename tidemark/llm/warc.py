@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -68,7 +69,8 @@ def records(pages: DataFrame, segment: int = SEGMENT_BYTES) -> DataFrame:
         )
         return F.concat(head, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(NL + NL), block)
 
-    return p.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), record)).alias("value"))
+    # one row per segment: beside the payload one segment at a time is held
+    return p.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k")).select(record(F.col("k")).alias("value"))
 
 
 def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES) -> None:
@@ -109,76 +111,96 @@ class _Source:
             yield got
 
 
-def stream(path: str) -> Iterator[tuple[str, str, str | None, int, int, bytes, str, bool]]:
-    """``(page, type, refers to, payload bytes, chunk number, chunk, digest so far, last)`` for each chunk of
-    an archive's records; a revisit has one empty chunk and the digest that it names."""
+def _name(x: str | None) -> str | None:
+    """A record's identifier without its brackets, and without the prefix of this module's own."""
+    return None if x is None else x.removeprefix("<").removesuffix(">").removeprefix("urn:x-page:")
+
+
+def stream(path: str) -> Iterator[tuple[str, str, str | None, int, int, bytes, str | None, bool]]:
+    """``(record, type, refers to, payload bytes, chunk number, chunk, digest so far, last)`` for each chunk of
+    an archive's responses and revisits; a revisit has one empty chunk and the digest that it names.
+
+    A payload is what follows the HTTP header of a response, through its continuation records; its size is what the header or else
+    the record says. Other types of record (warcinfo, request, metadata, ...) are passed over. Names of fields are read
+    in any case; a digest is compared where it is a SHA-256.
+    """
     source, state = _Source(path), None
     while (lines := source.head()) is not None:
+        lines = lines[next((i for i, x in enumerate(lines) if x), 0) :]  # line ends between records
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record: {lines[0][:80]!r}")
-        h = dict(x.split(": ", 1) for x in lines[1:])
-        kind, length = h["WARC-Type"], int(h["Content-Length"])
+        h = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        kind, length = h.get("warc-type", "").lower(), int(h["content-length"])
         body = source.take(length)
-        if kind != "continuation":
-            page = h["WARC-Record-ID"].removeprefix("<urn:x-page:").removesuffix(">")
+        if kind in ("response", "revisit"):
             held = b""
-            while (end := held.find(b"\r\n\r\n")) < 0:
-                held += next(body)
-            size = int(held[:end].rsplit(b"Content-Length: ", 1)[1])
-            state = [page, size, 0, hashlib.sha256(), 0]
-            rest = held[end + 4 :]
-        else:
+            while (end := held.find(b"\r\n\r\n")) < 0 and (more := next(body, None)) is not None:
+                held += more
+            head, rest = (held[:end], held[end + 4 :]) if end >= 0 else (held, b"")
+            sizes = re.findall(rb"(?im)^content-length: *(\d+)", head)
+            size = int(sizes[-1]) if sizes else length - len(head) - 4 if end >= 0 else 0
+            state = [_name(h.get("warc-record-id")), size, 0, hashlib.sha256(), 0, h.get("warc-payload-digest", "")]
+        elif kind == "continuation" and state and _name(h.get("warc-segment-origin-id")) == state[0]:
             rest = b""
-            if h["WARC-Segment-Origin-ID"] != f"<urn:x-page:{state[0]}>":
-                raise ValueError("segments out of order")
-        named = h["WARC-Payload-Digest"].removeprefix("sha256:")
-        if kind == "revisit":
-            yield state[0], kind, h["WARC-Refers-To"].removeprefix("<urn:x-page:").removesuffix(">"), state[1], 0, b"", named, True
+        elif kind == "continuation":
+            raise ValueError("segments out of order")
         else:
+            body, state = _skip(body), None
+        named = state[5].removeprefix("sha256:") if state and state[5].startswith("sha256:") else None
+        if kind == "revisit":
+            _skip(body)
+            yield state[0], kind, _name(h.get("warc-refers-to")), state[1], 0, b"", named, True
+        elif state:
             for chunk in _with_first(rest, body, state[1] == 0):
                 state[3].update(chunk)
                 state[4] += len(chunk)
                 last = state[4] == state[1]
                 digest = state[3].hexdigest()
-                if last and digest != named:
-                    raise ValueError(f"page {state[0]}: payload and digest differ")
+                if last and named and digest != named:
+                    raise ValueError(f"record {state[0]}: payload and digest differ")
                 yield state[0], "response", None, state[1], state[2], chunk, digest, last
                 state[2] += 1
         for _ in source.take(4):
             pass
 
 
+def _skip(body: Iterator[bytes]) -> Iterator[bytes]:
+    for _ in body:
+        pass
+    return iter(())
+
+
 def _with_first(first: bytes, rest: Iterator[bytes], empty: bool) -> Iterator[bytes]:
     if first or empty:
         yield first
     yield from rest
 
 
-CHUNKS = "page_id long, record_type string, refers_to long, payload_bytes long, chunk int, data binary, digest string, last boolean"
+CHUNKS = "record_id string, page_id long, record_type string, refers_to long, payload_bytes long, chunk int, chunk_bytes long, data binary, digest string, last boolean"
 NAMES = [c.split(" ")[0] for c in CHUNKS.split(", ")]
 
 
 def chunk_table(spark: SparkSession, path: str, with_data: bool = True) -> DataFrame:
-    """The archives under ``path`` as rows of ``page_id, record_type, refers_to, payload_bytes, chunk, data,
-    digest, last``: a payload comes in chunks of at most BLOCK_BYTES, each with the SHA-256 of the
-    payload up to its end, so no record is ever held whole. Without data only last chunks are given."""
-    number = lambda x: None if x in (None, "null") else int(x)
+    """The archives under ``path`` as rows of ``record_id, page_id, record_type, refers_to, payload_bytes, chunk,
+    chunk_bytes, data, digest, last``: a payload comes in chunks of at most BLOCK_BYTES, each with the SHA-256 of the
+    payload up to its end, so no record is ever held whole. ``page_id`` and ``refers_to`` are null where an identifier is no number, as
+    in archives of others. Without ``with_data`` the bytes themselves stay behind."""
+    number = lambda x: int(x) if x and re.fullmatch(r"-?\d{1,18}", x) else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path in batch.path:
                 out, held = [], 0
                 for page, kind, refers, size, k, chunk, digest, last in stream(path):
-                    if with_data or last:
-                        out.append((number(page), kind, number(refers), size, k, chunk if with_data else None, digest, last))
-                        held += len(chunk) if with_data else 0
+                    out.append((page, number(page), kind, number(refers), size, k, len(chunk), chunk if with_data else None, digest, last))
+                    held += len(chunk) if with_data else 0
                     if held > 8 * BLOCK_BYTES or len(out) > 5000:
                         yield frame(out)
                         out, held = [], 0
                 yield frame(out)
 
     def frame(rows) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=NAMES).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64", "chunk": "int32", "last": "bool"})
+        return pd.DataFrame(rows, columns=NAMES).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64", "chunk": "int32", "chunk_bytes": "int64", "last": "bool"})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("path", "length").where("length > 0").select("path")
     n = spark.sparkContext.defaultParallelism
@@ -186,8 +208,8 @@ def chunk_table(spark: SparkSession, path: str, with_data: bool = True) -> DataF
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: ``page_id, payload_bytes, payload_digest, record_type, refers_to``."""
-    return chunk_table(spark, path, with_data=False).select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    """One row per record, its last chunk's: ``page_id, payload_bytes, payload_digest, record_type, refers_to``."""
+    return chunk_table(spark, path, with_data=False).where("last").select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:
