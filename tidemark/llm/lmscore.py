@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import copies, cut, table
+from .common import cut, table
 
 #: words and bigrams at most whose values are sent to all tasks; those of the rest are joined
 HEAD = 262_144
@@ -81,10 +81,13 @@ def _chunks(texts: pa.Array, hashes: _Hash, start: np.uint64) -> Iterator[tuple[
 
 
 COUNTS = "key long, word boolean, c long"
-#: what a portion of documents asks one bucket of keys: documents (``rows``), how many asks each has (``sizes``), and
-#: the asks; or, without keys, what the documents already have. Numbers stand one after another in a binary.
-ASKS = "bucket int, rows binary, sizes binary, keys binary, n binary, kind binary, ids binary, t binary, b binary"
-FOUND = "row long, doc_id long, docs int, tokens long, t double, b double"
+#: what a portion of documents (``chunk``: a hash of its rows' keys in order) asks one bucket of keys: for each document how
+#: many asks (``sizes``), and the asks; or, without keys, the documents themselves (``rows``, ``ids``, and words in ``sizes``) and what
+#: they have without asking. Numbers stand one after another in a binary.
+ASKS = "chunk long, bucket int, rows binary, sizes binary, keys binary, n binary, kind binary, ids binary, t binary, b binary"
+#: the same with what a bucket answers: for each document of the portion its sums
+ANSWERS = "chunk long, rows binary, sizes binary, kind binary, ids binary, t binary, b binary"
+FOUND = "row long, doc_id long, tokens long, t double, b double"
 #: asks in one bucket, about
 BUCKET = 1 << 21
 #: kinds of an ask: for a bigram, a word, a word that also ends the text
@@ -157,7 +160,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, discount: float
     2. Every document asks for its other words and bigrams, in buckets of keys whose number grows with the
        corpus. In a bucket all asks for a key meet, which is its count over all documents, and meet
        what the target has of it. Asks of many documents for one bucket travel in one row, 8 bytes each.
-    3. What came of them is added up per document, and to what the document had from the frequent ones.
+    3. What came of them is added up per portion of documents, and to what each had from the frequent ones.
 
     Null texts and texts without words have 0 tokens and null losses and score. Repeated rows are scored each.
     Without target text the target model is uniform over the words. Extra columns are left aside.
@@ -209,6 +212,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, discount: float
     buckets = 1 + (counts.where("word").agg(F.sum("c")).first()[0] or 0) // BUCKET
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         hashes, schema = _Hash(), _schema(ASKS)
         top, b, x, u = shared.value
 
@@ -225,7 +230,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, discount: float
                 known = doc_id.is_valid().to_numpy(zero_copy_only=False)
                 target = n * rest + add(x, in_pairs) + add(x, in_v) + add(u, in_w)
                 background = n * np.log(1 - discount) + add(b, in_pairs) + add(b, in_v)
-                yield one(bucket=int(row[0] % buckets), rows=row.tobytes(), sizes=n.astype("<i8").tobytes(), kind=known.astype("u1").tobytes(), ids=doc_id.fill_null(0).to_numpy().astype("<i8").tobytes(), t=target.tobytes(), b=background.tobytes())
+                chunk = int(np.uint64(xxhash.xxh64_intdigest(row.tobytes())).view(np.int64))
+                yield one(chunk=chunk, bucket=chunk % buckets, rows=row.tobytes(), sizes=n.astype("<i8").tobytes(), kind=known.astype("u1").tobytes(), ids=doc_id.fill_null(0).to_numpy().astype("<i8").tobytes(), t=target.tobytes(), b=background.tobytes())
                 last = np.zeros(len(n), dtype=np.uint64)
                 last[n > 0] = w[(np.cumsum(n) - 1)[n > 0]]
                 asks = []
@@ -243,17 +249,16 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, discount: float
                 bounds = np.searchsorted(to[order], np.arange(buckets + 1))
                 for j in np.flatnonzero(np.diff(bounds)):
                     mine = order[bounds[j] : bounds[j + 1]]
-                    docs_of, sizes = np.unique(o[mine], return_counts=True)
-                    yield one(bucket=int(j), rows=row[docs_of].tobytes(), sizes=sizes.astype("<i8").tobytes(), keys=k[mine].tobytes(), n=times[mine].astype("<i4").tobytes(), kind=kind[mine].astype("u1").tobytes())
+                    yield one(chunk=chunk, bucket=int(j), sizes=np.bincount(o[mine], minlength=len(n)).astype("<i8").tobytes(), keys=k[mine].tobytes(), n=times[mine].astype("<i4").tobytes(), kind=kind[mine].astype("u1").tobytes())
+
+    joined = lambda part, kind: np.frombuffer(b"".join(part), dtype=kind)
 
     def answer(asks: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        joined = lambda part, kind: np.frombuffer(b"".join(part), dtype=kind)
         base, asks = asks[asks["keys"].isna()], asks[asks["keys"].notna()]
-        out = [pd.DataFrame({"row": joined(base.rows, "<i8"), "doc_id": pd.array(joined(base.ids, "<i8").copy(), dtype="Int64"), "docs": 1, "tokens": joined(base.sizes, "<i8"), "t": joined(base.t, "<f8"), "b": joined(base.b, "<f8")})]
-        out[0].loc[joined(base.kind, "u1") == 0, "doc_id"] = pd.NA
+        out = [base[names]]
         if len(asks):
-            row, sizes, keys, n, kind = (joined(asks[c], k) for c, k in (("rows", "<i8"), ("sizes", "<i8"), ("keys", "<u8"), ("n", "<i4"), ("kind", "u1")))
-            doc = np.repeat(np.arange(len(row)), sizes)
+            sizes, keys, n, kind = (joined(asks[c], k) for c, k in (("sizes", "<i8"), ("keys", "<u8"), ("n", "<i4"), ("kind", "u1")))
+            doc = np.repeat(np.arange(len(sizes)), sizes)
             distinct, at = np.unique(keys, return_inverse=True)
             c = np.bincount(at, n)
             with np.errstate(divide="ignore", invalid="ignore"):  # a word that is never a context has no count and is not asked for as one
@@ -264,18 +269,33 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, discount: float
             here, place = _places(own_keys[order], distinct)
             x[here], u[here] = own.x.to_numpy()[order][place], own.u.to_numpy()[order][place]
             toward = x[at] * n + u[at] * (n + (kind == LAST))
-            out.append(pd.DataFrame({"row": row, "doc_id": pd.array([pd.NA], dtype="Int64").repeat(len(row)), "docs": 0, "tokens": 0, "t": np.bincount(doc, toward, len(row)), "b": np.bincount(doc, back, len(row))}))
-        return pd.concat(out)
+            ends = np.cumsum([len(s) // 8 for s in asks.sizes])[:-1]
+            t, b = (np.split(np.bincount(doc, part, len(sizes)), ends) for part in (toward, back))
+            out.append(pd.DataFrame({"chunk": asks.chunk.to_numpy(), **dict.fromkeys(names[1:5]), "t": [x.tobytes() for x in t], "b": [x.tobytes() for x in b]}))
+        return pd.concat(out) if len(base) else out[-1]
+
+    names = [c.split(" ")[0] for c in ANSWERS.split(", ")]
+
+    def add_up(answers: pd.DataFrame) -> pd.DataFrame:
+        base = answers[answers["rows"].notna()]
+        copies_of = len(base)  # portions with the same rows in the same order
+        if not copies_of:
+            return pd.DataFrame({c.split(" ")[0]: [] for c in FOUND.split(", ")})
+        one = base.iloc[0]
+        row, ids, tokens, known = (np.frombuffer(one[c], k) for c, k in (("rows", "<i8"), ("ids", "<i8"), ("sizes", "<i8"), ("kind", "u1")))
+        doc_id = pd.array(ids.copy(), dtype="Int64")
+        doc_id[known == 0] = pd.NA
+        t, b = (np.sum([np.frombuffer(x, "<f8") for x in answers[c]], axis=0) / copies_of for c in "tb")
+        return pd.concat([pd.DataFrame({"row": row, "doc_id": doc_id, "tokens": tokens, "t": t, "b": b})] * copies_of)
 
     asked = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("row")).mapInArrow(ask, ASKS)
     # the bucket of a key as an unsigned number
     unsigned = F.when(F.col("key") >= 0, F.pmod("key", F.lit(buckets))).otherwise(F.pmod(F.pmod("key", F.lit(buckets)) + F.lit(2**64 % buckets), F.lit(buckets)))
     tail = values.join(keys, "key", "left_anti").withColumn("bucket", unsigned.cast("int"))
-    got = asked.groupBy("bucket").cogroup(tail.groupBy("bucket")).applyInPandas(answer, FOUND)
-    got = got.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("docs").alias("docs"), F.sum("tokens").alias("n"), F.sum("t").alias("t"), F.sum("b").alias("b"))
-    loss = lambda c: F.when(F.col("n") > 0, -F.col(c) / F.col("n"))
-    got = got.select("doc_id", "docs", (F.col("n") / F.col("docs")).cast("long").alias("n_tokens"), loss("t").alias("target_loss"), loss("b").alias("background_loss"), (loss("t") - loss("b")).alias("score"))
-    return copies(got, "docs").drop("docs")
+    got = asked.groupBy("bucket").cogroup(tail.groupBy("bucket")).applyInPandas(answer, ANSWERS)
+    got = got.groupBy("chunk").applyInPandas(add_up, FOUND)
+    n, loss = F.col("tokens"), lambda c: F.when(F.col("tokens") > 0, -F.col(c) / F.col("tokens"))
+    return got.select("doc_id", n.alias("n_tokens"), loss("t").alias("target_loss"), loss("b").alias("background_loss"), (loss("t") - loss("b")).alias("score"))
 
 
 def op9_lm_score(spark, sf_dir: str) -> DataFrame:
