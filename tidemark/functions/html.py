@@ -108,3 +108,8 @@ def anchors(html: Column) -> Column:
     """Array of (href, label) of all links, by expressions alone."""
     pattern = r'<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
     return F.arrays_zip(F.regexp_extract_all(html, F.lit(pattern), 1).alias("href"), F.regexp_extract_all(html, F.lit(pattern), 2).alias("label"))
+
+
+def image_sources(html: Column) -> Column:
+    """Addresses of a page's pictures, by expressions alone."""
+    return F.regexp_extract_all(html, F.lit(r'(?i)<img\s[^>]*src="([^"]+)"'), 1)

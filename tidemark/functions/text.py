@@ -109,11 +109,15 @@ def file_size(c: Column) -> Column:
     return F.when(c < 1024, F.concat(c.cast("string"), F.lit(" B"))).when(c < 1024 * 1024, one(c / 1024, " KB")).otherwise(one(c / (1024 * 1024), " MB"))
 
 
+# What failures of detail pages are called, by their words.
+DETAIL_KINDS = (("권한/로그인 필요", "권한이 없|로그인"), ("원문 없음", "찾을 수 없|삭제|404"), ("본문 추출 실패", "본문|추출|구조"))
+
+
 def error_kind(message: Column) -> Column:
-    """``[kind]`` at the start of a message, else a timeout or parse failure by its words, else its first 60 characters."""
-    kind = F.regexp_extract(message, r"^\[([^\]]+)\]", 1)
-    low = F.lower(message)
-    return F.when(kind != "", kind).when(low.contains("timeout"), F.lit("timeout")).when(low.contains("parse"), F.lit("parse")).otherwise(F.substring(message, 1, 60))
+    """``[kind]`` at the start of a message, else what its words say, else its first 60 characters."""
+    text = collapse(message)
+    kind = F.regexp_extract(text, r"^\[([a-z_]+)\]", 1)
+    return F.coalesce(F.when(kind != "", kind), *(F.when(text.rlike(p), F.lit(label)) for label, p in DETAIL_KINDS), F.substring(text, 1, 60))
 
 
 def audience_key(kind: Column, ident: Column) -> Column:
@@ -132,3 +136,43 @@ def expand_numbers(c: Column, span: int = 20) -> Column:
         return F.when((hi != "") & (b >= a) & (b - a <= span), many).when(lo != "", F.array(lo)).otherwise(F.array().cast("array<string>"))
 
     return F.array_distinct(F.flatten(F.transform(F.split(F.regexp_replace(c, r"\s+", ""), ","), one)))
+
+
+# Notations of telephone numbers, and what stands before them, by campus.
+FULL_NUMBER = r"^(\d{2,4}-\d{3,4}-\d{4}|(15|16|18)\d{2}-\d{4})$"
+SHORT_NUMBER = r"^(?:(\d{3,4})-)?(\d{3,4})(?:~(\d{1,4}))?$"
+AREA = {"seoul": "02-961", "global": "031-201"}
+PREFIX = {"seoul": "02", "global": "031"}
+NUMBER_LINE = r"^(\d{2,4}-)?\d{3,4}(~\d{1,4})?(\s*[,/]\s*(\d{2,4}-)?\d{3,4}(~\d{1,4})?)*$"
+
+
+def phone_numbers(c: Column, campus: str, span: int = 20) -> Column:
+    """All full numbers of a list like ``958-4616, 4630`` or ``0053~4/0057``: an exchange once given holds for the short
+    numbers after it, up to the next full one; ranges of at most ``span`` steps are spelled out, width is kept."""
+    text_array = F.array().cast("array<string>")
+
+    def step(held, part):
+        given, base, end = (F.regexp_extract(part, SHORT_NUMBER, k) for k in (1, 2, 3))
+        full = part.rlike(FULL_NUMBER)
+        pre = F.when(full, F.lit("")).when(given != "", given).otherwise(held["pre"])
+        last = F.when(F.length(end) < F.length(base), F.concat(F.substring(base, F.lit(1), F.length(base) - F.length(end)), end)).otherwise(end)
+        a, b = base.try_cast("int"), last.try_cast("int")
+        wide = lambda n: F.when(F.length(n.cast("string")) >= F.length(base), n.cast("string")).otherwise(F.lpad(n.cast("string"), F.length(base), "0"))
+        several = F.coalesce((b > a) & (b - a <= span), F.lit(False))
+        own = F.when(several, F.transform(F.sequence(F.when(several, a).otherwise(0), F.when(several, b).otherwise(0)), wide)).otherwise(F.array(base))
+        head = F.when(pre != "", F.concat(F.lit(PREFIX[campus] + "-"), pre)).otherwise(F.lit(AREA[campus]))
+        found = F.when(full, F.array(part)).when(part.rlike(SHORT_NUMBER), F.transform(own, lambda n: F.concat(head, F.lit("-"), n))).otherwise(text_array)
+        return F.struct(pre.alias("pre"), F.concat(held["out"], found).alias("out"))
+
+    parts = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "[,/]"), lambda p: F.trim(p)), lambda p: p != "")
+    return F.aggregate(parts, F.struct(F.lit("").alias("pre"), text_array.alias("out")), step, lambda held: held["out"])
+
+
+def is_number_line(c: Column) -> Column:
+    return F.replace(c, F.lit(" "), F.lit("")).rlike(NUMBER_LINE)
+
+
+def dial_label(value: Column, extension: Column, shown: Column) -> Column:
+    """The full number, with the tail that the display puts after the extension."""
+    tail = F.substring(shown, F.length(extension) + 1, F.length(shown))
+    return F.when(F.coalesce(value, F.lit("")) == "", shown).when(F.coalesce(shown.startswith(extension) & (shown != extension), F.lit(False)), F.concat(value, tail)).otherwise(value)

@@ -91,3 +91,25 @@ def object_key(path: Column) -> Column:
 
 def evidence_key(source: Column, external: Column, digest: Column) -> Column:
     return F.concat(F.concat_ws("/", F.lit("raw"), source, external, F.substring(digest, 1, 16)), F.lit(".html"))
+
+
+# Where the school's editor puts pictures, names it makes up itself, marks of copies, and names that say nothing.
+UPLOAD_PATH = r"^https?://([^/?#:]+)[^/?#]*/upload/cross/images/(\d+)/([^?#]+)"
+MADE_UP_NAME = r"^\d{17}_[0-9a-z]{8}$"
+COPY_SUFFIX = r"(?:_\d{1,2})+$"
+PLAIN_NAMES = ("unnamed", "image", "image001", "image002", "img", "poster", "본문")
+
+
+def poster_keys(images: Column) -> Column:
+    """Keys of an item's uploaded pictures (an array of absolute addresses): ``bucket:host/folder``, and ``file:host/folder/name``
+    where the name is one that somebody gave. They are signs of a common poster, not proof of one."""
+
+    def keys(url: Column) -> Column:
+        host, folder, name = (F.regexp_extract(url, UPLOAD_PATH, k) for k in (1, 2, 3))
+        stem = F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(F.try_url_decode(name), name), r"\.[^.]*$", ""), COPY_SUFFIX, "")))
+        place = F.concat(F.lower(host), F.lit("/"), folder)
+        given = (F.length(stem) >= 6) & ~stem.isin(*PLAIN_NAMES) & ~stem.rlike(MADE_UP_NAME)
+        both = F.array(F.when(folder != "", F.concat(F.lit("bucket:"), place)), F.when((folder != "") & given, F.concat(F.lit("file:"), place, F.lit("/"), stem)))
+        return F.filter(both, lambda k: k.isNotNull())
+
+    return F.array_distinct(F.flatten(F.transform(images, keys)))

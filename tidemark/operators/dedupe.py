@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,27 @@ def prepare(items: DataFrame) -> DataFrame:
     return items.withColumns({"grams": T.trigrams(T.normalize_title(F.col("title"))), "print": T.body_fingerprint(F.col("body")), "body_chars": F.length(F.coalesce("body", F.lit(""))), "years": T.markers(head, T.YEAR_MARK), "rounds": T.markers(head, T.ROUND_MARK), "semesters": T.markers(head, T.SEMESTER_MARK)})
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as written to the checkpoint folder, so that it is worked out once. Only where none is set, as in tests, a local one is."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+    return df.checkpoint()
+
+
+def print_pairs(items: DataFrame) -> DataFrame:
+    """Candidate pairs by equal body fingerprints; of the items only ids, sources and fingerprints move."""
+    prints = settled(items.select("id", "source", T.body_fingerprint(F.col("body")).alias("print")).where("print IS NOT NULL"))
+    return candidate_pairs(prints, F.array("print"))
+
+
+def judged(items: DataFrame) -> DataFrame:
+    """Verdicts on the pairs of ``print_pairs``. Only items of some pair are prepared, once."""
+    pairs = settled(print_pairs(items))
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    return verdict(pairs, settled(prepare(items.join(ids, "id", "left_semi"))))
+
+
 def candidate_pairs(items: DataFrame, keys: Column, largest: int = LARGEST_BLOCK) -> DataFrame:
     """``(a, b)``, a < b, of items from different sources that share a key of ``keys`` (an array).
     Block sizes are counted before the join, so an oversize block never meets itself."""
@@ -79,15 +102,13 @@ def primary_order() -> list[Column]:
 
 def merge_targets(merges: DataFrame) -> DataFrame:
     """``merges(a, b)`` to ``(node, target)``: the smallest id that merges lead to. Each round every node takes
-    the smallest label around it, until none moves; labels are written between rounds when a checkpoint folder is set."""
-    e = merges.select("a", "b").union(merges.select("b", "a")).distinct()
-    if e.sparkSession.sparkContext.getCheckpointDir():
-        e = e.checkpoint()
+    the smallest label around it, until none moves; labels are written between rounds."""
+    e = settled(merges.select("a", "b").union(merges.select("b", "a")).distinct())
     label = e.select(F.col("a").alias("node")).distinct().withColumn("target", F.col("node"))
     while True:
         near = e.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("target").alias("low"))
         new = label.join(near, "node").select("node", F.least("target", "low").alias("target"), (F.col("low") < F.col("target")).alias("moved"))
-        new = new.checkpoint() if e.sparkSession.sparkContext.getCheckpointDir() else new.cache()
+        new = settled(new)
         label = new.select("node", "target")
         if not new.where("moved").limit(1).count():
             break

@@ -37,7 +37,7 @@ def body_fingerprints(spark, d):
 
 @query("duplicate_pairs", f"WITH {PREPARED} SELECT a, b FROM pairs")
 def duplicate_pairs(spark, d):
-    return X.candidate_pairs(prepared(spark, d), F.filter(F.array("print"), lambda x: x.isNotNull()))
+    return X.print_pairs(items(spark, d))
 
 
 @query("oversized_blocks", f"WITH {PREPARED} SELECT print AS key, count(*) AS items FROM p WHERE print IS NOT NULL GROUP BY print HAVING count(*) > {X.LARGEST_BLOCK}")
@@ -48,15 +48,13 @@ def oversized_blocks(spark, d):
 
 @query("duplicate_verdicts", f"WITH {PREPARED} SELECT a, b, decision, round(CASE WHEN decision = 'merge' THEN greatest(sim, 0.95) ELSE sim END, 4) AS score FROM w")
 def duplicate_verdicts(spark, d):
-    i = prepared(spark, d)
-    v = X.verdict(X.candidate_pairs(i, F.filter(F.array("print"), lambda x: x.isNotNull())), i)
+    v = X.judged(items(spark, d))
     return v.withColumn("score", F.round("score", 4))
 
 
 @query("merge_targets", f"WITH RECURSIVE {PREPARED}, m AS (SELECT a, b FROM w WHERE decision = 'merge' UNION SELECT b, a FROM w WHERE decision = 'merge'), r AS (SELECT a AS x, a AS y FROM m UNION SELECT r.x, m.b FROM r JOIN m ON m.a = r.y) SELECT x AS node, min(y) AS target FROM r GROUP BY x")
 def merge_targets(spark, d):
-    i = prepared(spark, d)
-    v = X.verdict(X.candidate_pairs(i, F.filter(F.array("print"), lambda x: x.isNotNull())), i)
+    v = X.judged(items(spark, d))
     return X.merge_targets(v.where("decision = 'merge'"))
 
 

@@ -143,10 +143,11 @@ def size_labels(spark, d):
     return read(spark, d, "pages").select(F.col("page_id").alias("id"), T.file_size(F.octet_length("html")).alias("label"))
 
 
-@query("error_kinds", "SELECT CASE WHEN k <> '' THEN k WHEN contains(lower(m), 'timeout') THEN 'timeout' WHEN contains(lower(m), 'parse') THEN 'parse' ELSE substr(m, 1, 60) END AS kind, count(*) AS n FROM (SELECT m, regexp_extract(m, '^\\[([^\\]]+)\\]', 1) AS k FROM (SELECT CASE event_id % 4 WHEN 0 THEN '[http_404] gone' WHEN 1 THEN 'Read Timeout of host' WHEN 2 THEN 'cannot parse row' ELSE 'other ' || event_type END AS m FROM events)) GROUP BY 1")
+@query("error_kinds", r"""SELECT CASE WHEN k <> '' THEN k WHEN regexp_matches(m, '권한이 없|로그인') THEN '권한/로그인 필요' WHEN regexp_matches(m, '찾을 수 없|삭제|404') THEN '원문 없음' WHEN regexp_matches(m, '본문|추출|구조') THEN '본문 추출 실패' ELSE substr(m, 1, 60) END AS kind, count(*) AS n
+FROM (SELECT m, regexp_extract(m, '^\[([a-z_]+)\]', 1) AS k FROM (SELECT trim(regexp_replace(CASE event_id % 6 WHEN 0 THEN '[server_error]  gone' WHEN 1 THEN ' 로그인   필요' WHEN 2 THEN 'page 404' WHEN 3 THEN '본문 구조가 다름' WHEN 4 THEN '[Other] x' ELSE 'other   ' || event_type END, '\s+', ' ', 'g')) AS m FROM events)) GROUP BY 1""")
 def error_kinds(spark, d):
-    k = F.col("event_id") % 4
-    m = F.when(k == 0, "[http_404] gone").when(k == 1, "Read Timeout of host").when(k == 2, "cannot parse row").otherwise(F.concat(F.lit("other "), "event_type"))
+    k = F.col("event_id") % 6
+    m = F.when(k == 0, "[server_error]  gone").when(k == 1, " 로그인   필요").when(k == 2, "page 404").when(k == 3, "본문 구조가 다름").when(k == 4, "[Other] x").otherwise(F.concat(F.lit("other   "), "event_type"))
     return read(spark, d, "events").groupBy(T.error_kind(m).alias("kind")).agg(F.count("*").alias("n"))
 
 

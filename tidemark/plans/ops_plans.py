@@ -29,9 +29,14 @@ def retry_items(spark, d):
     return r.where(F.col("failed") & (F.col("next").isNull() | (F.col("next") <= now() - F.expr("INTERVAL 10 DAYS")))).orderBy(F.col("next").asc_nulls_first(), "id").limit(20).select("id", "source")
 
 
-@query("access_failures", f"WITH {RUNS_SQL} SELECT source, count(*) FILTER (failed) AS failures, count(*) FILTER (failed) >= 10 AS stuck FROM runs GROUP BY source HAVING count(*) FILTER (failed) > 0")
+@query("access_failures", f"""WITH {RUNS_SQL}, w AS (SELECT source, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY ts DESC, id DESC ROWS UNBOUNDED PRECEDING) AS b FROM runs)
+SELECT source, count(*) AS failures, count(*) >= 3 AS stuck FROM w WHERE b = 0 GROUP BY source ORDER BY failures DESC, source LIMIT 20""")
 def access_failures(spark, d):
-    return runs(spark, d).groupBy("source").agg(F.count_if("failed").alias("failures")).where("failures > 0").withColumn("stuck", F.col("failures") >= 10)
+    """Sources whose newest runs all failed, the most first; three in a row are stuck."""
+    from tidemark.operators.state import newest_streak
+
+    f = newest_streak(runs(spark, d), "source", [F.col("ts").desc(), F.col("id").desc()], ~F.col("failed")).where("streak > 0")
+    return f.select("source", F.col("streak").alias("failures"), (F.col("streak") >= 3).alias("stuck")).orderBy(F.col("failures").desc(), "source").limit(20)
 
 
 @query("zombie_runs", f"WITH {RUNS_SQL} SELECT id, source, round((epoch(TIMESTAMP '{NOW}') - epoch(ts)) / 3600, 1) AS hours FROM runs WHERE partial AND ts < TIMESTAMP '{NOW}' - INTERVAL 120 MINUTE")

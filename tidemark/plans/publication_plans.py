@@ -77,7 +77,7 @@ def revision_retention(spark, d):
     return P.latest(read(spark, d, "events"), ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()], 3).select(F.col("event_id").alias("id"), F.col("user_id").alias("source"))
 
 
-@query("backup_retention", "SELECT event_id AS id FROM (SELECT *, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE ts >= TIMESTAMP '2024-01-29' - INTERVAL 7 DAY OR (ts >= TIMESTAMP '2024-01-29' - INTERVAL 20 DAY AND n = 1)")
+@query("backup_retention", "SELECT event_id AS id FROM (SELECT *, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE ts >= TIMESTAMP '2024-01-29' - INTERVAL 7 DAY OR (ts >= TIMESTAMP '2024-01-29' - INTERVAL 30 DAY AND n = 1)")
 def backup_retention(spark, d):
     """All of the last seven days, the newest of each day before, nothing older than the limit."""
     from pyspark.sql import Window
@@ -85,7 +85,7 @@ def backup_retention(spark, d):
     w = Window.partitionBy(F.to_date("ts")).orderBy(F.col("ts").desc(), F.col("event_id").desc())
     e = read(spark, d, "events").withColumn("n", F.row_number().over(w))
     day = F.lit("2024-01-29").cast("timestamp_ntz")
-    return e.where((F.col("ts") >= day - F.expr("INTERVAL 7 DAYS")) | ((F.col("ts") >= day - F.expr("INTERVAL 20 DAYS")) & (F.col("n") == 1))).select(F.col("event_id").alias("id"))
+    return e.where((F.col("ts") >= day - F.expr("INTERVAL 7 DAYS")) | ((F.col("ts") >= day - F.expr("INTERVAL 30 DAYS")) & (F.col("n") == 1))).select(F.col("event_id").alias("id"))
 
 
 @query("carried_entries", "SELECT o_orderkey AS key, 'old' AS origin FROM orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT o_orderkey, 'new' FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderstatus = 'O'")

@@ -41,8 +41,9 @@ def search_scores(spark, d):
 
 @query("search_ranked", search_sql("the de", FIELDS) + " SELECT id, CAST(score AS BIGINT) AS score FROM s WHERE score > 0 ORDER BY score DESC, id DESC LIMIT 51")
 def search_ranked(spark, d):
-    """One ranked page: filter, score, top-k."""
-    return S.page(found(spark, d, "the de").where("score > 0").select("id", F.col("score").cast("long").alias("score")), [F.col("score").desc(), F.col("id").desc()], 0, 50)
+    """One ranked page: score, top-k, and of those what scored at all (what did not ranks last)."""
+    scored = found(spark, d, "the de").select("id", F.col("score").cast("long").alias("score"))
+    return S.page(scored, [F.col("score").desc(), F.col("id").desc()], 0, 50).where("score > 0")
 
 
 @query("search_folded")
