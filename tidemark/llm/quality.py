@@ -68,9 +68,9 @@ def term_counts(text: str | None) -> np.ndarray:
 def _weighted(counts: np.ndarray, rarity: np.ndarray) -> np.ndarray:
     """Square roots of counts, those of words by their rarity; shapes and repeats with length 1 each, words with WORD_WEIGHT."""
     a = np.sqrt(counts)
-    a[:, TERMS + 2 :] *= rarity
+    a[:, TERMS + 2 :] *= rarity.astype(a.dtype)
     for part, weight in ((slice(0, TERMS), 1.0), (slice(TERMS, TERMS + 2), 1.0), (slice(TERMS + 2, None), WORD_WEIGHT)):
-        a[:, part] *= weight / np.maximum(np.linalg.norm(a[:, part], axis=1, keepdims=True), 1e-12)
+        a[:, part] *= (weight / np.maximum(np.linalg.norm(a[:, part], axis=1, keepdims=True), 1e-12)).astype(a.dtype)
     return a
 
 
@@ -79,17 +79,17 @@ class Model:
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray):
         self.rarity = np.log((1 + len(counts)) / (1 + (counts[:, TERMS + 2 :] > 0).sum(axis=0)))
-        a = _weighted(counts, self.rarity)
-        self.labels, self.mean = labels.astype(float), a.mean(axis=0)
-        a = a - self.mean
+        a = _weighted(counts, self.rarity)  # as narrow as counts are, for the driver's memory
+        self.labels, self.mean = labels.astype(float), a.mean(axis=0, dtype=float)
+        a -= self.mean.astype(a.dtype)
         dims = min(DIMS, *a.shape)
         # randomized truncated singular value decomposition (Halko et al. 2011)
-        q = np.random.default_rng(0).standard_normal((a.shape[1], min(2 * dims, a.shape[1])))
+        q = np.random.default_rng(0).standard_normal((a.shape[1], min(2 * dims, a.shape[1]))).astype(a.dtype)
         for _ in range(5):
             q = np.linalg.qr(a.T @ (a @ q))[0]
-        small = np.linalg.svd(a @ q, full_matrices=False)[2]
-        self.basis = q @ small[:dims].T
-        self.vectors = self._unit(a @ self.basis)
+        small = np.linalg.svd((a @ q).astype(float), full_matrices=False)[2]
+        self.basis = q.astype(float) @ small[:dims].T
+        self.vectors = self._unit(np.concatenate([a[i : i + BLOCK].astype(float) @ self.basis for i in range(0, len(a), BLOCK)]))
 
     @staticmethod
     def _unit(z: np.ndarray) -> np.ndarray:
@@ -128,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     rows = got.groupBy("doc_id").agg(F.min(F.struct("quality", "at", "v")).alias("r")).select("doc_id", "r.*").orderBy("doc_id").collect()
     if not rows:
         return None
-    counts = np.zeros((len(rows), TERMS + 2 + WORDS))
+    counts = np.zeros((len(rows), TERMS + 2 + WORDS), dtype=np.float32)
     for i, r in enumerate(rows):
         counts[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["v"], "<f4")
     return Model(counts, np.array([r["quality"] for r in rows]))
