@@ -65,9 +65,10 @@ def term_counts(text: str | None) -> np.ndarray:
     return out
 
 
-def _weighted(counts: np.ndarray, rarity: np.ndarray) -> np.ndarray:
-    """Square roots of counts, those of words by their rarity; shapes and repeats with length 1 each, words with WORD_WEIGHT."""
-    a = np.sqrt(counts)
+def _weighted(counts: np.ndarray, rarity: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """Square roots of counts, those of words by their rarity; shapes and repeats with length 1 each, words with WORD_WEIGHT.
+    Written to ``out``, if given."""
+    a = np.sqrt(counts, out=out)
     a[:, TERMS + 2 :] *= rarity.astype(a.dtype)
     for part, weight in ((slice(0, TERMS), 1.0), (slice(TERMS, TERMS + 2), 1.0), (slice(TERMS + 2, None), WORD_WEIGHT)):
         a[:, part] *= (weight / np.maximum(np.linalg.norm(a[:, part], axis=1, keepdims=True), 1e-12)).astype(a.dtype)
@@ -75,11 +76,14 @@ def _weighted(counts: np.ndarray, rarity: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """The latent space and the labelled vectors in it: at most ``2 * PER_CLASS`` rows of DIMS numbers."""
+    """The latent space and the labelled vectors in it: at most ``2 * PER_CLASS`` rows of DIMS numbers. ``counts``
+    (a matrix of floats) is used up."""
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray):
         self.rarity = np.log((1 + len(counts)) / (1 + (counts[:, TERMS + 2 :] > 0).sum(axis=0)))
-        a = _weighted(counts, self.rarity)  # as narrow as counts are, for the driver's memory
+        a = counts  # weighted in place, for the driver's memory
+        for i in range(0, len(a), BLOCK):
+            _weighted(a[i : i + BLOCK], self.rarity, out=a[i : i + BLOCK])
         self.labels, self.mean = labels.astype(float), a.mean(axis=0, dtype=float)
         a -= self.mean.astype(a.dtype)
         dims = min(DIMS, *a.shape)
