@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, fingerprints, lmscore, mixing, neardup, packing, quality, sharding, warc
+from . import chat, embeddings, fingerprints, lmscore, mixing, neardup, packing, quality, sharding, warc, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_packing": packing.op8_packing,
         "op9_lm_score": lmscore.op9_lm_score,
         "op10_fingerprints": fingerprints.op10_fingerprints,
+        "op11_whitening": whitening.op11_whitening,
     }
 
 
