@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, fingerprints, lmscore, mixing, neardup, packing, quality, sharding, warc, whitening
+from . import chat, codes, embeddings, fingerprints, lmscore, mixing, neardup, packing, quality, sharding, warc, whitening
 
 
 def queries() -> dict:
@@ -18,8 +18,9 @@ def queries() -> dict:
         "op9_lm_score": lmscore.op9_lm_score,
         "op10_fingerprints": fingerprints.op10_fingerprints,
         "op11_whitening": whitening.op11_whitening,
+        "op12_vector_codes": codes.op12_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_duplicates": neardup.OP1_SQL, "op2_mixing": mixing.OP2_SQL, "op3_embeddings": embeddings.OP3_SQL, "op4_chat": chat.OP4_SQL, "op5_warc": warc.OP5_SQL, "op6_sharding": sharding.OP6_SQL}
+    return {"op1_near_duplicates": neardup.OP1_SQL, "op2_mixing": mixing.OP2_SQL, "op3_embeddings": embeddings.OP3_SQL, "op4_chat": chat.OP4_SQL, "op5_warc": warc.OP5_SQL, "op6_sharding": sharding.OP6_SQL, "op12_vector_codes": codes.OP12_SQL}
