@@ -68,10 +68,11 @@ def copies(df: DataFrame, times: str) -> DataFrame:
 HUB, MOST_HUBS = 256, 65_536
 
 
-def spread_join(rows: DataFrame, key: str, by: str, values: DataFrame) -> DataFrame:
-    """``rows`` joined on ``key`` with ``values``, one row per key with ``n``, how many rows the key has (no key null).
+def spread_join(rows: DataFrame, key: str, by: str, values: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined (``how``: inner or left) on ``key`` with ``values``, one row per key with ``n``, how many rows the key has (no key null).
 
-    A key with many rows is sent once per salt, and its rows go by a salt of their column ``by``. More than
+    A key with many rows is sent once per salt, and its rows go by a salt of their column ``by`` and of the task they come from, so that
+    equal rows part too. More than
     HUB rows are many, or more than what MOST_HUBS keys at most can have, whichever is more; so no more than MOST_HUBS keys are
     sent to all tasks to mark the rows of such keys.
     """
@@ -80,9 +81,9 @@ def spread_join(rows: DataFrame, key: str, by: str, values: DataFrame) -> DataFr
     salt, many = fresh(rows, "salt"), fresh(rows, "salts")
     wide = values.withColumn(many, salts).drop("n")
     hubs = F.broadcast(wide.where(F.col(many) > 1).select(key, many))  # at most MOST_HUBS rows
-    dealt = rows.join(hubs, key, "left").withColumn(salt, F.pmod(F.xxhash64(by), F.coalesce(many, F.lit(1))).cast("int")).drop(many)
+    dealt = rows.join(hubs, key, "left").withColumn(salt, F.pmod(F.xxhash64(by, F.spark_partition_id()), F.coalesce(many, F.lit(1))).cast("int")).drop(many)
     sent = wide.withColumn(salt, F.explode(F.sequence(F.lit(0), F.col(many) - 1))).drop(many)
-    return dealt.join(sent, [key, salt]).drop(salt)
+    return dealt.join(sent, [key, salt], how).drop(salt)
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
@@ -125,11 +126,14 @@ def linked_rows(rows: DataFrame, links: DataFrame, edges: DataFrame, roots: bool
     classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("rows"), F.min("id").alias("class_id"))
     total = links.groupBy("node").agg(F.sum("n").alias("n"))
     info = classes.join(total, "node", "left").join(components(edges), "node", "left").where("rows > 1 OR root IS NOT NULL")
-    info = info.select("node", "class_id", (F.col("rows") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
+    info = info.select("node", "class_id", "rows", (F.col("rows") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
     info = cut(info, "links")
     found = info.groupBy("root").agg(F.min("class_id").alias("component_id"), F.count("*").alias("n"))
-    info = cut(spread_join(info, "root", "node", found).drop(*([] if roots else ["root"])), "links")
-    got = rows.join(info, "node", "left")
+    info = cut(spread_join(info, "root", "node", found).drop(*([] if roots else ["root"])).withColumnRenamed("rows", "n"), "links")
+    # rows of one class, which may be a third of all, are dealt by a salt of their id; those of no class need no join
+    known = spread_join(rows.where("node IS NOT NULL"), "node", "id", info, "left")
+    bare = rows.where("node IS NULL").select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in info.schema if f.name not in ("node", "n")))
+    got = known.select(bare.columns).unionByName(bare)
     return got.select(*rows.columns, F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"), *(["root"] if roots else []))
 
 

@@ -30,8 +30,10 @@ def _near(similar: float) -> float:
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
-    """Vectors as given, whatever their width, to unit length in double precision."""
+    """Vectors as given, whatever their width, to unit length in double precision. Each is scaled by its largest entry first, so that
+    no norm of a finite vector vanishes or overflows."""
     x = raw.astype(float)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -232,7 +234,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; so do
     vectors of different lengths with each other. Repeated rows are rows of their own, linked
-    with each other. In the worst case, data without any near neighbours, all pairs of blocks
+    with each other; ids may be null. In the worst case, data without any near neighbours, all pairs of blocks
     remain, and work and shuffle grow with the square of their number.
     """
     spark = vectors.sparkSession
@@ -247,8 +249,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     first = classes.orderBy(F.hash("node"), "node").limit(max(1, min(PIVOTS, -(-total // BLOCK)))).collect()
     pivots: dict[int, np.ndarray] = {}
     for r in first:
-        v = np.array(r["v"], dtype=float)
-        pivots.setdefault(len(v), []).append(v / np.linalg.norm(v))
+        pivots.setdefault(len(r["v"]), []).append(_unit(np.array([r["v"]]))[0])
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

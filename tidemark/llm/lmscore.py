@@ -81,12 +81,12 @@ def _chunks(texts: pa.Array, hashes: _Hash, start: np.uint64) -> Iterator[tuple[
 
 
 COUNTS = "key long, word boolean, c long"
-#: what a portion of documents (``chunk``: a hash of its rows' keys in order) asks one bucket of keys: for each document how
-#: many asks (``sizes``), and the asks; or, without keys, the documents themselves (``rows``, ``ids``, and words in ``sizes``) and what
-#: they have without asking. Numbers stand one after another in a binary.
-ASKS = "chunk long, bucket int, rows binary, sizes binary, keys binary, n binary, kind binary, ids binary, t binary, b binary"
-#: the same with what a bucket answers: for each document of the portion its sums
-ANSWERS = "chunk long, rows binary, sizes binary, kind binary, ids binary, t binary, b binary"
+#: what a portion of documents (``chunk``: a hash of its rows' keys in order) asks one bucket of keys: the places of the documents that ask
+#: there (``docs``), how many asks each has (``sizes``), and the asks; or, without keys, the documents themselves (``rows``, ``ids``, and words in
+#: ``sizes``), what they have without asking, and how many buckets are asked (``asked``). Numbers stand one after another in a binary.
+ASKS = "chunk long, bucket int, rows binary, docs binary, sizes binary, keys binary, n binary, kind binary, ids binary, t binary, b binary, asked int"
+#: the same with what a bucket answers: for each document that asked its sums
+ANSWERS = "chunk long, rows binary, docs binary, sizes binary, kind binary, ids binary, t binary, b binary, asked int"
 FOUND = "row long, doc_id long, tokens long, t double, b double"
 #: asks in one bucket, about
 BUCKET = 1 << 21
@@ -159,10 +159,12 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, discount: float
        at most HEAD, are counted over all documents and sent to all tasks.
     2. Every document asks for its other words and bigrams, in buckets of keys whose number grows with the
        corpus. In a bucket all asks for a key meet, which is its count over all documents, and meet
-       what the target has of it. Asks of many documents for one bucket travel in one row, 8 bytes each.
-    3. What came of them is added up per portion of documents, and to what each had from the frequent ones.
+       what the target has of it. Asks of many documents for one bucket travel in one row, 8 bytes each; answers are two sums for
+       each document that asked there.
+    3. What came of them is added up per portion of documents, and to what each had from the frequent ones. A portion's rows are
+       in order of their keys, so a task that runs again asks the same; a portion whose answers are not all there is an error.
 
-    Null texts and texts without words have 0 tokens and null losses and score. Repeated rows are scored each.
+    doc_id is read as a long. Null texts and texts without words have 0 tokens and null losses and score. Repeated rows are scored each.
     Without target text the target model is uniform over the words. Extra columns are left aside.
     """
     spark = docs.sparkSession
@@ -231,7 +233,6 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, discount: float
                 target = n * rest + add(x, in_pairs) + add(x, in_v) + add(u, in_w)
                 background = n * np.log(1 - discount) + add(b, in_pairs) + add(b, in_v)
                 chunk = int(np.uint64(xxhash.xxh64_intdigest(row.tobytes())).view(np.int64))
-                yield one(chunk=chunk, bucket=chunk % buckets, rows=row.tobytes(), sizes=n.astype("<i8").tobytes(), kind=known.astype("u1").tobytes(), ids=doc_id.fill_null(0).to_numpy().astype("<i8").tobytes(), t=target.tobytes(), b=background.tobytes())
                 last = np.zeros(len(n), dtype=np.uint64)
                 last[n > 0] = w[(np.cumsum(n) - 1)[n > 0]]
                 asks = []
@@ -247,9 +248,12 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, discount: float
                 to = (k % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(to * len(n) + o, kind="stable")
                 bounds = np.searchsorted(to[order], np.arange(buckets + 1))
-                for j in np.flatnonzero(np.diff(bounds)):
+                asked = np.flatnonzero(np.diff(bounds))
+                yield one(chunk=chunk, bucket=chunk % buckets, rows=row.tobytes(), sizes=n.astype("<i8").tobytes(), kind=known.astype("u1").tobytes(), ids=doc_id.fill_null(0).to_numpy().astype("<i8").tobytes(), t=target.tobytes(), b=background.tobytes(), asked=len(asked))
+                for j in asked:
                     mine = order[bounds[j] : bounds[j + 1]]
-                    yield one(chunk=chunk, bucket=int(j), sizes=np.bincount(o[mine], minlength=len(n)).astype("<i8").tobytes(), keys=k[mine].tobytes(), n=times[mine].astype("<i4").tobytes(), kind=kind[mine].astype("u1").tobytes())
+                    who, times_each = np.unique(o[mine], return_counts=True)
+                    yield one(chunk=chunk, bucket=int(j), docs=who.astype("<i4").tobytes(), sizes=times_each.astype("<i4").tobytes(), keys=k[mine].tobytes(), n=times[mine].astype("<i4").tobytes(), kind=kind[mine].astype("u1").tobytes())
 
     joined = lambda part, kind: np.frombuffer(b"".join(part), dtype=kind)
 
@@ -257,7 +261,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, discount: float
         base, asks = asks[asks["keys"].isna()], asks[asks["keys"].notna()]
         out = [base[names]]
         if len(asks):
-            sizes, keys, n, kind = (joined(asks[c], k) for c, k in (("sizes", "<i8"), ("keys", "<u8"), ("n", "<i4"), ("kind", "u1")))
+            sizes, keys, n, kind = (joined(asks[c], k) for c, k in (("sizes", "<i4"), ("keys", "<u8"), ("n", "<i4"), ("kind", "u1")))
             doc = np.repeat(np.arange(len(sizes)), sizes)
             distinct, at = np.unique(keys, return_inverse=True)
             c = np.bincount(at, n)
@@ -269,26 +273,31 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, discount: float
             here, place = _places(own_keys[order], distinct)
             x[here], u[here] = own.x.to_numpy()[order][place], own.u.to_numpy()[order][place]
             toward = x[at] * n + u[at] * (n + (kind == LAST))
-            ends = np.cumsum([len(s) // 8 for s in asks.sizes])[:-1]
+            ends = np.cumsum([len(s) // 4 for s in asks.sizes])[:-1]
             t, b = (np.split(np.bincount(doc, part, len(sizes)), ends) for part in (toward, back))
-            out.append(pd.DataFrame({"chunk": asks.chunk.to_numpy(), **dict.fromkeys(names[1:5]), "t": [x.tobytes() for x in t], "b": [x.tobytes() for x in b]}))
+            out.append(pd.DataFrame({"chunk": asks.chunk.to_numpy(), "rows": None, "docs": asks.docs.to_numpy(), **dict.fromkeys(names[3:6]), "asked": 0, "t": [x.tobytes() for x in t], "b": [x.tobytes() for x in b]}))
         return pd.concat(out) if len(base) else out[-1]
 
     names = [c.split(" ")[0] for c in ANSWERS.split(", ")]
 
     def add_up(answers: pd.DataFrame) -> pd.DataFrame:
-        base = answers[answers["rows"].notna()]
+        base, parts = answers[answers["rows"].notna()], answers[answers["rows"].isna()]
         copies_of = len(base)  # portions with the same rows in the same order
-        if not copies_of:
-            return pd.DataFrame({c.split(" ")[0]: [] for c in FOUND.split(", ")})
+        if not copies_of or len(parts) != base["asked"].sum():
+            raise ValueError("answers of a portion are missing: its documents came in another order when a task ran again")
         one = base.iloc[0]
         row, ids, tokens, known = (np.frombuffer(one[c], k) for c, k in (("rows", "<i8"), ("ids", "<i8"), ("sizes", "<i8"), ("kind", "u1")))
         doc_id = pd.array(ids.copy(), dtype="Int64")
         doc_id[known == 0] = pd.NA
-        t, b = (np.sum([np.frombuffer(x, "<f8") for x in answers[c]], axis=0) / copies_of for c in "tb")
+        t, b = (np.frombuffer(one[c], "<f8").copy() for c in "tb")
+        who = joined(parts["docs"], "<i4")
+        for sums, c in ((t, "t"), (b, "b")):
+            np.add.at(sums, who, joined(parts[c], "<f8") / copies_of)
         return pd.concat([pd.DataFrame({"row": row, "doc_id": doc_id, "tokens": tokens, "t": t, "b": b})] * copies_of)
 
-    asked = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("row")).mapInArrow(ask, ASKS)
+    # in order of the rows' keys, so that a task that runs again makes the same portions in whatever order its rows come
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("row")).sortWithinPartitions("row")
+    asked = rows.mapInArrow(ask, ASKS)
     # the bucket of a key as an unsigned number
     unsigned = F.when(F.col("key") >= 0, F.pmod("key", F.lit(buckets))).otherwise(F.pmod(F.pmod("key", F.lit(buckets)) + F.lit(2**64 % buckets), F.lit(buckets)))
     tail = values.join(keys, "key", "left_anti").withColumn("bucket", unsigned.cast("int"))

@@ -13,6 +13,8 @@ WORDS = r"[^\x20\x09-\x0D]+"
 MAX_COPIES = 3
 #: rows of one source and size class are numbered in so many independent runs, and those in parts of at most about RUN_ROWS rows
 RUNS, RUN_ROWS = 64, 2048
+#: runs whose rows are added up before those of other such groups of runs
+GROUP = 1024
 SEED = "mix-1"
 
 
@@ -44,10 +46,23 @@ def targets(sizes: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
     return w.select("source", "source_size", "target")
 
 
+def _before(runs: DataFrame) -> DataFrame:
+    """``runs(key, cls, run, n)`` with ``before``, the rows of the key's runs that come earlier: those of earlier classes, of earlier groups of
+    GROUP runs in the class, of earlier runs in the group. No window sees more than a key's classes, a class's groups or a group's runs."""
+    runs = runs.withColumn("group", F.floor(F.col("run") / GROUP))
+    groups = runs.groupBy("key", "cls", "group").agg(F.sum("n").alias("n"))
+    classes = groups.groupBy("key", "cls").agg(F.sum("n").alias("n"))
+    earlier = lambda *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    classes = classes.select("key", "cls", earlier("key", "cls").alias("of_class"))
+    groups = groups.select("key", "cls", "group", earlier("key", "cls", "group").alias("of_group")).join(classes, ["key", "cls"])
+    found = runs.withColumn("before", earlier("key", "cls", "group", "run")).join(groups, ["key", "cls", "group"])
+    return found.withColumn("before", F.col("before") + F.col("of_group") + F.col("of_class")).drop("group", "of_group", "of_class")
+
+
 MIXED = ("size", "source_size", "target", "copies")
 
 
-def mix(docs: DataFrame, max_copies: int = MAX_COPIES, seed: str = SEED, names: tuple[str, ...] | None = None) -> DataFrame:
+def mix(docs: DataFrame, max_copies: int = MAX_COPIES, seed: str = SEED, names: tuple[str, ...] | None = None, sizes: F.Column | None = None) -> DataFrame:
     """``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_copies`` (or the four ``names``; a name
     that ``docs`` has itself gets underscores until it is new).
 
@@ -62,14 +77,14 @@ def mix(docs: DataFrame, max_copies: int = MAX_COPIES, seed: str = SEED, names:
     Null text, or one of white space only, has size 0 and is sampled like others; a null
     source is a source of its own; a source without any word has the target 0 and is left
     out. Repeated rows count one by one. An empty table gives an empty table. Needs
-    ``doc_id``, ``text`` and ``source``; other columns are kept. The result does not depend
+    ``doc_id``, ``source`` and ``text`` (or, in its place, ``sizes``: the words of each row, not null); other columns are kept. The result does not depend
     on how rows lie in partitions.
     """
     size, source_size, target, times = names or tuple(fresh(docs, f"mix_{n}") for n in MIXED)
     key, cls, run, tick, off, rate, shift = (fresh(docs, f"mix_{n}") for n in ("key", "class", "run", "tick", "before", "rate", "shift"))
     parts = 1 + docs.count() // (RUNS * RUN_ROWS)
     rows = (
-        docs.withColumn(size, word_count(F.col("text")))
+        docs.withColumn(size, word_count(F.col("text")) if sizes is None else sizes)
         .withColumn(key, F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
         .withColumn(cls, F.floor(F.sqrt(size)))
         .withColumn(tick, _hash32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
@@ -78,8 +93,7 @@ def mix(docs: DataFrame, max_copies: int = MAX_COPIES, seed: str = SEED, names:
     runs = rows.groupBy(F.col(key).alias("key"), F.col(cls).alias("cls"), F.col(run).alias("run")).agg(F.count("*").alias("n"), F.sum(size).alias("words"), F.min("source").alias("source"))
     runs = cut(runs, "mix-runs")
     goals = targets(runs.groupBy("source").agg(F.sum("words").alias("source_size")), max_copies)
-    before = Window.partitionBy("key").orderBy("cls", "run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    runs = _before(runs)
     goals = goals.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("key"), F.col("source_size").alias("total"), F.col("target").alias("goal"))
     goals = goals.withColumn("rate", F.when(F.col("total") > 0, F.col("goal") / F.col("total")).otherwise(0.0))
     goals = goals.withColumn("shift", _hash32(F.concat(F.lit(seed + "/"), "key")) / F.lit(4294967296.0))
@@ -100,7 +114,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
-    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    sized = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
+    mixed = mix(cut(sized, "mix-sizes"), sizes=F.col("words"))  # texts are read once
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
 
 

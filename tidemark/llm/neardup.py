@@ -10,10 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, labels_of, linked_rows, partitions, components, table
+from .common import HUB, MOST_HUBS, components, cut, fresh, labels_of, linked_rows, partitions, spread_join, table
 
 WORDS = 5
 SIMILAR = 0.8
+#: a text with such a character has words
+WORD = r"[^\x20\x09-\x0D]"
 #: MinHash values come in BANDS bands of ROWS; a pair at 0.8 shares no band with probability 5e-6, at 0.85 with 6e-9
 BANDS, ROWS = 40, 6
 #: values that are compared at a time, and the posterior probability below which a pair is dropped
@@ -148,7 +150,7 @@ FOUND = "kind string, a long, b long"
 def signed(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: its id, a key of the row, the hash of its shingle set as
     node (null without words), the set's size and its bands' keys."""
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("row"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -165,6 +167,23 @@ def signed(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, SIGNED)
 
 
+def repeated(rows: DataFrame) -> DataFrame | None:
+    """Keys of rows that come more than HUB times (or more often than MOST_HUBS keys at most can), to be sent to all tasks: at most
+    MOST_HUBS. None where there are none."""
+    many = max(HUB, -(-rows.count() // MOST_HUBS))
+    found = cut(rows.groupBy("row").count().where(F.col("count") > many).select("row"), "near-repeated")
+    return None if found.isEmpty() else F.broadcast(found)
+
+
+def _few(rows: DataFrame, many: DataFrame | None, key: str = "row") -> DataFrame:
+    """``rows`` with one row for each key of ``many``, chosen within each task before any is sent."""
+    if many is None:
+        return rows
+    many = many.withColumnRenamed("row", key)
+    one = rows.join(many, key, "left_semi").groupBy(key).agg(F.first(F.struct(rows.columns)).alias("r"))
+    return rows.join(many, key, "left_anti").select(rows.columns).union(one.select("r.*"))
+
+
 def near_duplicates(docs: DataFrame, roots: bool = False) -> DataFrame:
     """One row per row of ``docs``: ``id, row, node, class_id, n_links, component_id``, and with ``roots`` the
     component's own key ``root``.
@@ -185,22 +204,23 @@ def near_duplicates(docs: DataFrame, roots: bool = False) -> DataFrame:
 
     Null texts, empty ones and those of white space have no shingles and link with nothing, not
     even each other. Texts of fewer words are one shingle. Repeated rows are documents of
-    their own. Null doc_ids are allowed. Shingles and sets are told apart by 64-bit hashes.
+    their own. doc_id is read as a long; nulls are allowed. Shingles and sets are told apart by 64-bit hashes.
     """
     rows = cut(signed(docs), "near-rows")
-    each = rows.where("node IS NOT NULL").select("node", F.explode("bands").alias("band"))
-    shared = each.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band", "low")
-    stars = each.join(shared, "band").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    # one row stands for its class: a text that a third of all rows share is one class before anything else is asked of it
+    classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"), F.count("*").alias("n"), F.max("size").alias("size"), F.first("bands").alias("bands"))
+    classes = cut(classes, "near-classes")
+    each = classes.select("node", F.explode("bands").alias("band"))
+    shared = each.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1")
+    stars = spread_join(each, "band", "node", shared).where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
     groups = cut(components(stars, "near-candidates"), "near-groups")
-    # one row stands for its class
-    stand = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"), F.count("*").alias("n"), F.max("size").alias("size"))
-    stand = stand.join(groups, "node")
-    stand = cut(stand, "near-classes")
+    stand = classes.select("node", "row", "n", "size").join(groups, "node")
+    stand = cut(stand, "near-stand")
     large = stand.groupBy("root").agg(F.count("*").alias("classes"), F.sum("size").alias("total")).select("root", F.ceil(F.greatest(F.col("classes") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("blocks > 1")
     stand = stand.join(cut(large, "near-large"), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     stand = stand.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text")
-    full = stand.join(texts, "row")
+    full = stand.join(_few(texts, repeated(rows)), "row")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _Hashes()
@@ -259,16 +279,22 @@ def near_duplicates(docs: DataFrame, roots: bool = False) -> DataFrame:
 
 def deduplicated_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: of the rows with the smallest doc_id the first by hash.
-    Rows without words all stay."""
+    Rows without words all stay, those of null or empty text too.
+
+    Needs ``doc_id`` (read as a long; null counts as the largest) and ``text``; other columns are kept, whatever their names. Rows that repeat
+    doc_id and text leave one, whichever. No rows: no rows.
+    """
     found = cut(near_duplicates(docs, roots=True), "near")
     grouped = found.where("node IS NOT NULL")
     # components of one row need no choice
-    linked = grouped.where("n_links > 0").groupBy("root").agg(F.min(F.struct(F.coalesce("id", F.lit(2**63 - 1)), "row")).alias("r")).select(F.col("r.row").alias("row"), F.lit(True).alias("one"))
-    stay = linked.union(found.where("n_links = 0").select("row", F.lit(False)))
-    row, one, nth = fresh(docs, "near_row"), fresh(docs, "near_one"), fresh(docs, "near_nth")
-    kept = stay.groupBy(F.col("row").alias(row)).agg(F.max("one").alias(one))
-    got = docs.withColumn(row, F.xxhash64("doc_id", "text")).join(kept, row)
-    return got.withColumn(nth, F.row_number().over(Window.partitionBy(row).orderBy(row))).where(~F.col(one) | (F.col(nth) == 1)).select(docs.columns)
+    linked = grouped.where("n_links > 0").groupBy("root").agg(F.min(F.struct(F.coalesce("id", F.lit(2**63 - 1)), "row")).alias("r")).select(F.col("r.row").alias("row"))
+    row, nth = fresh(docs, "near_row"), fresh(docs, "near_nth")
+    kept = linked.union(grouped.where("n_links = 0").select("row")).select(F.col("row").alias(row))
+    words = F.coalesce(F.regexp_like("text", F.lit(WORD)), F.lit(False))
+    got = docs.where(words).withColumn(row, F.xxhash64("doc_id", "text"))
+    got = _few(got, repeated(grouped), row).join(kept, row, "left_semi")
+    got = got.withColumn(nth, F.row_number().over(Window.partitionBy(row).orderBy(row))).where(F.col(nth) == 1)
+    return got.select(docs.columns).union(docs.where(~words))
 
 
 def op1_near_duplicates(spark, sf_dir: str) -> DataFrame:

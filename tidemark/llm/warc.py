@@ -16,8 +16,8 @@ from .common import new_path, table
 REVISIT_BYTES = 100
 #: bytes of payload in one record; longer payloads go on in continuation records
 SEGMENT_BYTES = 1 << 20
-#: bytes read at a time
-BLOCK_BYTES = 1 << 18
+#: bytes read at a time, and those among which a header must end
+BLOCK_BYTES, HEAD_BYTES = 1 << 18, 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 #: rows with one digest are dealt out over so many tasks
 SALTS = 64
@@ -80,14 +80,16 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES) ->
 
 
 class _Source:
-    """A stream from which lines and counted bytes are taken, holding one block at a time."""
+    """A stream from which lines and counted bytes are taken, holding one block at a time. Compression is told by the first bytes."""
 
     def __init__(self, path: str):
         from pyarrow import fs
 
         uri = path.replace("file:/", "file:///") if path.startswith("file:/") and not path.startswith("file://") else path
         system, at = fs.FileSystem.from_uri(uri)
-        self.stream = system.open_input_stream(at, compression="gzip" if at.endswith(".gz") else None)
+        with system.open_input_stream(at, compression=None) as raw:
+            zipped = raw.read(2) == b"\x1f\x8b"
+        self.stream = system.open_input_stream(at, compression="gzip" if zipped else None)
         self.held = b""
 
     def _more(self) -> bool:
@@ -96,9 +98,15 @@ class _Source:
         return bool(got)
 
     def head(self) -> list[str] | None:
-        while (end := self.held.find(b"\r\n\r\n")) < 0:
+        """The lines up to the next empty one; None at the end of the archive, where line ends may stand."""
+        while not self.held.lstrip(NL.encode()):
+            self.held = b""
             if not self._more():
                 return None
+        self.held = self.held.lstrip(NL.encode())
+        while (end := self.held.find(b"\r\n\r\n")) < 0:
+            if len(self.held) > HEAD_BYTES or not self._more():
+                raise ValueError(f"no WARC record: {self.held[:80]!r}")
         lines, self.held = self.held[:end], self.held[end + 4 :]
         return lines.decode("utf-8", "replace").split(NL)
 
@@ -116,74 +124,97 @@ def _name(x: str | None) -> str | None:
     return None if x is None else x.removeprefix("<").removesuffix(">").removeprefix("urn:x-page:")
 
 
-def stream(path: str) -> Iterator[tuple[str, str, str | None, int, int, bytes, str | None, bool]]:
-    """``(record, type, refers to, payload bytes, chunk number, chunk, digest so far, last)`` for each chunk of
-    an archive's responses and revisits; a revisit has one empty chunk and the digest that it names.
-
-    A payload is what follows the HTTP header of a response, through its continuation records; its size is what the header or else
-    the record says. Other types of record (warcinfo, request, metadata, ...) are passed over. Names of fields are read
-    in any case; a digest is compared where it is a SHA-256.
+def _http(body: Iterator[bytes]) -> tuple[int | None, bytes]:
+    """The size that a block's HTTP header gives, and what of the payload was read with it. A block without the empty line that ends a
+    header among its first HEAD_BYTES is payload from its start."""
+    held = b""
+    while (end := held.find(b"\r\n\r\n")) < 0 and len(held) <= HEAD_BYTES and (more := next(body, None)) is not None:
+        held += more
+    if end < 0:
+        return None, held
+    sizes = re.findall(rb"(?im)^content-length: *(\d+)", held[:end])
+    return int(sizes[-1]) if sizes else None, held[end + 4 :]
+
+
+class _Record:
+    """A record while it is read: the newest chunk is held back until it is known whether more of the record comes."""
+
+    def __init__(self, name: str | None, kind: str, declared: int | None, refers: str | None = None, named: str = "", sure: bool = True):
+        self.name, self.kind, self.declared, self.refers, self.sure = name, kind, declared, refers, sure
+        self.named = named.removeprefix("sha256:") if named.startswith("sha256:") else None
+        self.seen, self.number, self.held, self.digest = 0, 0, b"", hashlib.sha256()
+
+    def row(self, last: bool) -> tuple:
+        return self.name, self.kind, self.refers, self.declared, self.seen, self.number, self.held, self.digest.hexdigest(), last
+
+    def put(self, chunk: bytes) -> Iterator[tuple]:
+        if chunk:
+            if self.held:
+                yield self.row(False)
+                self.number += 1
+            self.held = chunk
+            self.seen += len(chunk)
+            self.digest.update(chunk)
+
+    def finish(self) -> Iterator[tuple]:
+        if self.named and self.sure and self.declared in (None, self.seen) and self.digest.hexdigest() != self.named:
+            raise ValueError(f"record {self.name}: payload and digest differ")
+        yield self.row(True)
+
+
+def stream(path: str) -> Iterator[tuple[str, str, str | None, int | None, int | None, int, bytes, str | None, bool]]:
+    """``(record, type, refers to, bytes declared, bytes so far, chunk number, chunk, digest so far, last)`` for each chunk of
+    an archive's records with payloads; a revisit has one empty chunk, and the size and digest that it names.
+
+    A payload is what follows the HTTP header of a response, or the whole block of a resource or conversion, through all of the record's
+    continuations: it ends where the record does, whatever length the HTTP header declares, so truncated and overlong
+    payloads come whole, beside what they declare. Other types of record (warcinfo, request, metadata, ...) are passed over. Names of fields
+    are read in any case. A SHA-256 that a record names must be its payload's, unless the record says that it is
+    truncated or has another length than it declares.
     """
-    source, state = _Source(path), None
+    source, record, passed = _Source(path), None, None
     while (lines := source.head()) is not None:
-        lines = lines[next((i for i, x in enumerate(lines) if x), 0) :]  # line ends between records
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record: {lines[0][:80]!r}")
         h = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        kind, length = h.get("warc-type", "").lower(), int(h["content-length"])
+        kind, length, name = h.get("warc-type", "").lower(), int(h["content-length"]), _name(h.get("warc-record-id"))
         body = source.take(length)
+        if kind == "continuation":
+            of = _name(h.get("warc-segment-origin-id"))
+            if of != (record.name if record else passed):
+                raise ValueError("segments out of order")
+            for chunk in body:
+                yield from record.put(chunk) if record else ()
+            continue
+        if record:
+            yield from record.finish()
+        record, passed, first = None, name, b""
         if kind in ("response", "revisit"):
-            held = b""
-            while (end := held.find(b"\r\n\r\n")) < 0 and (more := next(body, None)) is not None:
-                held += more
-            head, rest = (held[:end], held[end + 4 :]) if end >= 0 else (held, b"")
-            sizes = re.findall(rb"(?im)^content-length: *(\d+)", head)
-            size = int(sizes[-1]) if sizes else length - len(head) - 4 if end >= 0 else 0
-            state = [_name(h.get("warc-record-id")), size, 0, hashlib.sha256(), 0, h.get("warc-payload-digest", "")]
-        elif kind == "continuation" and state and _name(h.get("warc-segment-origin-id")) == state[0]:
-            rest = b""
-        elif kind == "continuation":
-            raise ValueError("segments out of order")
-        else:
-            body, state = _skip(body), None
-        named = state[5].removeprefix("sha256:") if state and state[5].startswith("sha256:") else None
+            declared, first = _http(body)
         if kind == "revisit":
-            _skip(body)
-            yield state[0], kind, _name(h.get("warc-refers-to")), state[1], 0, b"", named, True
-        elif state:
-            for chunk in _with_first(rest, body, state[1] == 0):
-                state[3].update(chunk)
-                state[4] += len(chunk)
-                last = state[4] == state[1]
-                digest = state[3].hexdigest()
-                if last and named and digest != named:
-                    raise ValueError(f"record {state[0]}: payload and digest differ")
-                yield state[0], "response", None, state[1], state[2], chunk, digest, last
-                state[2] += 1
-        for _ in source.take(4):
-            pass
-
-
-def _skip(body: Iterator[bytes]) -> Iterator[bytes]:
-    for _ in body:
-        pass
-    return iter(())
-
-
-def _with_first(first: bytes, rest: Iterator[bytes], empty: bool) -> Iterator[bytes]:
-    if first or empty:
-        yield first
-    yield from rest
-
-
-CHUNKS = "record_id string, page_id long, record_type string, refers_to long, payload_bytes long, chunk int, chunk_bytes long, data binary, digest string, last boolean"
+            digest = h.get("warc-payload-digest", "")
+            yield name, kind, _name(h.get("warc-refers-to")), declared, declared, 0, b"", digest.removeprefix("sha256:") if digest.startswith("sha256:") else None, True
+        elif kind == "response":
+            record = _Record(name, kind, declared, None, h.get("warc-payload-digest", ""), "warc-truncated" not in h)
+        elif kind in ("resource", "conversion"):
+            record = _Record(name, kind, None, None, h.get("warc-payload-digest") or h.get("warc-block-digest", ""), "warc-truncated" not in h)
+        if record:
+            yield from record.put(first)
+        for chunk in body:
+            yield from record.put(chunk) if record else ()
+    if record:
+        yield from record.finish()
+
+
+CHUNKS = "record_id string, page_id long, record_type string, refers_to long, declared_bytes long, payload_bytes long, chunk int, chunk_bytes long, data binary, digest string, last boolean"
 NAMES = [c.split(" ")[0] for c in CHUNKS.split(", ")]
 
 
 def chunk_table(spark: SparkSession, path: str, with_data: bool = True) -> DataFrame:
-    """The archives under ``path`` as rows of ``record_id, page_id, record_type, refers_to, payload_bytes, chunk,
-    chunk_bytes, data, digest, last``: a payload comes in chunks of at most BLOCK_BYTES, each with the SHA-256 of the
-    payload up to its end, so no record is ever held whole. ``page_id`` and ``refers_to`` are null where an identifier is no number, as
+    """The archives under ``path``, every file that is not hidden (its name begins with neither ``.`` nor ``_``), compressed or not, as rows of
+    ``record_id, page_id, record_type, refers_to, declared_bytes, payload_bytes, chunk, chunk_bytes, data, digest, last``: a payload comes in
+    chunks of about BLOCK_BYTES, each with the bytes and the SHA-256 of the payload up to its end, so no record is ever held whole.
+    ``declared_bytes`` is what its HTTP header says, null where it says nothing. Empty files and folders without files give no rows. ``page_id`` and ``refers_to`` are null where an identifier is no number, as
     in archives of others. Without ``with_data`` the bytes themselves stay behind."""
     number = lambda x: int(x) if x and re.fullmatch(r"-?\d{1,18}", x) else None
 
@@ -191,8 +222,8 @@ def chunk_table(spark: SparkSession, path: str, with_data: bool = True) -> DataF
         for batch in batches:
             for path in batch.path:
                 out, held = [], 0
-                for page, kind, refers, size, k, chunk, digest, last in stream(path):
-                    out.append((page, number(page), kind, number(refers), size, k, len(chunk), chunk if with_data else None, digest, last))
+                for page, kind, refers, declared, size, k, chunk, digest, last in stream(path):
+                    out.append((page, number(page), kind, number(refers), declared, size, k, len(chunk), chunk if with_data else None, digest, last))
                     held += len(chunk) if with_data else 0
                     if held > 8 * BLOCK_BYTES or len(out) > 5000:
                         yield frame(out)
@@ -200,15 +231,15 @@ def chunk_table(spark: SparkSession, path: str, with_data: bool = True) -> DataF
                 yield frame(out)
 
     def frame(rows) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=NAMES).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64", "chunk": "int32", "chunk_bytes": "int64", "last": "bool"})
+        return pd.DataFrame(rows, columns=NAMES).astype({"page_id": "Int64", "refers_to": "Int64", "declared_bytes": "Int64", "payload_bytes": "Int64", "chunk": "int32", "chunk_bytes": "int64", "last": "bool"})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("path", "length").where("length > 0").select("path")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").where("length > 0").select("path")
     n = spark.sparkContext.defaultParallelism
     return files.repartition(4 * n, "path").mapInPandas(run, CHUNKS)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record, its last chunk's: ``page_id, payload_bytes, payload_digest, record_type, refers_to``."""
+    """One row per record with a payload, its last chunk's: ``page_id, payload_bytes, payload_digest, record_type, refers_to``."""
     return chunk_table(spark, path, with_data=False).where("last").select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
