@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 
+from .spread import connected, settled
+
 #: blocks of more items are no evidence of anything and are left out, as the rule has it
 LARGEST_BLOCK = 400
 LONG_BODY, REVIEW, POSTER_REVIEW, ATTACHMENT_REVIEW = 200, 0.86, 0.95, 0.6
@@ -20,14 +20,6 @@ def prepare(items: DataFrame) -> DataFrame:
     return items.withColumns({"grams": T.trigrams(T.normalize_title(F.col("title"))), "print": T.body_fingerprint(F.col("body")), "body_chars": F.length(F.coalesce("body", F.lit(""))), "years": T.markers(head, T.YEAR_MARK), "rounds": T.markers(head, T.ROUND_MARK), "semesters": T.markers(head, T.SEMESTER_MARK)})
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` as written to the checkpoint folder, so that it is worked out once. Only where none is set, as in tests, a local one is."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
-    return df.checkpoint()
-
-
 def print_pairs(items: DataFrame) -> DataFrame:
     """Candidate pairs by equal body fingerprints; of the items only ids, sources and fingerprints move."""
     prints = settled(items.select("id", "source", T.body_fingerprint(F.col("body")).alias("print")).where("print IS NOT NULL"))
@@ -101,15 +93,7 @@ def primary_order() -> list[Column]:
 
 
 def merge_targets(merges: DataFrame) -> DataFrame:
-    """``merges(a, b)`` to ``(node, target)``: the smallest id that merges lead to. Each round every node takes
-    the smallest label around it, until none moves; labels are written between rounds."""
-    e = settled(merges.select("a", "b").union(merges.select("b", "a")).distinct())
-    label = e.select(F.col("a").alias("node")).distinct().withColumn("target", F.col("node"))
-    while True:
-        near = e.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("target").alias("low"))
-        new = label.join(near, "node").select("node", F.least("target", "low").alias("target"), (F.col("low") < F.col("target")).alias("moved"))
-        new = settled(new)
-        label = new.select("node", "target")
-        if not new.where("moved").limit(1).count():
-            break
-    return label
+    """``merges(a, b)`` to ``(node, target)``: the smallest id that merges lead to. A merge with itself names a node of its own."""
+    alone = merges.where("a = b").select(F.col("a").alias("node")).distinct()
+    found = connected(merges.select("a", "b"))
+    return found.select("node", F.col("root").alias("target")).union(alone.join(found, "node", "left_anti").select("node", F.col("node").alias("target")))

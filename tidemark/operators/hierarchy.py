@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: no real tree is deeper; a cycle ends here
+from .spread import dealt_join, settled
+
+#: no real tree is deeper; a closure ends here
 DEPTH = 12
 
 
 def closure(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``nodes(id, parent)`` to ``(ancestor, descendant, depth)``, each node its own ancestor at 0.
     One join with the nodes for each level that the tree has, and no bound on rows, as a recursive query has one
-    (``spark.sql.cteRecursionRowLimit``). Levels are written when a checkpoint folder is set."""
-    written = nodes.sparkSession.sparkContext.getCheckpointDir() is not None
+    (``spark.sql.cteRecursionRowLimit``). Levels are written."""
     up = nodes.select(F.col("id").alias("ancestor"), F.col("parent").alias("next"))
     level = nodes.select(F.col("id").alias("ancestor"), F.col("id").alias("descendant"), F.lit(0).alias("depth"), F.col("parent").alias("next"))
     found = level
     for k in range(1, depth + 1):
         level = level.where("next IS NOT NULL").select(F.col("next").alias("ancestor"), "descendant").join(up, "ancestor").select("ancestor", "descendant", F.lit(k).alias("depth"), "next")
-        level = level.checkpoint() if written else level.cache()
+        level = settled(level)
         if level.isEmpty():
             break
         found = found.union(level)
@@ -51,6 +52,18 @@ def drawn(nodes: DataFrame) -> DataFrame:
     return nodes.select("id").join(nearest, "id", "left").select("id", F.coalesce("drawn_id", "id").alias("drawn_id"))
 
 
-def cyclic(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Ids that lie on a cycle."""
-    return closure(nodes, depth).where((F.col("ancestor") == F.col("descendant")) & (F.col("depth") > 0)).select(F.col("ancestor").alias("id")).distinct()
+def cyclic(nodes: DataFrame) -> DataFrame:
+    """Ids that lie on a cycle of whatever length; ``nodes(id, parent)`` has one parent per id.
+
+    The step from child to parent is doubled: after as many steps as the longest way into a cycle, what is still reached are the nodes on cycles
+    alone, and then the number of nodes reached no longer falls. A round is one join; rounds are the logarithm of that way.
+    """
+    step = settled(nodes.where("parent IS NOT NULL").select(F.col("id"), F.col("parent").alias("to")))
+    reached = -1
+    while True:
+        image = step.select(F.col("to").alias("id")).distinct()
+        n = image.count()
+        if n == reached:
+            return image
+        reached = n
+        step = settled(dealt_join(step, step.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hierarchy import closure
+from .spread import settled
 
 
 def merge_links(links: DataFrame, pairs: DataFrame, reason: str) -> DataFrame:
@@ -51,6 +52,7 @@ def resolve(wanted: DataFrame, known: DataFrame, strategies: list[str]) -> DataF
     ranked = lambda df, key: df.where(F.col(key).isNotNull()).select(key, "id", F.row_number().over(Window.partitionBy(key).orderBy("id")).alias("rank"))
     for key in strategies:
         got = ranked(left, key).join(ranked(free, key).withColumnRenamed("id", "known_id"), [key, "rank"]).select("id", "known_id", F.lit(key).alias("strategy"))
+        got = settled(got)  # else each further strategy reads all earlier ones again, several times over
         found = got if found is None else found.union(got)
         left = left.join(got.select("id"), "id", "left_anti")
         free = free.join(got.select(F.col("known_id").alias("id")), "id", "left_anti")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates as D
 
+from .spread import settled
+
 
 def within_window(date: Column, at: Column, pinned: Column, exempt: Column, now: Column, start: Column) -> Column:
     """Future rows publish; so do exempt pinned ones, timed ones from the window's first instant on, dated ones
@@ -25,7 +27,7 @@ def number(rows: DataFrame, order: list[Column], size: int, into: str = "page")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
     ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    ranked = ranked.persist()
+    ranked = settled(ranked)
     sizes = ranked.groupBy("_part").count()
     before = sizes.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     placed = ranked.join(F.broadcast(before), "_part")  # one row per partition

@@ -166,7 +166,7 @@ def notice_projection(spark, d):
 @query("relative_times", f"""WITH {RUNS_SQL}, a AS (SELECT id, greatest(0, floor((epoch(TIMESTAMP '{NOW}') - epoch(ts)) / 60)) AS m FROM runs)
 SELECT id, CASE WHEN m < 1 THEN '방금' WHEN m < 60 THEN CAST(m AS INTEGER) || '분 전' WHEN m < 1440 THEN CAST(floor(m / 60) AS INTEGER) || '시간 전' ELSE CAST(floor(m / 1440) AS INTEGER) || '일 전' END AS label, m < 1440 AS is_new FROM a""")
 def relative_times(spark, d):
-    m = F.greatest(F.lit(0), F.floor((F.unix_timestamp(now()) - F.unix_timestamp("ts")) / 60))
+    m = F.greatest(F.lit(0), F.floor((F.unix_micros(now()) - F.unix_micros("ts")) / 60_000_000))
     whole = lambda n, unit: F.concat(F.floor(m / n).cast("string"), F.lit(unit))
     label = F.when(m < 1, "방금").when(m < 60, whole(1, "분 전")).when(m < 1440, whole(60, "시간 전")).otherwise(whole(1440, "일 전"))
     return runs(spark, d).select("id", label.alias("label"), (m < 1440).alias("is_new"))
