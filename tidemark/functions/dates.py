@@ -105,3 +105,26 @@ def guess_deadline_udf(title: pd.Series, body: pd.Series, published: pd.Series)
     """The latest date in a line that speaks of a deadline, not before the day before publication."""
     found = [_deadline(t, b, None if pd.isna(p) else p) or (None,) * 4 for t, b, p in zip(title, body, published, strict=True)]
     return pd.DataFrame(found, columns=["date", "at", "precision", "evidence"])
+
+
+def board_date(raw: Column, today: Column) -> Column:
+    """A board's date as it can be parsed: a year of two digits is of this century, a clock alone is today's (``today``: a local date)."""
+    clock = raw.rlike(r"^\d{1,2}:\d{2}$")
+    return F.when(clock, F.concat(F.date_format(today, "yyyy-MM-dd"), F.lit(" "), raw)).otherwise(F.regexp_replace(raw, r"^(\d{2})([-./])(\d{1,2})[-./](\d{1,2})$", "20$1$2$3$2$4"))
+
+
+def zoned(raw: Column) -> Column:
+    """The instant of a deadline, null unless it is written with its offset from UTC."""
+    return F.when(raw.rlike(r"([+-]\d{2}:\d{2}|Z)$"), F.try_to_timestamp(raw))
+
+
+def relative_label(at: Column, now: Column) -> Column:
+    """How long ago something was: just now, whole minutes, hours or days; no record where unknown."""
+    m = F.greatest(F.lit(0), F.floor((F.unix_micros(now) - F.unix_micros(at)) / 60_000_000))
+    whole = lambda n, unit: F.concat(F.floor(m / n).cast("string"), F.lit(unit))
+    return F.when(at.isNull(), "기록 없음").when(m < 1, "방금").when(m < 60, whole(1, "분 전")).when(m < 1440, whole(60, "시간 전")).otherwise(whole(1440, "일 전"))
+
+
+def is_new(first_seen: Column, now: Column) -> Column:
+    """Seen for the first time less than a day ago."""
+    return F.unix_micros(now) - F.unix_micros(first_seen) < 86_400_000_000

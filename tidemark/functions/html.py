@@ -113,3 +113,13 @@ def anchors(html: Column) -> Column:
 def image_sources(html: Column) -> Column:
     """Addresses of a page's pictures, by expressions alone."""
     return F.regexp_extract_all(html, F.lit(r'(?i)<img\s[^>]*src="([^"]+)"'), 1)
+
+
+#: characters of text from which on a notice needs no picture in a list
+POSTER_CHARS = 80
+
+
+def poster_image(text: Column, images: Column) -> Column:
+    """The picture that stands for a notice in a list: the first, if there is next to no text beside it."""
+    wordy = F.coalesce(F.length(F.trim(text)) >= POSTER_CHARS, F.lit(False))
+    return F.when((F.size(images) > 0) & ~wordy, F.get(images, F.lit(0)))

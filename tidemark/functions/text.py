@@ -124,20 +124,6 @@ def audience_key(kind: Column, ident: Column) -> Column:
     return F.when(kind.isin("university", "undetermined"), kind).when(kind == "campus", F.concat(F.lit("campus:"), ident)).otherwise(F.concat(F.lit("org:"), ident))
 
 
-def expand_numbers(c: Column, span: int = 20) -> Column:
-    """``0053~4, 0057`` to ``[0053, 0054, 0057]``: a range end takes over the leading digits that it leaves
-    out, width is kept, and ranges of more than ``span`` steps give their start alone."""
-
-    def one(part: Column) -> Column:
-        lo, hi = F.regexp_extract(part, r"^(\d+)", 1), F.regexp_extract(part, r"~\s*(\d+)$", 1)
-        full = F.concat(F.substring(lo, F.lit(1), F.greatest(F.lit(0), F.length(lo) - F.length(hi))), hi)
-        a, b = lo.cast("long"), full.cast("long")
-        many = F.transform(F.sequence(a, b), lambda n: F.lpad(n.cast("string"), F.length(lo), "0"))
-        return F.when((hi != "") & (b >= a) & (b - a <= span), many).when(lo != "", F.array(lo)).otherwise(F.array().cast("array<string>"))
-
-    return F.array_distinct(F.flatten(F.transform(F.split(F.regexp_replace(c, r"\s+", ""), ","), one)))
-
-
 # Notations of telephone numbers, and what stands before them, by campus.
 FULL_NUMBER = r"^(\d{2,4}-\d{3,4}-\d{4}|(15|16|18)\d{2}-\d{4})$"
 SHORT_NUMBER = r"^(?:(\d{3,4})-)?(\d{3,4})(?:~(\d{1,4}))?$"
@@ -176,3 +162,26 @@ def dial_label(value: Column, extension: Column, shown: Column) -> Column:
     """The full number, with the tail that the display puts after the extension."""
     tail = F.substring(shown, F.length(extension) + 1, F.length(shown))
     return F.when(F.coalesce(value, F.lit("")) == "", shown).when(F.coalesce(shown.startswith(extension) & (shown != extension), F.lit(False)), F.concat(value, tail)).otherwise(value)
+
+
+# What site names carry besides the name, in the order in which it is taken off, and endings that tell an organization's kind.
+NAME_NOISE = (
+    (r"(?i)</?br\s*/?>", " "), (r"\s+", " "), (r"\s*\((국문|영문|중문|일문|한글|영어)\)\s*$", ""), (r"\s*\((개발중|준비중|임시|테스트)\)\s*$", ""),
+    (r"(학부|학과|대학원|대학)\s*\d{2}\s*$", "$1"), (r"\s*\([^()]*(관|홀|동|호|층|캠퍼스\s*내)\s*\)\s*$", ""),
+)
+DEPARTMENT_NAME, OFFICE_NAME = r"(학과|학부|전공|계열)\s*$", r"(처|팀|본부|센터|지원단|사업단|위원회|대학본부)\s*$"
+SITE_KINDS = {"COLLEGE": "college", "GRADUATE": "college", "ATTACHED": "institute", "ETC": "office"}
+
+
+def site_name(raw: Column) -> Column:
+    """A site's name without line breaks, languages, states, versions and addresses; empty for null."""
+    out = F.coalesce(raw, F.lit(""))
+    for pattern, to in NAME_NOISE:
+        out = F.trim(F.regexp_replace(out, pattern, to))
+    return out
+
+
+def organization_kind(name: Column, site_kind: Column) -> Column:
+    """By how the name ends, else by the kind of its site, else an institute."""
+    known = F.create_map(*(F.lit(x) for kv in SITE_KINDS.items() for x in kv))
+    return F.when(name.rlike(DEPARTMENT_NAME), "department").when(name.rlike(OFFICE_NAME), "office").otherwise(F.coalesce(F.try_element_at(known, F.coalesce(site_kind, F.lit(""))), F.lit("institute")))

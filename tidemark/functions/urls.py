@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from urllib.parse import parse_qsl, urljoin, urlsplit, urlunsplit
+from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,7 +15,7 @@ TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content
 
 def canonical_url(c: Column) -> Column:
     """Scheme and host in lower case, no trailing slashes of the path, no fragment, no tracking parameters,
-    the others sorted. Values are left as they are written; ``canonical_url_udf`` decodes them."""
+    the others sorted. Values are left as they are written."""
     u = F.regexp_replace(F.trim(c), "#.*$", "")
     scheme = F.lower(F.regexp_extract(u, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
     host = F.lower(F.regexp_extract(u, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)", 1))
@@ -27,18 +27,6 @@ def canonical_url(c: Column) -> Column:
     return F.concat(scheme, F.lit("://"), host, path, F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")))
 
 
-@F.pandas_udf(StringType())
-def canonical_url_udf(urls: pd.Series) -> pd.Series:
-    def one(u):
-        if u is None:
-            return None
-        p = urlsplit(u.strip())
-        kept = sorted((k, v) for k, v in parse_qsl(p.query, keep_blank_values=True) if k.lower() not in TRACKING)
-        return urlunsplit((p.scheme.lower(), p.netloc.lower(), p.path.rstrip("/"), "&".join(f"{k}={v}" for k, v in kept), ""))
-
-    return urls.map(one)
-
-
 @F.pandas_udf(StringType())
 def safe_join_udf(base: pd.Series, ref: pd.Series) -> pd.Series:
     """The absolute form of a reference; null where either is malformed."""

@@ -91,3 +91,16 @@ def runs(spark: SparkSession, d: str) -> DataFrame:
     """Events as collection runs of sources."""
     e = read(spark, d, "events")
     return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("source"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("failed"), (F.col("event_type") == "signup").alias("partial"), "value")
+
+
+def planted(spark: SparkSession, d: str, table: str, key: str, cases: list[tuple], ddl: str) -> DataFrame:
+    """A table's rows, each with the wording of one of the cases (numbered from 1 in their first column ``id``): what the driver's texts do not
+    hold is planted in all of them. ``id`` is the row's key, ``own`` the row itself."""
+    few = F.broadcast(spark.createDataFrame(cases, ddl).withColumnRenamed("id", "_case"))  # the cases
+    rows = read(spark, d, table).select(F.col(key).alias("id"), F.struct("*").alias("own"))
+    return rows.join(few, F.pmod("id", F.lit(len(cases))) + 1 == F.col("_case")).drop("_case")
+
+
+def planted_sql(table: str, key: str, cases: str, n: int) -> str:
+    """The oracle's form: ``cases`` are rows (id, what is expected ...)."""
+    return f"SELECT t.{key} AS id, c.* EXCLUDE (id) FROM {table} t JOIN ({cases}) c ON c.id = t.{key} % {n} + 1"

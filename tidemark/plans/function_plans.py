@@ -11,7 +11,7 @@ from tidemark.functions import rules as R
 from tidemark.functions import text as T
 from tidemark.functions import urls as U
 
-from .binding import ITEMS_SQL, items, query, read
+from .binding import planted, planted_sql, ITEMS_SQL, items, query, read
 
 
 def rows(spark, values, schema):
@@ -62,16 +62,20 @@ def proxy_paths(spark, d):
     return read(spark, d, "pages").select(F.col("page_id").alias("id"), U.proxy_path(F.col("url")).alias("path"))
 
 
-@query("url_admission", "SELECT * FROM (VALUES (1, NULL), (2, 'scheme'), (3, 'port'), (4, 'name'), (5, 'address'), (6, 'address'), (7, NULL)) AS t(id, reason)")
+@query("url_admission", """SELECT page_id AS id, CASE page_id % 9 WHEN 1 THEN 'scheme' WHEN 2 THEN 'port' WHEN 3 THEN 'name' WHEN 4 THEN 'address' WHEN 5 THEN 'address' WHEN 7 THEN 'name' WHEN 8 THEN 'address' END AS reason FROM pages""")
 def url_admission(spark, d):
-    urls = ["https://a.example.org/x", "ftp://a.example.org", "http://a.example.org:8080/", "http://localhost/", "http://10.0.0.1/", "http://172.20.1.1/x", "HTTP://a.example.org:80"]
-    return rows(spark, list(enumerate(urls, 1)), "id int, url string").select("id", U.admitted(F.col("url")).alias("reason"))
+    """Every page's address, with its scheme, port or host changed to what may not be fetched."""
+    k, url = F.col("page_id") % 9, F.regexp_replace("url", "^https?://([^/:]+)(:[0-9]+)?", "http://$1")
+    to = lambda host: F.regexp_replace(url, "^http://[^/]+", f"http://{host}")
+    made = F.when(k == 1, F.regexp_replace(url, "^http", "ftp")).when(k == 2, F.regexp_replace(url, "^(http://[^/]+)", "$1:8080")).when(k == 3, to("localhost")).when(k == 4, to("10.0.0.1")).when(k == 5, to("172.20.1.1")).when(k == 6, F.regexp_replace(url, "^(http://[^/]+)", "$1:80")).when(k == 7, to("files.internal")).when(k == 8, to("169.254.1.1")).otherwise(url)
+    return read(spark, d, "pages").select(F.col("page_id").alias("id"), U.admitted(made).alias("reason"))
 
 
-@query("object_keys", "SELECT * FROM (VALUES (1, 'v1/latest.json'), (2, NULL), (3, 'v1/objects/a.gz'), (4, NULL), (5, NULL)) AS t(id, key)")
+@query("object_keys", """SELECT page_id AS id, CASE page_id % 5 WHEN 0 THEN 'v1/pages/' || page_id || '.json' WHEN 2 THEN 'v1/objects/' || page_id || '.gz' END AS key FROM pages""")
 def object_keys(spark, d):
-    paths = ["/v1/latest", "/v1/../x", "v1/objects/a.gz", "/v1//x", "/etc/x"]
-    return rows(spark, list(enumerate(paths, 1)), "id int, path string").select("id", U.object_key(F.col("path")).alias("key"))
+    k, own = F.col("page_id") % 5, F.col("page_id").cast("string")
+    path = F.when(k == 0, F.concat(F.lit("/v1/pages/"), own)).when(k == 1, F.concat(F.lit("/v1/../"), own)).when(k == 2, F.concat(F.lit("v1/objects/"), own, F.lit(".gz"))).when(k == 3, F.concat(F.lit("/v1//"), own)).otherwise(F.concat(F.lit("/etc/"), own))
+    return read(spark, d, "pages").select(F.col("page_id").alias("id"), U.object_key(path).alias("key"))
 
 
 @query("evidence_keys", "SELECT page_id AS id, 'raw/src-1/' || page_id || '/' || substr(sha256(html), 1, 16) || '.html' AS key FROM pages")
@@ -79,24 +83,28 @@ def evidence_keys(spark, d):
     return read(spark, d, "pages").select(F.col("page_id").alias("id"), U.evidence_key(F.lit("src-1"), F.col("page_id").cast("string"), F.sha2("html", 256)).alias("key"))
 
 
-@query("absolute_urls", "SELECT * FROM (VALUES (1, 'https://h.example/a/b'), (2, 'https://x.example/c'), (3, 'https://h.example/d'), (4, 'https://h.example/e.do')) AS t(id, url)")
+@query("absolute_urls", """SELECT page_id AS id, CASE page_id % 4 WHEN 0 THEN 'https://h.example/a/' || page_id WHEN 1 THEN 'https://x.example/' || page_id WHEN 2 THEN url ELSE 'https://h.example/e' || page_id || '.do' END AS url FROM pages""")
 def absolute_urls(spark, d):
-    refs = ["/a/b", "//x.example/c", "https://h.example/d", "./e.do"]
-    return rows(spark, list(enumerate(refs, 1)), "id int, ref string").select("id", U.absolute_url(F.lit("https://h.example/board/list.do"), F.col("ref")).alias("url"))
+    k, own = F.col("page_id") % 4, F.col("page_id").cast("string")
+    ref = F.when(k == 0, F.concat(F.lit("/a/"), own)).when(k == 1, F.concat(F.lit("//x.example/"), own)).when(k == 2, F.col("url")).otherwise(F.concat(F.lit("./e"), own, F.lit(".do")))
+    return read(spark, d, "pages").select(F.col("page_id").alias("id"), U.absolute_url(F.lit("https://h.example/board/list.do"), ref).alias("url"))
 
 
-@query("published_dates", """SELECT id, CAST(date AS DATE) AS date, CAST("at" AS TIMESTAMP) AS "at", precision FROM (VALUES (1, '2026-05-28', NULL, 'date'), (2, '2026-05-28', '2026-05-28 05:30:00', 'datetime'), (3, NULL, NULL, 'unknown'),
-(4, '2026-03-02', NULL, 'date'), (5, NULL, NULL, 'unknown'), (6, '2024-02-29', NULL, 'date'), (7, NULL, NULL, 'unknown'), (8, '2025-12-01', '2025-12-01 00:05:00', 'datetime')) AS t(id, date, "at", precision)""", days=("date",))
+@query("published_dates", """SELECT id, CASE WHEN k < 5 THEN day END AS date, CASE k WHEN 1 THEN CAST(day AS TIMESTAMP) + INTERVAL 330 MINUTE WHEN 4 THEN CAST(day AS TIMESTAMP) + INTERVAL 5 MINUTE END AS "at", CASE WHEN k IN (1, 4) THEN 'datetime' WHEN k < 5 THEN 'date' ELSE 'unknown' END AS precision
+FROM (SELECT o_orderkey AS id, o_orderkey % 7 AS k, CAST(o_orderdate + INTERVAL 28 YEAR AS DATE) AS day FROM orders)""", days=("date",))
 def published_dates(spark, d):
-    raw = ["2026-05-28", "2026-05-28 14:30", "상시", "2026년 3월 2일", "2026-02-30", "20240229", "1999-01-01", "2025.12.1 9시 05"]
-    got = rows(spark, list(enumerate(raw, 1)), "id int, raw string").withColumn("p", D.parse_published(F.col("raw")))
+    """The order's day (28 years on) in seven notations, of which two are no dates."""
+    k, day = F.col("o_orderkey") % 7, F.add_months(F.to_date("o_orderdate"), 336)
+    on = lambda form: F.date_format(day, form)
+    raw = F.when(k == 0, on("yyyy-MM-dd")).when(k == 1, on("yyyy-MM-dd 14:30")).when(k == 2, on("yyyy년 M월 d일")).when(k == 3, on("yyyyMMdd")).when(k == 4, on("yyyy.M.d 9시 05")).when(k == 5, "상시").otherwise(on("yyyy-02-30"))
+    got = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), D.parse_published(raw).alias("p"))
     return got.select("id", "p.date", F.col("p.at").cast("timestamp_ntz").alias("at"), "p.precision")
 
 
-@query("deadlines", "SELECT id, CAST(date AS DATE) AS date, precision FROM (VALUES (1, NULL, NULL), (2, '2026-03-15', 'date'), (3, '2026-04-01', 'datetime'), (4, NULL, NULL)) AS t(id, date, precision)", days=("date",))
+@query("deadlines", planted_sql("documents", "doc_id", "SELECT id, CAST(date AS DATE) AS date, precision FROM (VALUES (1, NULL, NULL), (2, '2026-03-15', 'date'), (3, '2026-04-01', 'datetime'), (4, NULL, NULL)) AS t(id, date, precision)", 4), days=("date",))
 def deadlines(spark, d):
     values = [(1, "행사 안내", "2026-03-02 에 진행합니다", None), (2, "모집", "신청 기간: 2026-03-02 ~ 2026-03-15 까지", None), (3, "모집", "마감 2026-04-01 18:00\n마감 2026-03-01", None), (4, "모집", "마감 2026-03-01", "2026-04-01")]
-    got = rows(spark, values, "id int, title string, body string, day string").withColumn("g", D.guess_deadline_udf("title", "body", F.to_date("day")))
+    got = planted(spark, d, "documents", "doc_id", values, "id int, title string, body string, day string").withColumn("g", D.guess_deadline_udf("title", "body", F.to_date("day")))
     return got.select("id", "g.date", "g.precision")
 
 
@@ -112,17 +120,17 @@ def local_days(spark, d):
     return read(spark, d, "events").groupBy(D.local_date(F.col("ts").cast("timestamp")).alias("day")).agg(F.count("*").alias("n"))
 
 
-@query("topics", "SELECT * FROM (VALUES (1, 'scholarship', 'board', ''), (2, 'graduation', 'prefix', 'academic'), (3, 'scholarship', 'board', ''), (4, 'other', 'board', ''), (5, 'other', 'fallback', ''), (6, 'program', 'title', 'event')) AS t(id, topic, rule, others)")
+@query("topics", planted_sql("documents", "doc_id", "SELECT * FROM (VALUES (1, 'scholarship', 'board', ''), (2, 'graduation', 'prefix', 'academic'), (3, 'scholarship', 'board', ''), (4, 'other', 'board', ''), (5, 'other', 'fallback', ''), (6, 'program', 'title', 'event')) AS t(id, topic, rule, others)", 6))
 def topics(spark, d):
     values = [(1, "이야기 모음", "장학"), (2, "[졸업] 2026 학사 일정", None), (3, "안내", "등록금"), (4, "아무 말", "공통"), (5, "아무 말", None), (6, "(서울캠퍼스) 멘토링 설명회", None)]
-    got = rows(spark, values, "id int, title string, board string").withColumn("c", R.classify(F.col("title"), F.col("board")))
+    got = planted(spark, d, "documents", "doc_id", values, "id int, title string, board string").withColumn("c", R.classify(F.col("title"), F.col("board")))
     return got.select("id", "c.topic", "c.rule", F.array_join("c.others", ",").alias("others"))
 
 
-@query("audiences", "SELECT * FROM (VALUES (1, 'org:a,campus:seoul', true, false), (2, 'university', false, false), (3, 'undetermined', false, false), (4, 'campus:x', false, true), (5, 'org:a,university', false, false)) AS t(id, keys, narrowed, restricted)")
+@query("audiences", planted_sql("documents", "doc_id", "SELECT * FROM (VALUES (1, 'org:a,campus:seoul', true, false), (2, 'university', false, false), (3, 'undetermined', false, false), (4, 'campus:x', false, true), (5, 'org:a,university', false, false)) AS t(id, keys, narrowed, restricted)", 5))
 def audiences(spark, d):
     values = [(1, "서울캠퍼스 안내", "", ["org:a", "university"]), (2, "전교생 안내", "", ["campus:x"]), (3, "안내", "", []), (4, "신청 자격", "서울캠퍼스와 국제캠퍼스", ["campus:x"]), (5, "재학생 전원", "", ["org:a"])]
-    got = rows(spark, values, "id int, title string, body string, defaults array<string>").withColumn("a", R.audience(F.col("title"), F.col("body"), F.col("defaults")))
+    got = planted(spark, d, "documents", "doc_id", values, "id int, title string, body string, defaults array<string>").withColumn("a", R.audience(F.col("title"), F.col("body"), F.col("defaults")))
     return got.select("id", F.array_join("a.keys", ",").alias("keys"), "a.narrowed", "a.restricted")
 
 
@@ -132,12 +140,6 @@ def board_words(spark, d):
     return t.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.lower("text").rlike("https?://|www[.]")).alias("linked"), F.count_if(F.col("text").rlike("[^ ]+@[^ ]+")).alias("mail"))
 
 
-@query("number_ranges", "SELECT * FROM (VALUES (1, '0053,0054,0057'), (2, '201'), (3, '0998,0999,1000'), (4, '100'), (5, '')) AS t(id, numbers)")
-def number_ranges(spark, d):
-    raw = ["0053~4, 0057", "201", "0998~1000", "100~150", "no digits"]
-    return rows(spark, list(enumerate(raw, 1)), "id int, raw string").select("id", F.array_join(T.expand_numbers(F.col("raw")), ",").alias("numbers"))
-
-
 @query("size_labels", "SELECT page_id AS id, CASE WHEN n < 1024 THEN n || ' B' ELSE format('{:.1f} KB', floor(n / 1024 * 10 + 0.5) / 10) END AS label FROM (SELECT page_id, strlen(html) AS n FROM pages)")
 def size_labels(spark, d):
     return read(spark, d, "pages").select(F.col("page_id").alias("id"), T.file_size(F.octet_length("html")).alias("label"))
@@ -173,11 +175,20 @@ def page_links(spark, d):
     return p.select("id", "a.href", "a.label")
 
 
-@query("host_groups", "SELECT * FROM (VALUES (1, 'b.example.org'), (2, 'example.org'), (3, 'c.d.org')) AS t(id, host_group)")
+@query("host_groups", r"""SELECT page_id AS id, CASE WHEN len(l) > 3 THEN array_to_string(l[-3:], '.') ELSE array_to_string(l, '.') END AS host_group FROM (SELECT page_id, string_split(lower(repeat('a.', CAST(page_id % 3 AS INTEGER)) || regexp_extract(url, '^https?://([^/:]+)', 1)), '.') AS l FROM pages)""")
 def host_groups(spark, d):
-    return rows(spark, [(1, "a.b.example.org"), (2, "Example.org"), (3, "a.b.c.d.org")], "id int, host string").select("id", T.host_group(F.col("host")).alias("host_group"))
+    host = F.concat(F.repeat(F.lit("A."), (F.col("page_id") % 3).cast("int")), F.regexp_extract("url", "^https?://([^/:]+)", 1))
+    return read(spark, d, "pages").select(F.col("page_id").alias("id"), T.host_group(host).alias("host_group"))
 
 
-@query("http_kinds", "SELECT * FROM (VALUES (200, NULL), (403, 'access_denied'), (404, 'not_found'), (429, 'rate_limited'), (503, 'server_error'), (418, 'http_error')) AS t(code, kind)")
+@query("http_kinds", """SELECT event_id AS id, CASE WHEN code = 429 THEN 'rate_limited' WHEN code IN (401, 403) THEN 'access_denied' WHEN code = 404 THEN 'not_found' WHEN code >= 500 THEN 'server_error' WHEN code >= 400 THEN 'http_error' WHEN event_id % 12 = 1 THEN 'too_large' END AS kind
+FROM (SELECT event_id, [200, 200, 204, 301, 401, 403, 404, 410, 418, 429, 500, 503][event_id % 12 + 1] AS code FROM events)""")
 def http_kinds(spark, d):
-    return rows(spark, [(c,) for c in (200, 403, 404, 429, 503, 418)], "code int").select("code", R.status_kind(F.col("code")).alias("kind"))
+    """A response for each event: twelve codes, one of them with too much behind it."""
+    k = F.col("event_id") % 12
+    code = F.get(F.array(*map(F.lit, (200, 200, 204, 301, 401, 403, 404, 410, 418, 429, 500, 503))), k.cast("int"))
+    size = F.when(k == 1, (8 << 20) + 1).otherwise(1000)
+    kind = F.coalesce(R.status_kind(code), R.status_kind(code, size))
+    return read(spark, d, "events").select(F.col("event_id").alias("id"), kind.alias("kind"))
+
+

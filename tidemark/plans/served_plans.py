@@ -12,7 +12,7 @@ from tidemark.functions import urls as U
 from tidemark.operators import dedupe as X
 from tidemark.operators import hierarchy as G
 
-from .binding import ITEMS_SQL, NODES_SQL, NOTICES_SQL, RUNS_SQL, items, nodes, notices, query, read, runs
+from .binding import planted, planted_sql, ITEMS_SQL, NODES_SQL, NOTICES_SQL, RUNS_SQL, items, nodes, notices, query, read, runs
 
 NOW = "2024-01-31 00:00:00"
 
@@ -51,9 +51,10 @@ def _values(rows, *columns):
     return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows) + f") AS t({', '.join(columns)})"
 
 
-@query("topic_cases", _values([(r[0], r[5], r[6]) for r in TOPIC_CASES], "id", "topic", "rule"))
+@query("topic_cases", planted_sql("documents", "doc_id", _values([(i, r[5], r[6]) for i, r in enumerate(TOPIC_CASES, 1)], "id", "topic", "rule"), len(TOPIC_CASES)))
 def topic_cases(spark, d):
-    rows = spark.createDataFrame([r[:5] for r in TOPIC_CASES], "id int, title string, board string, body string, fallback string")
+    rows = planted(spark, d, "documents", "doc_id", [(i, *r[1:5]) for i, r in enumerate(TOPIC_CASES, 1)], "id int, title string, board string, body string, fallback string")
+    rows = rows.withColumn("title", F.concat("title", F.lit(" "), F.col("own.lang")))
     c = R.classify(F.col("title"), F.col("board"), F.col("body"), F.col("fallback"))
     return rows.select("id", c["topic"].alias("topic"), c["rule"].alias("rule"))
 
@@ -67,10 +68,10 @@ def document_topics(spark, d):
     return i.groupBy(R.classify(F.col("title"), F.lit(None).cast("string"), F.col("body"))["topic"].alias("topic")).agg(F.count("*").alias("n"))
 
 
-@query("phone_numbers", _values([(1, "02-958-4616,02-958-4630"), (2, "02-961-0114"), (3, "02-961-201,02-961-202"), (4, "02-961-0053,02-961-0054,02-961-0057"), (5, "1588-1234"), (6, "02-961-999,02-961-1000,02-961-1001"), (7, ""), (8, "02-961-100"), (9, "02-958-1111,02-961-0114,02-961-2222")], "id", "numbers"))
+@query("phone_numbers", planted_sql("customer", "c_custkey", _values([(1, "02-958-4616,02-958-4630"), (2, "02-961-0114"), (3, "02-961-201,02-961-202"), (4, "02-961-0053,02-961-0054,02-961-0057"), (5, "1588-1234"), (6, "02-961-999,02-961-1000,02-961-1001"), (7, ""), (8, "02-961-100"), (9, "02-958-1111,02-961-0114,02-961-2222")], "id", "numbers"), 9))
 def phone_numbers(spark, d):
     raw = ["958-4616, 4630", "02-961-0114", "201/202", "0053~4, 0057", "1588-1234", "999~1001", "n/a", "100~150", "958-1111, 02-961-0114, 2222"]
-    return spark.createDataFrame(list(enumerate(raw, 1)), "id int, raw string").select("id", F.array_join(T.phone_numbers(F.col("raw"), "seoul"), ",").alias("numbers"))
+    return planted(spark, d, "customer", "c_custkey", list(enumerate(raw, 1)), "id int, raw string").select("id", F.array_join(T.phone_numbers(F.col("raw"), "seoul"), ",").alias("numbers"))
 
 
 @query("customer_numbers", "SELECT c_custkey AS id, '02-961-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') || ',02-961-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS numbers FROM customer")
@@ -79,10 +80,10 @@ def customer_numbers(spark, d):
     return read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.array_join(T.phone_numbers(F.concat(n, F.lit(" / "), n), "seoul"), ",").alias("numbers"))
 
 
-@query("number_lines", _values([(1, True), (2, True), (3, False), (4, False)], "id", "numeric").replace("True", "true").replace("False", "false"))
+@query("number_lines", planted_sql("customer", "c_custkey", _values([(1, True), (2, True), (3, False), (4, False)], "id", "numeric").replace("True", "true").replace("False", "false"), 4))
 def number_lines(spark, d):
     raw = ["0053~4, 0057", "02-961/ 0114", "학사지원팀", "전화번호부"]
-    return spark.createDataFrame(list(enumerate(raw, 1)), "id int, line string").select("id", T.is_number_line(F.col("line")).alias("numeric"))
+    return planted(spark, d, "customer", "c_custkey", list(enumerate(raw, 1)), "id int, line string").select("id", T.is_number_line(F.col("line")).alias("numeric"))
 
 
 @query("dial_labels", "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey || '~9' WHEN s_suppkey % 3 = 1 THEN '02-961-' || s_suppkey || '~9' ELSE '02-961-' || s_suppkey END AS label FROM supplier")
@@ -103,11 +104,14 @@ def poster_keys(spark, d):
     return p.select(k.alias("id"), F.array_join(F.array_sort(U.poster_keys(H.image_sources(F.col("html")))), ",").alias("keys"))
 
 
-@query("poster_pages", r"""SELECT page_id AS id FROM pages WHERE regexp_matches(html, '<img\s') AND length(trim(regexp_replace(html, '<[^>]*>', '', 'g'))) < 2000""")
+@query("poster_pages", r"""SELECT page_id AS id, 'http://h1.example.org/p' || page_id || '.png' AS image FROM pages WHERE page_id % 3 = 0""")
 def poster_pages(spark, d):
-    """Pages that have a picture and little text beside it."""
-    words = F.length(F.trim(F.regexp_replace("html", "<[^>]*>", "")))
-    return read(spark, d, "pages").where(F.col("html").rlike(r"<img\s") & (words < 2000)).select(F.col("page_id").alias("id"))
+    """Pages by the picture that stands for them: a third of them are made a picture with a few words, a third get a picture beside their text."""
+    k, own = F.col("page_id") % 3, F.col("page_id").cast("string")
+    picture = F.concat(F.lit('<img src="http://h1.example.org/p'), own, F.lit('.png">'))
+    html = F.when(k == 0, F.concat(F.lit("<p>Poster "), own, F.lit("</p>"), picture)).when(k == 1, F.concat(picture, "html")).otherwise(F.col("html"))
+    p = read(spark, d, "pages").select(F.col("page_id").alias("id"), html.alias("html"))
+    return p.select("id", H.poster_image(H.html_text_udf("html"), H.image_sources(F.col("html"))).alias("image")).where("image IS NOT NULL")
 
 
 @query("campus_bypass", "SELECT 'browse' AS mode, count(*) AS n FROM orders WHERE o_custkey % 2 = 1 UNION ALL SELECT 'search', count(*) FROM orders")
@@ -166,10 +170,9 @@ def notice_projection(spark, d):
 @query("relative_times", f"""WITH {RUNS_SQL}, a AS (SELECT id, greatest(0, floor((epoch(TIMESTAMP '{NOW}') - epoch(ts)) / 60)) AS m FROM runs)
 SELECT id, CASE WHEN m < 1 THEN '방금' WHEN m < 60 THEN CAST(m AS INTEGER) || '분 전' WHEN m < 1440 THEN CAST(floor(m / 60) AS INTEGER) || '시간 전' ELSE CAST(floor(m / 1440) AS INTEGER) || '일 전' END AS label, m < 1440 AS is_new FROM a""")
 def relative_times(spark, d):
-    m = F.greatest(F.lit(0), F.floor((F.unix_micros(now()) - F.unix_micros("ts")) / 60_000_000))
-    whole = lambda n, unit: F.concat(F.floor(m / n).cast("string"), F.lit(unit))
-    label = F.when(m < 1, "방금").when(m < 60, whole(1, "분 전")).when(m < 1440, whole(60, "시간 전")).otherwise(whole(1440, "일 전"))
-    return runs(spark, d).select("id", label.alias("label"), (m < 1440).alias("is_new"))
+    from tidemark.functions import dates as D
+
+    return runs(spark, d).select("id", D.relative_label(F.col("ts"), now()).alias("label"), D.is_new(F.col("ts"), now()).alias("is_new"))
 
 
 @query("last_checked", f"""WITH {RUNS_SQL}, h AS (SELECT source, max(ts) + INTERVAL 9 HOUR AS t FROM runs GROUP BY source), a AS (SELECT *, CAST(TIMESTAMP '{NOW}' + INTERVAL 9 HOUR AS DATE) - CAST(t AS DATE) AS days FROM h)
@@ -192,23 +195,24 @@ def admission_years(spark, d):
     return read(spark, d, "part").select(k.alias("id"), F.when(year.between(1950, 2100), year).alias("year"))
 
 
-@query("two_digit_years", _values([(1, "2026-03-05"), (2, "2026-03-05"), (3, "2024-01-31"), (4, None)], "id", "day"))
+@query("two_digit_years", f"SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 2 THEN CAST(CAST(TIMESTAMP '{NOW}' + INTERVAL 9 HOUR AS DATE) AS VARCHAR) WHEN 3 THEN NULL ELSE strftime(o_orderdate + INTERVAL 28 YEAR, '%Y-%m-%d') END AS day FROM orders")
 def two_digit_years(spark, d):
     """Board dates: a year of two digits is of this century, a clock alone is today."""
-    from tidemark.functions.dates import parse_published
+    from tidemark.functions import dates as D
 
-    rows = spark.createDataFrame([(1, "26-03-05"), (2, "2026.03.05"), (3, "14:05"), (4, "어제")], "id int, raw string")
-    today = F.date_format(F.from_utc_timestamp(now(), "Asia/Seoul"), "yyyy-MM-dd")
-    raw = F.when(F.col("raw").rlike(r"^\d{1,2}:\d{2}$"), F.concat(today, F.lit(" "), F.col("raw"))).otherwise(F.regexp_replace("raw", r"^(\d{2})([-./])(\d{1,2})[-./](\d{1,2})$", "20$1$2$3$2$4"))
-    return rows.select("id", parse_published(raw)["date"].cast("string").alias("day"))
+    k, day = F.col("o_orderkey") % 4, F.add_months(F.to_date("o_orderdate"), 336)
+    raw = F.when(k == 0, F.date_format(day, "yy-MM-dd")).when(k == 1, F.date_format(day, "yyyy.MM.dd")).when(k == 2, "14:05").otherwise("어제")
+    return read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), D.parse_published(D.board_date(raw, D.local_date(now())))["date"].cast("string").alias("day"))
 
 
-@query("deadlines_with_zone", _values([(1, "2026-03-01 00:00:00"), (2, None), (3, "2026-02-28 15:00:00")], "id", '"at"'))
+@query("deadlines_with_zone", """SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d 00:00:00') WHEN 1 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d 15:00:00') END AS "at" FROM orders""")
 def deadlines_with_zone(spark, d):
     """A deadline counts only with its offset from UTC."""
-    rows = spark.createDataFrame([(1, "2026-03-01T09:00:00+09:00"), (2, "2026-03-01T09:00:00"), (3, "2026-02-28T15:00:00Z")], "id int, raw string")
-    at = F.when(F.col("raw").rlike(r"([+-]\d{2}:\d{2}|Z)$"), F.try_to_timestamp("raw"))
-    return rows.select("id", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("at"))
+    from tidemark.functions import dates as D
+
+    k, day = F.col("o_orderkey") % 3, F.date_format("o_orderdate", "yyyy-MM-dd")
+    raw = F.concat(day, F.when(k == 0, "T09:00:00+09:00").when(k == 1, "T09:00:00").otherwise("T15:00:00Z"))
+    return read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.date_format(D.zoned(raw), "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
 @query("active_health", "SELECT c_custkey AS id, n_name AS owner, r_name AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 2 = 0 LEFT JOIN region ON n_regionkey = r_regionkey")
@@ -302,19 +306,27 @@ def merged_shards(spark, d):
     return shards.groupBy("key").agg(F.max_by("newest", "newest").alias("newest"))
 
 
-@query("site_names", r"SELECT s_suppkey AS id, trim(regexp_replace(s_name, '[#\s]+', ' ', 'g')) AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'department' WHEN s_suppkey % 3 = 1 THEN 'office' ELSE 'institute' END AS kind FROM supplier")
+#: what is put behind a supplier's name, what of it stays, and the kind that follows with a site of the given kind
+SITES = [
+    (1, " 화학과25", "ETC", " 화학과", "department"), (2, "<br/> 입학처 (국문)", "COLLEGE", " 입학처", "office"), (3, "  연구소 (개발중)", "ATTACHED", " 연구소", "institute"),
+    (4, " 건강센터(서울) (오비스홀 152호)", None, " 건강센터(서울)", "institute"), (5, " 커뮤니케이션21", "GRADUATE", " 커뮤니케이션21", "college"), (6, " 디지털콘텐츠학부 (영문) (임시)", "ETC", " 디지털콘텐츠학부 (영문)", "office"),
+]
+
+
+@query("site_names", f"SELECT s.s_suppkey AS id, s_name || c.stays AS name, c.kind FROM supplier s JOIN ({_values([(r[0], r[3], r[4]) for r in SITES], 'id', 'stays', 'kind')}) c ON c.id = s.s_suppkey % {len(SITES)} + 1")
 def site_names(spark, d):
-    """Names without noise; the kind of an organization by how its name ends."""
-    k = F.col("s_suppkey")
-    named = F.concat("s_name", F.when(k % 3 == 0, " 화학과").when(k % 3 == 1, " 입학처").otherwise(""))
-    kind = F.when(named.rlike("(학과|학부|전공)$"), "department").when(named.rlike("(처|팀|실)$"), "office").otherwise("institute")
-    return read(spark, d, "supplier").select(k.alias("id"), F.trim(F.regexp_replace("s_name", r"[#\s]+", " ")).alias("name"), kind.alias("kind"))
+    """Names without noise; the kind of an organization by how its name ends, else by its site's."""
+    p = planted(spark, d, "supplier", "s_suppkey", [r[:3] for r in SITES], "id int, more string, site_kind string")
+    name = T.site_name(F.concat("own.s_name", "more"))
+    return p.select("id", name.alias("name"), T.organization_kind(name, F.col("site_kind")).alias("kind"))
 
 
-@query("url_aliases", r"SELECT page_id AS id, rtrim(regexp_replace(url, '[?#].*$', ''), '/') AS alias FROM pages WHERE rtrim(regexp_replace(url, '[?#].*$', ''), '/') <> url AND rtrim(regexp_replace(url, '[?#].*$', ''), '/') NOT IN (SELECT url FROM pages WHERE url IS NOT NULL)")
+@query("url_aliases", r"""WITH u AS (SELECT page_id AS id, url, regexp_extract(url, '^([A-Za-z]+)://', 1) AS s, regexp_extract(url, '://([^/?#]*)', 1) AS h, rtrim(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/') AS p, regexp_extract(url, '[?]([^#]*)', 1) AS q FROM pages),
+c AS (SELECT id, url, lower(s) || '://' || lower(h) || p || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_'))), '&'), ''), '') AS alias FROM u)
+SELECT id, alias FROM c WHERE alias <> url AND alias NOT IN (SELECT url FROM pages WHERE url IS NOT NULL)""")
 def url_aliases(spark, d):
     """Canonical addresses that differ from the page's own and are no page's."""
-    p = read(spark, d, "pages").withColumn("alias", F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), "/+$", ""))
+    p = read(spark, d, "pages").withColumn("alias", U.canonical_url(F.col("url")))
     seen = read(spark, d, "pages").select(F.col("url").alias("alias"))
     return p.where("alias <> url").join(seen, "alias", "left_anti").select(F.col("page_id").alias("id"), "alias")
 
@@ -373,9 +385,9 @@ WATCHDOG = [
 ]
 
 
-@query("watchdog_cases", _values([(r[0], r[8]) for r in WATCHDOG], "id", "decision"))
+@query("watchdog_cases", planted_sql("customer", "c_custkey", _values([(r[0], r[8]) for r in WATCHDOG], "id", "decision"), len(WATCHDOG)))
 def watchdog_cases(spark, d):
-    rows = spark.createDataFrame([r[:8] for r in WATCHDOG], "id int, total int, remaining int, until string, active int, failures int, minutes int, recent int")
+    rows = planted(spark, d, "customer", "c_custkey", [r[:8] for r in WATCHDOG], "id int, total int, remaining int, until string, active int, failures int, minutes int, recent int")
     return rows.select("id", R.watchdog(F.col("total"), F.col("remaining"), F.to_timestamp("until"), F.col("active"), F.col("failures"), F.col("minutes"), F.col("recent"), now()).alias("decision"))
 
 

@@ -32,9 +32,14 @@ def tree_aliases(spark, d):
     return H.drawn(nodes(spark, d))
 
 
-@query("tree_cycles", "SELECT * FROM (VALUES ('a'), ('b'), ('c')) AS t(id)")
+@query("tree_cycles", "SELECT 'c' || c_custkey AS id FROM customer WHERE c_custkey % 23 = 8")
 def tree_cycles(spark, d):
-    return H.cyclic(spark.createDataFrame([("a", "c"), ("b", "a"), ("c", "b"), ("d", "a"), ("e", None)], "id string, parent string"))
+    """The node table with a ring among the customers: one in 23 has the next such one as its parent, the last the first."""
+    k = F.col("_k")
+    n = nodes(spark, d).select("id", "parent").withColumn("_k", F.expr("CASE WHEN id LIKE 'c%' THEN CAST(substring(id, 2) AS BIGINT) END"))
+    most = n.agg(F.max(F.when(k % 23 == 8, k))).first()[0]
+    up = F.concat(F.lit("c"), F.when(k == most, F.lit(8).cast("long")).otherwise(k + 23).cast("string"))
+    return H.cyclic(n.select("id", F.when(k % 23 == 8, up).otherwise(F.col("parent")).alias("parent")))
 
 
 @query("tree_counts", f"WITH RECURSIVE {CLOSURE} SELECT ancestor AS node, count(DISTINCT o_orderkey) AS notices FROM c JOIN orders ON descendant = 'c' || o_custkey GROUP BY ancestor")
