@@ -52,18 +52,25 @@ def drawn(nodes: DataFrame) -> DataFrame:
     return nodes.select("id").join(nearest, "id", "left").select("id", F.coalesce("drawn_id", "id").alias("drawn_id"))
 
 
-def cyclic(nodes: DataFrame) -> DataFrame:
-    """Ids that lie on a cycle of whatever length; ``nodes(id, parent)`` has one parent per id.
+def _endless(nodes: DataFrame) -> DataFrame:
+    """``(id, to)`` of the nodes whose way up never ends, and a node on the cycle that it leads to.
 
-    The step from child to parent is doubled: after as many steps as the longest way into a cycle, what is still reached are the nodes on cycles
-    alone, and then the number of nodes reached no longer falls. A round is one join; rounds are the logarithm of that way.
+    The step from child to parent is doubled: after as many steps as the longest way that ends, or leads into a cycle, what is still reached are
+    the nodes on cycles alone, and then the number of nodes reached no longer falls. A round is one join; rounds are the logarithm of that way.
     """
     step = settled(nodes.where("parent IS NOT NULL").select(F.col("id"), F.col("parent").alias("to")))
     reached = -1
-    while True:
-        image = step.select(F.col("to").alias("id")).distinct()
-        n = image.count()
-        if n == reached:
-            return image
+    while (n := step.select("to").distinct().count()) != reached:
         reached = n
         step = settled(dealt_join(step, step.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")))
+    return step
+
+
+def cyclic(nodes: DataFrame) -> DataFrame:
+    """Ids that lie on a cycle of whatever length; ``nodes(id, parent)`` has one parent per id."""
+    return _endless(nodes).select(F.col("to").alias("id")).distinct()
+
+
+def rootless(nodes: DataFrame) -> DataFrame:
+    """Ids that lie on a cycle or below one."""
+    return _endless(nodes).select("id").distinct()
