@@ -6,7 +6,9 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import html as H
 from tidemark.operators import auditing as A
+from tidemark.operators import frontier as R
 from tidemark.streaming import collection as C
 
 from .binding import query, read
@@ -162,3 +164,19 @@ def registry_violations(spark, d):
     # what an alias stands for must be among those that are none
     tables = {"organizations": orgs, "campuses": campuses, "aliases": orgs.join(orgs.select(F.col("id").alias("t")).distinct(), F.col("alias_of") == F.col("t"), "left_semi"), "real": orgs.groupBy("id").agg(F.max("alias_of").alias("a")).where("a IS NULL").select("id")}
     return A.violations(tables, rules, {"organizations": "id", "aliases": "id", "campuses": "code", "real": "id"})
+
+
+def page_graph(spark, d: str):
+    """Pages as those of ten hosts: a page is found at the address of its menu's first entry (the smallest page, where several have one), and links to all."""
+    p = read(spark, d, "pages").select("page_id", F.concat(F.lit("h"), (F.col("page_id") % 10).cast("string")).alias("host"), H.anchors(F.col("html")).alias("l")).where(F.size("l") > 0)
+    p = p.withColumn("path", F.col("l")[0]["href"])
+    first = p.groupBy("host", "path").agg(F.min_by("l", "page_id").alias("l"), F.min("page_id").alias("page_id"))
+    links = first.select("host", "path", F.posexplode("l").alias("pos", "a")).select("host", "path", "pos", F.col("a.href").alias("target"))
+    homes = first.groupBy("host").agg(F.min_by("path", "page_id").alias("path"))
+    return homes, first.select("host", "path"), links
+
+
+@query("frontier_visits")
+def frontier_visits(spark, d):
+    """What a visit of each host from its first page on sees, and why it stops. Tests hold it against a queue in Python."""
+    return R.visits(*page_graph(spark, d), depth=3, budget=12)
