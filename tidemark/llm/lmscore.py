@@ -89,7 +89,7 @@ ASKS = "chunk long, bucket int, rows binary, docs binary, sizes binary, keys bin
 ANSWERS = "chunk long, rows binary, docs binary, sizes binary, kind binary, ids binary, t binary, b binary, asked int"
 FOUND = "row long, doc_id long, tokens long, t double, b double"
 #: asks in one bucket, about
-BUCKET = 1 << 21
+BUCKET = 1 << 20
 #: kinds of an ask: for a bigram, a word, a word that also ends the text
 BIGRAM, WORD, LAST = 0, 1, 2
 
