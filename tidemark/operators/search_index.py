@@ -43,7 +43,7 @@ def grams(c: Column) -> Column:
 
 
 def _bucket(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(F.substring(gram, 1, 1)), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.ascii(gram), F.lit(BUCKETS)).cast("int")
 
 
 @dataclass
@@ -108,10 +108,13 @@ class Page:
     read: dict[str, int] = field(default_factory=dict)
 
 
+def _runs(word: str) -> list[str]:
+    return sorted({word[i : i + 3] for i in range(len(word) - 2)})
+
+
 def _posting_filter(word: str) -> Column:
     """Postings that a word needs: its runs, or, for a word of one or two characters, the runs that begin with it."""
-    runs = sorted({word[i : i + 3] for i in range(len(word) - 2)})
-    return F.col("gram").isin(runs) if runs else F.col("gram").startswith(word)
+    return F.col("gram").isin(_runs(word)) if _runs(word) else F.col("gram").startswith(word)
 
 
 def search(index: Index, q: str, limit: int = 20, at: str | None = None, category: list[str] | None = None, source: list[str] | None = None, organization: list[str] | None = None) -> Page:
@@ -147,68 +150,47 @@ def search(index: Index, q: str, limit: int = 20, at: str | None = None, categor
         return F.when(n > 0, sum(best, F.lit(0)) + p + F.when(n == len(words), ALL_WORDS * len(words)).otherwise(0)).otherwise(0).cast("long")
 
     cells = cells.select("cell", "n", *columns, total([F.col(c) for c in columns[:-1]], F.col("p")).alias("base")).cache()
+    entries, postings = index.table("entries"), index.table("postings")
+    best_of = lambda i: F.greatest(_worth(WEIGHTS["title"][1], F.col("text"), F.col("tight"), words[i]), F.col(f"w{i}"))
+    whole_of = F.greatest(_worth(WEIGHTS["title"][0], F.col("text"), F.col("tight"), phrase), F.col("p")) if several else F.lit(0)
+
+    def first_of(some: DataFrame) -> list[tuple]:
+        """The best ``need`` of some entries, exactly scored: what the page and those before it can take of them."""
+        scores = some.join(cells, "cell").select("id", "key", total([best_of(i) for i in range(len(words))], whole_of).alias("score")).where("score > 0")
+        return [(r.score, r.key, r.id) for r in scores.orderBy(F.col("score").desc(), "key").limit(need).collect()]
+
     try:
-        tops = cells.agg(*(F.max(c).alias(c) for c in columns)).first()
-        cell_best = [tops[c] or 0 for c in columns]
-        sizes = index.table("sizes")
-        lengths = {}
-        for w in dict.fromkeys(words):
-            # a word's postings are no more than its rarest run's
-            n = sizes.where(_posting_filter(w)).agg((F.min if len(w) > 2 else F.sum)("n").alias("n"), F.count("*").alias("runs")).first()
-            lengths[w] = n.n if n.n and (len(w) <= 2 or n.runs == len({w[i : i + 3] for i in range(len(w) - 2)})) else 0
-        entries = index.table("entries")
-        best_of = lambda i: F.greatest(_worth(WEIGHTS["title"][1], F.col("text"), F.col("tight"), words[i]), F.col(f"w{i}"))
-        whole_of = F.greatest(_worth(WEIGHTS["title"][0], F.col("text"), F.col("tight"), phrase), F.col("p")) if several else F.lit(0)
-
-        def scored(some: DataFrame) -> DataFrame:
-            return some.join(cells, "cell").select("id", "key", total([best_of(i) for i in range(len(words))], whole_of).alias("score"))
-
-        def from_cells(k: int) -> DataFrame:
-            """The first ``k`` entries by what their cells give, exactly scored: cells of less than the k-th such entry's are not read."""
-            by_base = {r.base: r.n for r in cells.where("base > 0").groupBy("base").agg(F.sum("n").alias("n")).collect()}  # as many rows as scores
-            seen, least = 0, None
-            for base in sorted(by_base, reverse=True):
-                least, seen = base, seen + by_base[base]
-                if seen >= k:
-                    break
-            return entries.limit(0) if least is None else entries.join(cells.where(F.col("base") >= least).select("cell"), "cell", "left_semi")
-
-        opened: list[str] = []
-        named_ids = None
-        read = {"postings": 0, "entries": index.table("cells").agg(F.sum("n")).first()[0] or 0, "cells": cells.count()}
-        pending = sorted((w for w in lengths if lengths[w]), key=lambda w: lengths[w])
-        best = scored(from_cells(need)).orderBy(F.col("score").desc(), "key").limit(need).cache()
-        while True:
-            last = best.agg(F.count("*").alias("n"), F.min("score").alias("low")).first()
-            floor = last.low if last.n >= need else 0
-            free = [w not in opened and w in pending for w in words]
+        # cells by what they give: as many rows as scores
+        by_base = cells.groupBy("base").agg(F.sum("n").alias("n"), *(F.max(c).alias(c) for c in columns)).collect()
+        cell_best = [max((r[c] for r in by_base), default=0) for c in columns]
+        seen, least = 0, None
+        for r in sorted((r for r in by_base if r.base > 0), key=lambda r: -r.base):
+            least, seen = r.base, seen + r.n
+            if seen >= need:
+                break
+        distinct = list(dict.fromkeys(words))
+        # a word's entries are no more than its rarest run's, and none where a run is nowhere
+        asked = [x for w in distinct for x in (F.count_if(_posting_filter(w)), F.sum(F.when(_posting_filter(w), F.col("n"))), (F.min if _runs(w) else F.sum)(F.when(_posting_filter(w), F.col("n"))))]
+        got = list(index.table("sizes").agg(*(x.alias(f"x{i}") for i, x in enumerate(asked))).first())
+        lengths = {w: (got[3 * i + 2] or 0, got[3 * i + 1] or 0) for i, w in enumerate(distinct) if got[3 * i] >= max(1, len(_runs(w)))}
+        best = first_of(entries.join(cells.where(F.col("base") >= least).select("cell"), "cell", "left_semi")) if least is not None else []
+        opened, read = [], 0
+        for word in sorted(lengths, key=lambda w: lengths[w]):
+            floor = best[need - 1][0] if len(best) >= need else 0
+            free = [w in lengths and w not in opened for w in words]
             reach = sum(max(WEIGHTS["title"][1], b) if f else b for f, b in zip(free, cell_best))
             reach += max(cell_best[-1], WEIGHTS["title"][0] if several and all(free) else 0)
             reach += ALL_WORDS * len(words) if all(f or b for f, b in zip(free, cell_best)) else 0
-            if not any(free) or reach < floor:
+            if reach < floor:
                 break
-            word = next(w for w in pending if w not in opened)
             opened.append(word)
-            runs = len({word[i : i + 3] for i in range(len(word) - 2)}) or 1
-            post = index.table("postings").where(_posting_filter(word) & F.col("bucket").isin(_buckets(spark, word)))
-            read["postings"] += sum(r.n for r in sizes.where(_posting_filter(word)).agg(F.sum("n").alias("n")).collect() if r.n)
-            ids = post.groupBy("id").agg(F.count_distinct("gram").alias("c")).where(F.col("c") >= runs).select("id")
-            named_ids = ids if named_ids is None else named_ids.union(ids).distinct()
-            both = entries.join(named_ids, "id", "left_semi").unionByName(from_cells(need)).dropDuplicates(["id"])
-            newer = scored(both).where("score > 0").orderBy(F.col("score").desc(), "key").limit(need).cache()
-            newer.count()
-            best.unpersist()
-            best = newer
-        hits = [(k, r.id, r.score) for k, r in enumerate(best.where("score > 0").orderBy(F.col("score").desc(), "key").collect())][start:need]  # one page and one more
-        best.unpersist()
+            read += lengths[word][1]
+            firsts = {ord(word[i]) % BUCKETS for i in range(max(1, len(word) - 2))}
+            ids = postings.where(_posting_filter(word) & F.col("bucket").isin(sorted(firsts))).groupBy("id").agg(F.count_distinct("gram").alias("c")).where(F.col("c") >= max(1, len(_runs(word)))).select("id")
+            found = {x[2]: x for x in [*best, *first_of(entries.join(ids, "id", "left_semi"))]}
+            best = sorted(found.values(), key=lambda x: (-x[0], x[1]))[:need]
     finally:
         cells.unpersist()
-    more = len(hits) > limit
+    hits = [(k, x[2], x[0]) for k, x in enumerate(best)][start:]  # one page and one more
     rows = spark.createDataFrame(hits[:limit], empty.schema) if hits else empty
-    return Page(rows, cursor(start + limit, index.revision) if more else None, read | {"opened": len(opened), "words": len(lengths)})
-
-
-def _buckets(spark: SparkSession, word: str) -> list[int]:
-    """Folders of the runs of a word."""
-    firsts = sorted({word[i] for i in range(max(1, len(word) - 2))})
-    return [r.b for r in spark.createDataFrame([(c,) for c in firsts], "c string").select(_bucket(F.col("c")).alias("b")).distinct().collect()]
+    return Page(rows, cursor(start + limit, index.revision) if len(hits) > limit else None, {"postings": read, "opened": len(opened), "words": len(lengths)})
