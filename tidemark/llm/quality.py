@@ -160,7 +160,10 @@ def scored(docs: DataFrame, model: Model | None, column: str = "score") -> DataF
 
 
 def accepted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject."""
+    """The rows of ``docs`` that the classifier does not reject, with all their columns, whatever their names; repeated rows are judged alike.
+
+    Null and empty texts are scored as empty texts. Without any labelled row all stay; empty documents give none.
+    """
     from .common import fresh
 
     name = fresh(docs, "quality_score")
