@@ -7,6 +7,12 @@
 
 Each stage takes ``(spark, docs, sf_dir)``; what it returns is written and read again
 before the next.
+
+Rows with nulls in any column, empty and very long texts, ties, repeated rows and extra columns, also of clashing names, go through: null and empty
+texts are judged by the classifier as empty texts; what it keeps of them stays in the second stage, as texts without words are nobody's
+copies; they are drawn like others in the third (of size 0), and take one token in the last. Repeated rows are copies of each
+other. doc_id is read as a long. Columns that a stage does not know are kept up to the last, whose columns are its own. Empty documents give an
+empty result; without any label the classifier keeps every document.
 """
 
 from __future__ import annotations
