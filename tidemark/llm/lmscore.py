@@ -89,7 +89,7 @@ ASKS = "chunk long, bucket int, rows binary, docs binary, sizes binary, keys bin
 ANSWERS = "chunk long, rows binary, docs binary, sizes binary, kind binary, ids binary, t binary, b binary, asked int"
 FOUND = "row long, doc_id long, tokens long, t double, b double"
 #: asks in one bucket, about
-BUCKET = 1 << 20
+BUCKET = 1 << 21
 #: kinds of an ask: for a bigram, a word, a word that also ends the text
 BIGRAM, WORD, LAST = 0, 1, 2
 
@@ -139,7 +139,7 @@ def _target_values(target: DataFrame, known: DataFrame, discount: float) -> tupl
     return cut(stands.union(as_context.union(as_word).groupBy("key").agg(F.sum("x").alias("x"), F.sum("u").alias("u"))), "lm-target-values"), rest
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, discount: float = DISCOUNT) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, discount: float = DISCOUNT, from_files: bool = False) -> DataFrame:
     """``docs(doc_id, text)`` and ``target(text)`` to ``doc_id, n_tokens, target_loss, background_loss,
     score``, one row per row of ``docs``.
 
@@ -162,7 +162,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, discount: float
        what the target has of it. Asks of many documents for one bucket travel in one row, 8 bytes each; answers are two sums for
        each document that asked there.
     3. What came of them is added up per portion of documents, and to what each had from the frequent ones. A portion's rows are
-       in order of their keys, so a task that runs again asks the same; a portion whose answers are not all there is an error.
+       in order of their keys, so a task that runs again asks the same; only where ``from_files`` says that ``docs`` are read as they lie in
+       files, whose order is fixed, they need no sort. A portion whose answers are not all there is an error.
 
     doc_id is read as a long. Null texts and texts without words have 0 tokens and null losses and score. Repeated rows are scored each.
     Without target text the target model is uniform over the words. Extra columns are left aside.
@@ -295,8 +296,9 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, discount: float
             np.add.at(sums, who, joined(parts[c], "<f8") / copies_of)
         return pd.concat([pd.DataFrame({"row": row, "doc_id": doc_id, "tokens": tokens, "t": t, "b": b})] * copies_of)
 
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("row"))
     # in order of the rows' keys, so that a task that runs again makes the same portions in whatever order its rows come
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("row")).sortWithinPartitions("row")
+    rows = rows if from_files else rows.sortWithinPartitions("row")
     asked = rows.mapInArrow(ask, ASKS)
     # the bucket of a key as an unsigned number
     unsigned = F.when(F.col("key") >= 0, F.pmod("key", F.lit(buckets))).otherwise(F.pmod(F.pmod("key", F.lit(buckets)) + F.lit(2**64 % buckets), F.lit(buckets)))
@@ -309,4 +311,4 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, discount: float
 
 def op9_lm_score(spark, sf_dir: str) -> DataFrame:
     """Documents scored against the benchmark's texts as target."""
-    return cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), from_files=True)
