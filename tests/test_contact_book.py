@@ -68,3 +68,18 @@ def test_empty_list_and_addresses(spark):
     rows = [("phone", "1"), ("email", "a@b"), ("website", "https://x"), ("fax", "1"), ("phone", ""), ("phone", None), (None, "1")]
     urls = spark.createDataFrame(rows, "kind string, value string").select(B.action_url(F.col("kind"), F.col("value")).alias("u"))
     assert [r.u for r in urls.collect()] == ["tel:1", "mailto:a@b", "https://x", None, None, None, None]
+
+
+def test_matching(spark):
+    ddl = "id string, organization string, service string, location string, note string, channels array<struct<priority:int,kind:string,display:string,value:string>>, campuses array<string>"
+    rows = [("a", "Office", "Help", None, None, [(0, "phone", "02-1", "0201"), (1, "email", "A@b", None)], ["s"]), ("b", "Desk", None, "Hall", "note", None, None), ("c", None, None, None, None, [], ["g", "s"])]
+    served = spark.createDataFrame(rows, ddl)
+    ids = lambda *a, **k: sorted(r.id for r in B.matching(served, *a, **k).collect())
+    assert ids() == ids(F.lit("")) == ids(F.lit(None).cast("string"), [], []) == ["a", "b", "c"]
+    assert ids(F.lit("a@B")) == ids(F.lit("HELP 02-1 a@b")) == ["a"]
+    assert ids(F.lit("hall")) == ids(organizations=["Desk"]) == ["b"]
+    assert ids(campuses=["g", "x"]) == ["c"] and ids(campuses=["s"]) == ["a", "c"]
+    assert ids(F.lit("help"), ["g"]) == ids(F.lit("nowhere")) == []
+    with_path = served.withColumn("path", F.when(F.col("id") == "b", F.array(F.lit("Top"), F.lit("Mid"))))
+    assert [r.id for r in B.matching(with_path, F.lit("mid top")).collect()] == []
+    assert [r.id for r in B.matching(with_path, F.lit("desk top mid hall")).collect()] == ["b"]

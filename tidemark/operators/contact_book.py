@@ -101,3 +101,18 @@ def reached(book: dict[str, DataFrame]) -> DataFrame:
     names = book["organizations"].groupBy(F.col("id").alias("organization")).agg(F.min("name").alias("name"))
     got = dealt_join(book["entries"], names, "organization", "left").drop("organization").join(c, "id", "left").join(p, "id", "left").join(e, "id", "left")
     return got.select("id", F.col("name").alias("organization"), "service", "location", "status", "note", "channels", "campuses", F.coalesce("evidence", F.lit(0).cast("long")).alias("evidence"))
+
+
+def matching(served: DataFrame, text: Column | None = None, campuses: list[str] | None = None, organizations: list[str] | None = None) -> DataFrame:
+    """Of :func:`reached` the entries of any of the ``campuses``, of one of the ``organizations`` (by name), in which ``text`` occurs, whatever its case, in the
+    organization, its ``path`` (array; where the entries have one), the service, the location or the channels as displayed, joined by blanks. What is not given, or is empty, does not filter."""
+    got = served
+    if campuses:
+        got = got.where(F.arrays_overlap(F.coalesce("campuses", F.array().cast("array<string>")), F.array(*map(F.lit, campuses))))
+    if organizations:
+        got = got.where(F.col("organization").isin(*organizations))
+    if text is not None:
+        path = [F.array_join("path", " ")] if "path" in served.columns else []
+        words = F.lower(F.concat_ws(" ", "organization", *path, "service", "location", F.array_join(F.transform("channels", lambda x: x["display"]), " ")))
+        got = got.where(F.contains(words, F.lower(F.coalesce(text, F.lit("")))))
+    return got

@@ -64,3 +64,11 @@ def contact_import(spark, d):
 @query("contact_import_counts", """SELECT sum(CASE WHEN c_custkey % 4 = 0 AND c_custkey % 5 <> 0 THEN 0 ELSE 1 END) AS created, sum(CASE WHEN c_custkey % 4 = 0 AND c_custkey % 5 <> 0 THEN 1 ELSE 0 END) + sum(CASE WHEN c_custkey % 10 = 1 THEN 1 ELSE 0 END) AS updated FROM customer""")
 def contact_import_counts(spark, d):
     return B.imported(rows(spark, d), **stored(spark, d), root="university")["counts"]
+
+
+@query("contacts_matched", f"""SELECT note, organization, service FROM ({BOOK_SQL}) WHERE contains(campuses, 'g') AND organization NOT LIKE 'club%' AND contains(lower(concat_ws(' ', organization, service, location, channels)), 'second')""")
+def contacts_matched(spark, d):
+    """Contacts of one campus, of the nations' organizations, by a word."""
+    nations = [r.n_name for r in read(spark, d, "nation").select("n_name").collect()]  # 25 names
+    served = B.reached(B.imported(rows(spark, d), **stored(spark, d), root="university"))
+    return B.matching(served, F.lit("SECOND"), ["g"], nations).select(F.coalesce("note", F.lit("-")).alias("note"), "organization", "service")
