@@ -63,3 +63,25 @@ def test_pages_without_text_or_links(spark):
     rows = spark.createDataFrame([(1, None), (2, ""), (3, '<a href="?page=99999999999">x</a>'), (4, '<a href="/a">b.pdf (1.2.3KB)</a><a href="/c">b.pdf (2MB)</a>')], "id int, html string")
     got = {r.id: (r.more, [tuple(x) for x in r.files]) for r in rows.select("id", L.has_next(F.col("html"), F.lit(1)).alias("more"), L.attachments(F.col("html")).alias("files")).collect()}
     assert got == {1: (False, []), 2: (False, []), 3: (False, []), 4: (False, [("b.pdf", "pdf", None, "/a")])}
+
+
+def shuffled(spark):
+    """Records written to shuffles so far."""
+    jvm = spark.sparkContext._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+def test_a_selection_does_not_go_down_from_picks(spark):
+    # 300 owners pick a root with 3,000 nodes below it: 900,000 pairs, were picks spread over what is below them
+    nodes = spark.range(3000).selectExpr("concat('c', id) AS id", "'r' AS parent").union(spark.sql("SELECT 'r', CAST(NULL AS STRING)"))
+    picks = spark.range(300).selectExpr("id AS owner", "1 AS position", "'r' AS id").union(spark.range(300).selectExpr("id", "CAST(id % 3 AS INT)", "concat('c', id)"))
+    before = shuffled(spark)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        got = M.normalized_selection(picks, nodes).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sorted((r.owner, r.id) for r in got) == sorted((k, x) for k in range(300) for x in {0: ["r"], 1: [f"c{k}", "r"], 2: [f"c{k}"]}[k % 3])
+    assert sum(n for stage, n in shuffled(spark).items() if stage not in before) < 50_000

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hierarchy import closure
-from .spread import settled
+from .spread import dealt_join, settled
 
 
 def merge_links(links: DataFrame, pairs: DataFrame, reason: str) -> DataFrame:
@@ -63,11 +63,12 @@ def resolve(wanted: DataFrame, known: DataFrame, strategies: list[str]) -> DataF
 def normalized_selection(picks: DataFrame, nodes: DataFrame) -> DataFrame:
     """``picks(owner, position, id)`` to the ``(owner, id)`` that stay when a pick takes out the picked nodes above and
     below it: a node stays if none of those is picked after its own last pick. Ids that are no nodes stay."""
-    last = picks.groupBy("owner", "id").agg(F.max("position").alias("position"))
-    c = closure(nodes.select("id", "parent")).where("depth > 0").select("ancestor", "descendant")
-    related = c.union(c.select("descendant", "ancestor")).toDF("id", "other")
-    later = last.select("owner", F.col("id").alias("other"), F.col("position").alias("then"))
-    gone = last.join(related, "id").join(later, ["owner", "other"]).where("then > position").select("owner", "id").distinct()
+    last = settled(picks.groupBy("owner", "id").agg(F.max("position").alias("position")))
+    # up from each pick, not down: a node has few above it, but any number below
+    up = closure(nodes.select("id", "parent")).where("depth > 0").groupBy(F.col("descendant").alias("id")).agg(F.collect_set("ancestor").alias("others"))
+    pairs = dealt_join(last, up, "id").select("owner", "id", "position", F.explode("others").alias("other"))
+    both = pairs.join(last.select("owner", F.col("id").alias("other"), F.col("position").alias("then")), ["owner", "other"]).where("then <> position")
+    gone = both.select("owner", F.when(F.col("then") > F.col("position"), F.col("id")).otherwise(F.col("other")).alias("id")).distinct()
     return last.join(gone, ["owner", "id"], "left_anti").select("owner", "id")
 
 
