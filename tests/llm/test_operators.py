@@ -279,6 +279,30 @@ def test_chat_round_trip(spark):
     assert chat.digest(chat.expand(chat.format_turns(frame.limit(0)))).count() == 0
 
 
+@pytest.mark.parametrize("held", [1, chat.HELD])
+def test_chat_examples_spell_out_their_contexts(spark, monkeypatch, held):
+    monkeypatch.setattr(chat, "PORTION", 17)
+    monkeypatch.setattr(chat, "HELD", held)
+    rows = [(c, t, "assistant" if t % 2 else "user", f"{c}:{t} \r\né#\U0001f600 " * t) for c in (1, 2) for t in range(6 + c)]
+    turns = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got, texts = defaultdict(list), defaultdict(str)
+    expanded = chat.expand(turns).cache()
+    for r in expanded.where("example IS NOT NULL").orderBy("conv_id", "example", "part").collect():
+        got[r.conv_id, r.example].append(r)
+    whole = {}
+    for r in turns.orderBy("conv_id", "pos").collect():
+        if r.example is not None:
+            whole[r.conv_id, r.example] = ((texts[r.conv_id] + r.segment)[: r.loss_start], (texts[r.conv_id] + r.segment)[r.loss_start : r.loss_end])
+        texts[r.conv_id] += r.segment
+    assert set(got) == set(whole) and len(got) == 7
+    for k, parts in got.items():
+        assert [r.target for r in parts] == [False] * (len(parts) - 1) + [True] and all(len(r.segment) <= 17 for r in parts[:-1])
+        assert ("".join(r.segment for r in parts[:-1]), parts[-1].segment) == whole[k]
+    shorter = expanded.where("NOT (conv_id = 2 AND example = 1 AND part = 0)")
+    with pytest.raises(Exception, match="context is not the text"):
+        chat.digest(shorter).collect()
+
+
 # 5. WARC
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,8 +28,7 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     ``### role: text</turn>`` and a line feed for each turn. Offsets are code points of
     that text. Every assistant turn is an example of its own: its context is the text
     up to ``loss_start`` (all turns before it and its own header), and the reply from
-    ``loss_start`` to ``loss_end`` alone is trainable. A context is a prefix of one text, so it
-    is kept as an offset; ``examples()`` spells it out.
+    ``loss_start`` to ``loss_end`` alone is trainable. ``expand()`` spells the examples out.
 
     In texts and roles a backslash stands before each backslash, ``#`` and ``<`` (in roles
     before ``:`` too), so that no text can hold a control string and ``read_turns`` gets
@@ -62,35 +62,73 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, TURN)
 
 
+EXPANDED = "conv_id long, pos long, example long, part long, segment string, target boolean"
+
+#: characters of a context in one row, and bytes of a conversation that are held in memory (the rest is in a file of the task)
+PORTION, HELD = 1 << 20, 1 << 23
+
+
 def expand(turns: DataFrame) -> DataFrame:
-    """Prefix-target expansion: the rows of ``turns``, and after each assistant turn its example, a row with
-    ``target`` true whose ``segment`` is the reply as formatted. An example's context is the first ``loss_start`` code points of
-    its conversation's text, a prefix that is named and not copied, and only the reply is trainable.
-    Rows stay where they are, in their order."""
-    row = lambda segment, target: F.struct(segment.alias("segment"), F.lit(target).alias("target"))
-    reply = F.substring("segment", (F.col("loss_start") - F.col("start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int"))
-    both = F.when(F.col("example").isNull(), F.array(row(F.col("segment"), False))).otherwise(F.array(row(F.col("segment"), False), row(reply, True)))
-    got = turns.withColumn("row", F.explode(both))
-    return got.select("conv_id", "pos", "row.segment", "start", "end", "example", "loss_start", "loss_end", "row.target")
+    """Prefix-target expansion: the rows of ``turns`` (``example`` null), and after each assistant turn its training example.
+
+    An example is its context, the conversation's whole text up to the reply (all turns before and its own header), spelled out, and its target, the reply
+    as formatted. The context comes in rows of at most PORTION characters (``part`` from 0, ``target`` false), the reply in the row after them
+    (``target`` true); the reply alone is trainable. Rows of ``turns`` come as ``format_turns`` gives them. The text of all examples grows with the
+    square of a conversation's length; it is streamed, and a task holds a portion and HELD bytes of one conversation, whose further text is in a temporary file.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, out, size = object(), [], 0
+        with tempfile.SpooledTemporaryFile(HELD, "w+", encoding="utf-8", newline="") as text:
+            for batch in batches:
+                for conv, pos, segment, start, example, lo, hi in zip(batch.conv_id, batch.pos, batch.segment, batch.start, batch.example, batch.loss_start, batch.loss_end, strict=True):
+                    conv = None if pd.isna(conv) else int(conv)
+                    if conv != last:
+                        last = conv
+                        text.seek(0)
+                        text.truncate()
+                    out.append((conv, pos, None, 0, segment, False))
+                    size, written = size + len(segment), 0
+                    if not pd.isna(example):
+                        written, part = int(lo - start), 0
+                        text.write(segment[:written])
+                        text.seek(0)
+                        while portion := text.read(PORTION):
+                            out.append((conv, pos, example, part, portion, False))
+                            size, part = size + len(portion), part + 1
+                            if size >= PORTION:
+                                yield frame(out)
+                                out, size = [], 0
+                        text.seek(0, 2)
+                        out.append((conv, pos, example, part, segment[written : int(hi - start)], True))
+                    text.write(segment[written:])
+                if out:
+                    yield frame(out)
+                    out, size = [], 0
+
+    def frame(rows):
+        return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in EXPANDED.split(", ")]).astype({"conv_id": "Int64", "example": "Int64"})
+
+    return turns.select("conv_id", "pos", "segment", "start", "example", "loss_start", "loss_end").mapInPandas(run, EXPANDED)
 
 
 def examples(turns: DataFrame) -> DataFrame:
-    """One row per example with its whole text: ``conv_id, example, context, reply``.
-    The text of all examples grows with the square of a conversation's length."""
-    t = expand(turns).where("target").select("conv_id", "example", F.col("pos").alias("upto"), F.col("segment").alias("reply"), "loss_start")
-    before = turns.select(F.col("conv_id").alias("c"), F.col("pos").alias("p"), F.col("segment").alias("s"))
-    pairs = t.join(before, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("p") <= F.col("upto")))
-    got = pairs.groupBy("conv_id", "example").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "s"))), lambda x: x["s"]), "").alias("whole"), F.first("reply").alias("reply"), F.first("loss_start").cast("int").alias("n"))
-    return got.select("conv_id", "example", F.expr("substring(whole, 1, n)").alias("context"), "reply")
+    """One row per example with its whole text: ``conv_id, example, context, reply``."""
+    parts = F.array_sort(F.collect_list(F.when(~F.col("target"), F.struct("part", "segment"))))
+    got = expand(turns).where("example IS NOT NULL").groupBy("conv_id", "example")
+    return got.agg(F.array_join(F.transform(parts, lambda x: x["segment"]), "").alias("context"), F.max(F.when(F.col("target"), F.col("segment"))).alias("reply"))
 
 
 def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
 
 
+TURN_TEXT = re.compile(r"### ((?:[^\\:]|\\.)*): (.*)</turn>\n", flags=re.DOTALL)
+
+
 def read_turn(segment: str) -> tuple[str, str]:
     """The role and text of a formatted turn."""
-    role, text = re.fullmatch(r"### ((?:[^\\:]|\\.)*): (.*)</turn>\n", segment, flags=re.DOTALL).groups()
+    role, text = TURN_TEXT.fullmatch(segment).groups()
     return unescape(role), unescape(text)
 
 
@@ -99,29 +137,46 @@ DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss
 
 def digest(expanded: DataFrame) -> DataFrame:
     """Reads formatted turns and examples back (``expand``, in the order that ``format_turns`` gives) and sums up each
-    conversation: the turns from the segments, what is trained on from the examples. Digests are carried along
-    from row to row."""
+    conversation: the turns from the segments, what is trained on from the examples' targets. Digests are carried along
+    from row to row. An example whose context is not the text before its reply, or that is missing, is an error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, state = object(), None
+        before, context, wanted = hashlib.sha256(), hashlib.sha256(), None  # text of the turns so far, an example's context, what it must be
 
         def done():
+            if wanted is not None:
+                raise ValueError(f"conversation {last}: a reply without its example")
             return (last, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
 
         for batch in batches:
             out = []
-            for conv, segment, target in zip(batch.conv_id, batch.segment, batch.target, strict=True):
+            for conv, example, segment, target in zip(batch.conv_id, batch.example, batch.segment, batch.target, strict=True):
                 conv = None if pd.isna(conv) else int(conv)
                 if conv != last:
                     if state:
                         out.append(done())
                     last, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    before, wanted = hashlib.sha256(), None
+                if not target and not pd.isna(example):
+                    context.update(segment.encode())
+                    continue
                 if target:
+                    if context.digest() != wanted:
+                        raise ValueError(f"conversation {conv}, example {example}: the context is not the text before the reply")
+                    context, wanted = hashlib.sha256(), None
                     reply = unescape(segment)
                     state[2] += len(reply)
                     state[3].update(reply.encode())
                     continue
+                if wanted is not None:
+                    raise ValueError(f"conversation {conv}: a reply without its example")
                 role, text = read_turn(segment)
+                if role == "assistant":
+                    head = before.copy()
+                    head.update(segment[: TURN_TEXT.fullmatch(segment).start(2)].encode())
+                    wanted = head.digest()
+                before.update(segment.encode())
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode())
                 state[4] += len(segment)
@@ -133,7 +188,7 @@ def digest(expanded: DataFrame) -> DataFrame:
     def frame(rows):
         return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in DIGEST.split(", ")]).astype({"conv_id": "Int64"})
 
-    return expanded.select("conv_id", "segment", "target").mapInPandas(run, DIGEST)
+    return expanded.select("conv_id", "example", "segment", "target").mapInPandas(run, DIGEST)
 
 
 #: a conversation whose texts hold the template's own control strings
