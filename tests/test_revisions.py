@@ -97,3 +97,19 @@ def test_a_reader_sees_whole_revisions_only(spark, tmp_path):
     spark.read.parquet(f"{base}/r/r2/index").where("shard = 1").select(F.col("id") + 1, "revision", "generated_at").write.mode("append").parquet(f"{base}/r/r2/index/shard=1")
     got = revisions.served(spark, base, ["index"])
     assert [(r.shard, r.problem) for r in got.problems.collect()] == [(1, "count")] and got.tables["index"].count() == 10
+
+
+def test_folders_do_not_grow_with_shards(spark, tmp_path):
+    base = f"file://{tmp_path}/p"
+    rows = spark.range(2000).select("id", F.col("id").alias("shard"))
+    revisions.publish(spark, base, "r1", "t1", {"index": rows})
+    assert len(list((tmp_path / "p/r/r1/index").glob("shard=*"))) <= 256
+    got = revisions.served(spark, base, ["index"])
+    assert got.problems.count() == 0 and got.tables["index"].where("id = shard").count() == 2000
+    # shards that are lost or changed cost no others of their folder
+    held = spark.read.parquet(f"{base}/r/r1/index").where("id <> 9").withColumns({"id": F.when(F.col("id") == 7, -7).otherwise(F.col("id")), "revision": F.lit("r2")})
+    held.write.partitionBy("shard").parquet(f"{base}/r/r2/index")
+    revisions.write_manifest(base, "r2", "t1", {"index": rows})
+    revisions.point(spark, base, "r2", "t1")
+    got = revisions.served(spark, base, ["index"])
+    assert sorted((r.shard, r.problem) for r in got.problems.collect()) == [(7, "content"), (9, "missing")] and got.tables["index"].count() == 1998

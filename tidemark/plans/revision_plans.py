@@ -122,7 +122,7 @@ def revision_problems(spark, d):
     more = spark.range(3).select("id", F.lit(1).cast(rows.schema["org"].dataType).alias("org"), F.lit("visible").alias("status"), F.lit(1).cast("long").alias("weight"), F.lit(100_000).cast("long").alias("shard"))
     stamped = lambda df, revision: df.withColumns({"revision": F.lit(revision), "generated_at": F.lit("t")})
     whole = stamped(bad.where(kind != 3).unionByName(more), "r1").unionByName(stamped(bad.where(kind == 3), "r0"))
-    whole.repartition("shard").write.partitionBy("shard").parquet(f"{base}/r/r1/index")
+    V.write_table(whole, f"{base}/r/r1/index")
     V.write_manifest(base, "r1", "t", {"index": rows})
     V.point(spark, base, "r1", "t")
     return V.served(spark, base, ["index"]).problems

@@ -57,12 +57,31 @@ def write_shards(base: str, revision: str, generated_at: str, tables: dict[str,
     an existing one is an error."""
     for name, rows in tables.items():
         stamped = rows.withColumns({"revision": F.lit(revision), "generated_at": F.lit(generated_at)})
-        stamped.repartition("shard").write.partitionBy("shard").parquet(f"{base}/r/{revision}/{name}")
+        write_table(stamped, f"{base}/r/{revision}/{name}")
 
 
-def _held(rows: DataFrame, name: str) -> DataFrame:
+#: folders of a table: beyond as many shards, several on end share one, so that their number does not grow with the table
+FOLDERS = 256
+
+
+def write_table(rows: DataFrame, path: str) -> None:
+    """``rows`` in folders named after the first of their shards, each written by one task in the shards' order; a row's ``_at`` is how far its
+    shard is from that one."""
+    last = rows.agg(F.max("shard")).first()[0] or 0
+    at = F.pmod(F.col("shard"), F.lit(last // FOLDERS + 1))
+    placed = rows.withColumn("_at", at.cast("int")).withColumn("shard", F.col("shard") - F.col("_at"))
+    placed.repartition("shard").sortWithinPartitions("shard", "_at").write.partitionBy("shard").parquet(path)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_table`` has written; files without ``_at`` hold their folder's shard alone."""
+    rows = spark.read.option("mergeSchema", "true").parquet(path)
+    return rows.withColumn("shard", F.col("shard").cast("long") + F.coalesce("_at", F.lit(0))).drop("_at")
+
+
+def _held(rows: DataFrame, name: str, *more: Column) -> DataFrame:
     own = sorted(c for c in rows.columns if c not in ("shard", "revision", "generated_at"))
-    return rows.groupBy(F.col("shard").cast("long").alias("shard")).agg(F.count("*").alias("rows"), row_digest(own).alias("digest")).withColumn("name", F.lit(name))
+    return rows.groupBy(F.col("shard").cast("long").alias("shard")).agg(F.count("*").alias("rows"), row_digest(own).alias("digest"), *more).withColumn("name", F.lit(name))
 
 
 def write_manifest(base: str, revision: str, generated_at: str, tables: dict[str, DataFrame]) -> None:
@@ -105,9 +124,9 @@ def served(spark: SparkSession, base: str, names: list[str]) -> Served:
     manifest = spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
     problems, tables = spark.createDataFrame([], "name string, shard long, problem string"), {}
     for name in names:
-        rows = spark.read.parquet(f"{root}/{name}")
-        foreign = rows.groupBy(F.col("shard").cast("long").alias("shard")).agg(F.count_if((F.col("revision") != found["revision"]) | (F.col("generated_at") != found["generated_at"])).alias("foreign"))
-        held = _held(rows, name).join(foreign, "shard").select("shard", F.col("rows").alias("has"), F.col("digest").alias("own"), "foreign")
+        rows = read_table(spark, f"{root}/{name}")
+        foreign = F.count_if((F.col("revision") != found["revision"]) | (F.col("generated_at") != found["generated_at"])).alias("foreign")
+        held = _held(rows, name, foreign).select("shard", F.col("rows").alias("has"), F.col("digest").alias("own"), "foreign")
         both = manifest.where(F.col("name") == name).join(held, "shard", "full_outer")
         problem = (
             F.when(F.col("has").isNull(), "missing").when(F.col("rows").isNull(), "extra").when(F.col("foreign") > 0, "revision").when(F.col("rows") != F.col("has"), "count").when(F.col("digest") != F.col("own"), "content")
