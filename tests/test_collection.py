@@ -1,11 +1,13 @@
 """Cursors and lives: table, stream and a replay in Python agree."""
 
 import datetime
+import re
 from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from tidemark.operators import spread
 from tidemark.plans import collection_plans as P
 from tidemark.streaming import collection as C
 
@@ -136,3 +138,11 @@ def test_lives_as_a_stream(spark, tmp_path):
     query = C.life_stream(stream).writeStream.format("memory").queryName("lives").option("checkpointLocation", f"file://{tmp_path}/check").trigger(availableNow=True).start()
     query.awaitTermination(200)
     assert sorted(map(tuple, spark.table("lives").collect())) == want
+
+
+def test_looks_are_dealt_into_parts_of_a_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(spread, "SORTED", 100)
+    looks = spark.range(300).selectExpr("id % 50 AS notice", "id AS item", "explode(sequence(1L, 4L)) AS turn", "false AS seen")
+    got = C.lives(looks, spark.createDataFrame([], "notice long, turn long, hidden boolean"))
+    assert re.search(r"hashpartitioning\(notice#\d+L?, item#\d+L?, 12\)", got._jdf.queryExecution().executedPlan().toString())
+    assert sorted(tuple(r) for r in got.collect()) == [(k, 3, "removed") for k in range(50)]

@@ -20,6 +20,15 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: rows that one task sorts
+SORTED = 1 << 20
+
+
+def parts(rows: DataFrame) -> int:
+    """Into how many parts rows are dealt for a sort, so that a part, and a task's memory with it, does not grow with the input."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // SORTED))
+
+
 def running(rows: DataFrame, key: str, sums: tuple[str, ...] = (), last: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` with ``<name>_before`` for each of ``sums``, the sum over the rows of smaller ``key``, and ``<name>_last`` for each of ``last``, its
     last value that is not null up to the row. Rows of one key are in any order.

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from tidemark.operators.spread import parts
+
 #: pages of a run, pages on end below the window that end it, and how long a run's next page is waited for
 PAGES, BOUNDARY, WAIT_MS = 3, 2, 3_600_000
 
@@ -191,8 +193,9 @@ def lives(looks: DataFrame, hands: DataFrame) -> DataFrame:
 
     An item is removed when it was missed MISSES times on end, and back when it is seen. A notice is ``removed`` while all of its items are, and
     ``hidden`` from the turn an operator hides it until one shows it again, whatever its items do. Rows of a notice are summed per turn before they
-    meet, so items of one notice need not come together. A turn without looks changes nothing.
+    meet, so items of one notice need not come together; looks are dealt into parts of a bounded size. A turn without looks changes nothing.
     """
+    looks = looks.repartition(parts(looks), "notice", "item")
     last = Window.partitionBy("notice", "item").orderBy("turn").rowsBetween(1 - MISSES, 0)
     each = looks.select("notice", "turn", ((F.count("*").over(last) >= MISSES) & ~F.max("seen").over(last)).alias("gone"))
     turns = each.groupBy("notice", "turn").agg(F.min("gone").alias("gone"), F.lit(None).cast("boolean").alias("hidden"))
