@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -22,21 +21,17 @@ def candidates(body: Column, declared: Column) -> Column:
     return F.array_distinct(F.filter(said, lambda n: n.isNotNull() & (n != "")))
 
 
-@F.pandas_udf(StringType())
-def decode_udf(body: pd.Series, names: pd.Series) -> pd.Series:
-    """Spark's ``decode`` knows neither of the Korean sets."""
-
-    def one(data, tries):
-        if data is None:
-            return None
-        for name in tries:
-            try:
-                return bytes(data).decode(MEANS.get(name, name))
-            except (UnicodeDecodeError, LookupError):
-                continue
-        return bytes(data).decode("utf-8", "replace")
-
-    return pd.Series([one(*x) for x in zip(body, names)], dtype=object)
+@F.udf(StringType(), useArrow=False)
+def decode_udf(body: bytes | None, names: list[str]) -> str | None:
+    """Spark's ``decode`` knows neither of the Korean sets. Bodies may be large, so rows come in small batches (a hundred), not in Arrow batches of ten thousand."""
+    if body is None:
+        return None
+    for name in names:
+        try:
+            return bytes(body).decode(MEANS.get(name, name))
+        except (UnicodeDecodeError, LookupError):
+            continue
+    return bytes(body).decode("utf-8", "replace")
 
 
 def page_text(body: Column, declared: Column | None = None) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
@@ -88,9 +87,9 @@ def board_kinds_again(spark, d):
     return B.rejudged(stored, today())
 
 
-@F.pandas_udf(BinaryType())
-def encode_udf(text: pd.Series, name: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else t.encode(n, "xmlcharrefreplace") for t, n in zip(text, name)], dtype=object)
+@F.udf(BinaryType(), useArrow=False)
+def encode_udf(text: str | None, name: str) -> bytes | None:
+    return None if text is None else text.encode(name, "xmlcharrefreplace")
 
 
 @query("decoded_pages", r"""SELECT page_id AS id, sha256('<p>장학 공지</p>' || CASE WHEN page_id % 4 < 2 THEN regexp_replace(html, '[^\x00-\x7F]', '?', 'g') ELSE html END) AS digest, page_id % 4 = 3 AS misdeclared FROM pages""")
