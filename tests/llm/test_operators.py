@@ -70,6 +70,24 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_work_out_each_step_once(spark):
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    sc, status = spark.sparkContext, spark.sparkContext.statusTracker()
+    try:
+        for k, v in zip(keep, ("20", "false"), strict=True):
+            spark.conf.set(k, v)
+        sc.setJobGroup("components-once", "")
+        got = components(spark.createDataFrame([(0, i) for i in range(1, 60)], "a long, b long"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup("components-once") for s in status.getJobInfo(j).stageIds]
+    # 183 tasks, and 376 where steps were worked out wherever they were used
+    assert sum(s.numCompletedTasks for s in stages if s) < 300
+    assert got.count() == 60
+
+
 # 1. n-gram Jaccard join
 
 

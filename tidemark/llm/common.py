@@ -70,6 +70,7 @@ HUB, MOST_HUBS = 256, 65_536
 
 def spread_join(rows: DataFrame, key: str, by: str, values: DataFrame, how: str = "inner") -> DataFrame:
     """``rows`` joined (``how``: inner or left) on ``key`` with ``values``, one row per key with ``n``, how many rows the key has (no key null).
+    ``values`` is read three times, so it should come from files (:func:`cut`).
 
     A key with many rows is sent once per salt, and its rows go by a salt of their column ``by`` and of the task they come from, so that
     equal rows part too. More than
@@ -90,8 +91,8 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of an undirected graph: ``edges(a, b)`` longs to ``(node, root)``,
     the root being the smallest node that can be reached.
 
-    Large-star/small-star rounds (Kiveris et al. 2014), each written to the shared folder; the driver sees one
-    count. A node's neighbours are folded into their minimum before the shuffle (``min`` combines on the map
+    Large-star/small-star rounds (Kiveris et al. 2014), each step of which is written to the shared folder once and read where it is used; the driver sees
+    one count. A node's neighbours are folded into their minimum before the shuffle (``min`` combines on the map
     side), and to bring the minimum back a node's edges are dealt out by a salt of the neighbour, with as many
     salts as its degree asks for: a hub's edges are never one task's. No edges: no rows.
     """
@@ -99,14 +100,16 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     while True:
         # large star: every larger neighbour of u points at the smallest of u's neighbourhood
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
-        large = spread_join(both.where("v > u"), "u", "v", low).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")), name)
+        large = cut(spread_join(both.where("v > u"), "u", "v", low).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
         # small star: smaller neighbours and u itself point at the smallest of them
-        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        down = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), name)
         small = spread_join(large, "u", "v", down).select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("s"))
         new = cut(small.select(F.col("s.u").alias("u"), F.col("s.m").alias("v")).where("u <> v").distinct(), name)
-        # a forest of stars: no node both points and is pointed at
-        if new.select(F.col("v").alias("u")).distinct().join(new, "u", "left_semi").isEmpty() and new.groupBy("u").count().where("count > 1").isEmpty():
+        # a forest of stars: no node points at two, or both points and is pointed at
+        ends = new.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(new.select("v", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+        if not ends.agg(F.count_if((F.col("out") > 1) | (F.col("out") + F.col("into") > 1))).first()[0]:
             break
         e = new
     roots = new.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -128,7 +131,7 @@ def linked_rows(rows: DataFrame, links: DataFrame, edges: DataFrame, roots: bool
     info = classes.join(total, "node", "left").join(components(edges), "node", "left").where("rows > 1 OR root IS NOT NULL")
     info = info.select("node", "class_id", "rows", (F.col("rows") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
     info = cut(info, "links")
-    found = info.groupBy("root").agg(F.min("class_id").alias("component_id"), F.count("*").alias("n"))
+    found = cut(info.groupBy("root").agg(F.min("class_id").alias("component_id"), F.count("*").alias("n")), "links-found")
     info = cut(spread_join(info, "root", "node", found).drop(*([] if roots else ["root"])).withColumnRenamed("rows", "n"), "links")
     # rows of one class, which may be a third of all, are dealt by a salt of their id; those of no class need no join
     known = spread_join(rows.where("node IS NOT NULL"), "node", "id", info, "left")

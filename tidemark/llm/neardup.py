@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, roots: bool = False) -> DataFrame:
     classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"), F.count("*").alias("n"), F.max("size").alias("size"), F.first("bands").alias("bands"))
     classes = cut(classes, "near-classes")
     each = classes.select("node", F.explode("bands").alias("band"))
-    shared = each.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1")
+    shared = cut(each.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1"), "near-shared")
     stars = spread_join(each, "band", "node", shared).where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
     groups = cut(components(stars, "near-candidates"), "near-groups")
     stand = classes.select("node", "row", "n", "size").join(groups, "node")
