@@ -78,3 +78,23 @@ def test_orders_and_names(spark):
     assert [(a.id, a.status and a.status.label) for a in got[1].attachments] == [("1", None), ("2", "목록 확인됨"), ("3", "odd")]
     assert [(m.raw_text, m.channel and m.channel.kind.code) for m in got[1].contact_mentions] == [(None, "email"), ("t", None), ("t", "phone")]
     assert got[2].sources == []
+
+
+def plan_of(df, which="optimizedPlan"):
+    return getattr(df._jdf.queryExecution(), which)().toString().splitlines()
+
+
+def test_lists_send_rows_without_labels(spark):
+    t = tables(spark)
+    df, shown = cards(spark, [notice(1)], t)
+    page = P.details(df, shown, t["sources"], t["links"], spark.createDataFrame([], ATTACHMENTS), spark.createDataFrame([], MENTIONS))
+    grouped = [x for x in plan_of(page, "sparkPlan") if "partial_collect_list" in x]  # what is sent
+    assert grouped and not [x for x in grouped for label in ("전화", "목록 확인됨", "접근 가능") if label in x]
+
+
+def test_card_counts_sources_without_a_list(spark):
+    links = [(1, "a", 7, "u", None, "lost", None, True), (1, "b", None, "u", None, None, False, True), (1, "c", 7, "u", None, None, False, False), (2, "d", 8, "u", None, None, True, None)]
+    t = tables(spark, links=links, sources=[(7, "Z", None)])
+    shown = cards(spark, [notice(i) for i in (1, 2, 3)], t)[1]
+    assert {r.id: r.source_count for r in shown.collect()} == {1: 2, 2: 0, 3: 0}
+    assert sum("collect_list" in x for x in plan_of(shown)) == 2

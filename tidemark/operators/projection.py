@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,11 +45,15 @@ def rank(labels: dict[str, str], code: Column) -> Column:
     return F.when(found > 0, found).otherwise(len(labels) + 1)
 
 
-def _listed(rows: DataFrame, key: str, order: list[Column], item: Column, name: str) -> DataFrame:
-    """One sorted list per notice: as long as the page that shows it."""
-    keys = [F.coalesce(c.cast("string"), F.lit("")) if isinstance(c, Column) and i else c for i, c in enumerate(order)]
-    ordered = F.array_sort(F.collect_list(F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys)), item.alias("item"))))
-    return rows.groupBy(F.col(key).alias("id")).agg(F.transform(ordered, lambda x: x["item"]).alias(name))
+def _listed(rows: DataFrame, key: str, columns: list[str], order: Callable[[Column], list[Column]], item: Callable[[Column], Column], name: str) -> DataFrame:
+    """One sorted list per notice: as long as the page that shows it. Only ``columns`` are sent; ``order`` and ``item`` are made of a row when the list is whole."""
+
+    def made(x: Column) -> Column:
+        keys = [F.coalesce(c.cast("string"), F.lit("")) if i else c for i, c in enumerate(order(x))]
+        return F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys)), item(x).alias("item"))
+
+    got = rows.groupBy(F.col(key).alias("id")).agg(F.collect_list(F.struct(*columns)).alias("_rows"))
+    return got.select("id", F.transform(F.array_sort(F.transform("_rows", made)), lambda x: x["item"]).alias(name))
 
 
 def audience_lists(audiences: DataFrame, campuses: DataFrame, organizations: DataFrame) -> DataFrame:
@@ -56,11 +62,15 @@ def audience_lists(audiences: DataFrame, campuses: DataFrame, organizations: Dat
     a = dealt_join(audiences, organizations.select(F.col("id").alias("organization"), F.col("name").alias("_o")), "organization", "left")
     a = dealt_join(a, campuses.select(F.col("id").alias("campus"), F.col("name").alias("_c")), "campus", "left")
     t = F.col("type")
-    kind = F.when(t.isin("university", "campus", "organization"), t).otherwise("undetermined")
-    own = coded(AUDIENCES, kind)["label"]
-    name = F.when(t == "campus", F.coalesce("_c", own)).when(t == "organization", F.coalesce("_o", own)).otherwise(own)
-    item = F.struct(kind.alias("type"), F.when(t == "campus", F.col("campus")).when(t == "organization", F.col("organization")).alias("id"), name.alias("name"))
-    return _listed(a, "notice", [rank(AUDIENCES, F.col("type")), F.col("organization"), F.col("campus"), F.col("id")], item, "audiences")
+    a = a.withColumn("_name", F.when(t == "campus", F.col("_c")).when(t == "organization", F.col("_o")))
+
+    def item(x: Column) -> Column:
+        t = x["type"]
+        kind = F.when(t.isin("university", "campus", "organization"), t).otherwise("undetermined")
+        of = F.when(t == "campus", x["campus"]).when(t == "organization", x["organization"])
+        return F.struct(kind.alias("type"), of.alias("id"), F.coalesce(x["_name"], coded(AUDIENCES, kind)["label"]).alias("name"))
+
+    return _listed(a, "notice", ["type", "organization", "campus", "id", "_name"], lambda x: [rank(AUDIENCES, x["type"]), x["organization"], x["campus"], x["id"]], item, "audiences")
 
 
 def category_lists(categories: DataFrame) -> DataFrame:
@@ -73,13 +83,18 @@ def category_lists(categories: DataFrame) -> DataFrame:
 
 
 def source_lists(links: DataFrame, sources: DataFrame) -> DataFrame:
-    """Active ``links(notice, item, source, url, published, status, is_primary, is_active)`` to ``(id, source_count, sources)``: the primary one first, then by
+    """Active ``links(notice, item, source, url, published, status, is_primary, is_active)`` to ``(id, sources)``: the primary one first, then by
     the source's name and the item."""
     l = dealt_join(links.where("is_active"), sources.select(F.col("id").alias("source"), F.col("name").alias("source_name")), "source", "left")
-    main = F.coalesce("is_primary", F.lit(False))
-    item = F.struct("item", "source", "source_name", "url", "published", coded(STATUSES, F.col("status")).alias("status"), main.alias("is_primary"))
-    got = _listed(l, "notice", [~main, F.col("source_name"), F.col("item")], item, "sources")
-    return got.select("id", F.size("sources").cast("long").alias("source_count"), "sources")
+    l = l.withColumn("is_primary", F.coalesce("is_primary", F.lit(False)))
+    columns = ["item", "source", "source_name", "url", "published", "status", "is_primary"]
+    item = lambda x: F.struct(*((coded(STATUSES, x[c]) if c == "status" else x[c]).alias(c) for c in columns))
+    return _listed(l, "notice", columns, lambda x: [~x["is_primary"], x["source_name"], x["item"]], item, "sources")
+
+
+def source_counts(links: DataFrame) -> DataFrame:
+    """Active ``links`` to ``(id, source_count)``."""
+    return links.where("is_active").groupBy(F.col("notice").alias("id")).agg(F.count("*").alias("source_count"))
 
 
 def cards(notices: DataFrame, sources: DataFrame, categories: DataFrame, audiences: DataFrame, campuses: DataFrame, organizations: DataFrame, links: DataFrame, now: Column, start: Column) -> DataFrame:
@@ -92,7 +107,7 @@ def cards(notices: DataFrame, sources: DataFrame, categories: DataFrame, audienc
     the notice's id, which the notices are joined by: one partitioning serves all.
     """
     n = dealt_join(notices, sources.select(F.col("id").alias("source"), F.col("name").alias("_name"), "last_checked"), "source", "left")
-    for lists in (category_lists(categories), audience_lists(audiences, campuses, organizations), source_lists(links, sources).drop("sources")):
+    for lists in (category_lists(categories), audience_lists(audiences, campuses, organizations), source_counts(links)):
         n = n.join(lists, "id", "left")
     n = n.withColumn("_p", D.display_published(F.col("published_date"), F.col("published_at"), F.col("precision"), F.coalesce("pinned", F.lit(False)), F.coalesce("exempt", F.lit(False)), F.col("first_visible"), now, start))
     fixed = F.col("_p.adjusted")
@@ -124,11 +139,16 @@ def details(notices: DataFrame, shown: DataFrame, sources: DataFrame, links: Dat
     ``attachments(notice, id, filename, kind, size, url, status)`` by name and id; ``links`` as of :func:`source_lists`; ``mentions(notice, id, raw_text,
     channel, value, contact)`` by text and id, with a channel where there is a value (a phone's, if no kind is given). Lists without rows are empty.
     """
-    file = F.struct("id", "filename", "kind", "size", "url", coded(LISTED, F.col("status")).alias("status"))
-    files = _listed(attachments, "notice", [F.coalesce("filename", F.lit("")), F.col("id")], file, "attachments")
-    channel = F.when(F.col("value") != "", F.struct("id", coded(CHANNELS, F.coalesce("channel", F.lit("phone"))).alias("kind"), F.col("value")))
-    said = _listed(mentions, "notice", [F.coalesce("raw_text", F.lit("")), F.col("id")], F.struct("raw_text", channel.alias("channel"), "contact"), "contact_mentions")
+    has = ["id", "filename", "kind", "size", "url", "status"]
+    file = lambda x: F.struct(*((coded(LISTED, x[c]) if c == "status" else x[c]).alias(c) for c in has))
+    files = _listed(attachments, "notice", has, lambda x: [F.coalesce(x["filename"], F.lit("")), x["id"]], file, "attachments")
+
+    def mention(x: Column) -> Column:
+        channel = F.when(x["value"] != "", F.struct(x["id"].alias("id"), coded(CHANNELS, F.coalesce(x["channel"], F.lit("phone"))).alias("kind"), x["value"].alias("value")))
+        return F.struct(x["raw_text"].alias("raw_text"), channel.alias("channel"), x["contact"].alias("contact"))
+
+    said = _listed(mentions, "notice", ["id", "raw_text", "channel", "value", "contact"], lambda x: [F.coalesce(x["raw_text"], F.lit("")), x["id"]], mention, "contact_mentions")
     got = shown.join(notices.select("id", "body_text", F.coalesce("images", F.array().cast("array<string>")).alias("images")), "id")
-    for lists in (source_lists(links, sources).drop("source_count"), files, said):
+    for lists in (source_lists(links, sources), files, said):
         got = got.join(lists, "id", "left")
     return got.withColumns({c: F.coalesce(c, F.array().cast(got.schema[c].dataType)) for c in ("sources", "attachments", "contact_mentions")})
