@@ -5,6 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from tidemark.operators import projection as P
+from tidemark.operators import spread
 
 NOW, START = datetime.datetime(2024, 5, 1, 3), datetime.date(2024, 1, 1)
 NOTICES = """id long, title string, excerpt string, audience_note string, source long, url string, original_status string, pinned boolean, exempt boolean, published_date date, published_at timestamp,
@@ -98,3 +99,13 @@ def test_card_counts_sources_without_a_list(spark):
     shown = cards(spark, [notice(i) for i in (1, 2, 3)], t)[1]
     assert {r.id: r.source_count for r in shown.collect()} == {1: 2, 2: 0, 3: 0}
     assert sum("collect_list" in x for x in plan_of(shown)) == 2
+
+
+def test_narrow_values_are_sent_to_all(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, 1) for i in range(3000)] + [(3000, 2), (3001, None)], "i long, k long")
+    values = spark.createDataFrame([(1, "one"), (3, "three")], "k long, name string")
+    want = {i: "one" for i in range(3000)} | {3000: None, 3001: None}
+    sent = spread.dealt_join(rows, values, "k", "left", narrow=True)
+    assert any("strategy=broadcast" in x for x in plan_of(sent)) and {r.i: r.name for r in sent.collect()} == want
+    monkeypatch.setattr(spread, "FEW", 1)
+    assert {r.i: r.name for r in spread.dealt_join(rows, values, "k", "left", narrow=True).collect()} == want

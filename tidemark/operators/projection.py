@@ -59,8 +59,8 @@ def _listed(rows: DataFrame, key: str, columns: list[str], order: Callable[[Colu
 def audience_lists(audiences: DataFrame, campuses: DataFrame, organizations: DataFrame) -> DataFrame:
     """``audiences(notice, id, type, organization, campus)`` to ``(id, audiences)``: by type, then ids. Names come from ``campuses(id, name)`` and
     ``organizations(id, name)``, or are the type's own where there is none; other types are undetermined."""
-    a = dealt_join(audiences, organizations.select(F.col("id").alias("organization"), F.col("name").alias("_o")), "organization", "left")
-    a = dealt_join(a, campuses.select(F.col("id").alias("campus"), F.col("name").alias("_c")), "campus", "left")
+    a = dealt_join(audiences, organizations.select(F.col("id").alias("organization"), F.col("name").alias("_o")), "organization", "left", narrow=True)
+    a = dealt_join(a, campuses.select(F.col("id").alias("campus"), F.col("name").alias("_c")), "campus", "left", narrow=True)
     t = F.col("type")
     a = a.withColumn("_name", F.when(t == "campus", F.col("_c")).when(t == "organization", F.col("_o")))
 
@@ -85,7 +85,7 @@ def category_lists(categories: DataFrame) -> DataFrame:
 def source_lists(links: DataFrame, sources: DataFrame) -> DataFrame:
     """Active ``links(notice, item, source, url, published, status, is_primary, is_active)`` to ``(id, sources)``: the primary one first, then by
     the source's name and the item."""
-    l = dealt_join(links.where("is_active"), sources.select(F.col("id").alias("source"), F.col("name").alias("source_name")), "source", "left")
+    l = dealt_join(links.where("is_active"), sources.select(F.col("id").alias("source"), F.col("name").alias("source_name")), "source", "left", narrow=True)
     l = l.withColumn("is_primary", F.coalesce("is_primary", F.lit(False)))
     columns = ["item", "source", "source_name", "url", "published", "status", "is_primary"]
     item = lambda x: F.struct(*((coded(STATUSES, x[c]) if c == "status" else x[c]).alias(c) for c in columns))
@@ -106,7 +106,7 @@ def cards(notices: DataFrame, sources: DataFrame, categories: DataFrame, audienc
     a deadline without a date or of another precision than a day or a moment is none; lists without rows are empty. The lists are grouped by
     the notice's id, which the notices are joined by: one partitioning serves all.
     """
-    n = dealt_join(notices, sources.select(F.col("id").alias("source"), F.col("name").alias("_name"), "last_checked"), "source", "left")
+    n = dealt_join(notices, sources.select(F.col("id").alias("source"), F.col("name").alias("_name"), "last_checked"), "source", "left", narrow=True)
     for lists in (category_lists(categories), audience_lists(audiences, campuses, organizations), source_counts(links)):
         n = n.join(lists, "id", "left")
     n = n.withColumn("_p", D.display_published(F.col("published_date"), F.col("published_at"), F.col("precision"), F.coalesce("pinned", F.lit(False)), F.coalesce("exempt", F.lit(False)), F.col("first_visible"), now, start))

@@ -48,9 +48,16 @@ def running(rows: DataFrame, key: str, sums: tuple[str, ...] = (), last: tuple[s
     return got.drop("_part", *(f"_s_{c}" for c in sums), *(f"_l_{c}" for c in last))
 
 
-def dealt_join(rows: DataFrame, values: DataFrame, key: str, how: str = "inner") -> DataFrame:
+#: narrow values that are sent to all tasks
+FEW = 1 << 19
+
+
+def dealt_join(rows: DataFrame, values: DataFrame, key: str, how: str = "inner", narrow: bool = False) -> DataFrame:
     """``rows`` joined with ``values``, which has one row per ``key``. Rows of keys that have very many are dealt out by the task they come from, and
-    the key's value is sent to each share. Such keys are no more than MOST_HUBS; null keys match nothing."""
+    the key's value is sent to each share. Such keys are no more than MOST_HUBS; null keys match nothing. ``narrow`` values, like ids with names, are sent
+    to all tasks where they are no more than FEW: the rows then stay where they are."""
+    if narrow and values.count() <= FEW:
+        return rows.join(F.broadcast(values), key, how)
     count = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
     total = count.agg(F.sum("_n")).first()[0] or 0
     hubs = settled(count.where(F.col("_n") > max(HUB, -(-total // MOST_HUBS))).select(key, F.ceil(F.col("_n") / HUB).cast("int").alias("_salts")))
